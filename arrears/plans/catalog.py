@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from arrears.functions import rules
+from arrears.functions.rounding import round_half_even
 from arrears.operators import scorecards as sc
-from arrears.sources import dossiers
+from arrears.operators import validation
+from arrears.sources import dossiers, intake, training
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,3 +46,149 @@ def procedure_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bailiff_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4, A5."""
     return sc.bailiff_scorecard(dossiers.testbed_history(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Distributions (A6, A7) over the training table
+# ---------------------------------------------------------------------------
+@query("status_distribution")
+def status_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sc.distribution(training.training_table(spark, sf_dir), "statut_final")
+
+
+@query("action_distribution")
+def action_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sc.distribution(training.training_table(spark, sf_dir), "next_best_action")
+
+
+# ---------------------------------------------------------------------------
+# Column rules (F1-F22), each over every valid case
+# ---------------------------------------------------------------------------
+@query("risk_score_serving")
+def risk_score_serving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1."""
+    v = dossiers.valid_cases(spark, sf_dir)
+    return v.select("id", "historique_incidents", "montant_impaye",
+                    rules.risk_score_serving("historique_incidents", "montant_impaye")
+                    .alias("score_risque"))
+
+
+@query("risk_score_base")
+def risk_score_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2, F3, F4 (noise-free)."""
+    v = dossiers.valid_cases(spark, sf_dir)
+    ratio = rules.debt_ratio("montant_impaye", "revenu_estime")
+    base = rules.base_risk_score(ratio)
+    return v.select("id", ratio.alias("ratio_endettement"),
+                    base.alias("score_base"),
+                    round_half_even(rules.judicial_probability(base), 6).alias("prob_judiciaire"))
+
+
+@query("recovery_probability")
+def recovery_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5, F6 with the looked-up lawyer rate; 6 dp."""
+    e = training.enriched_cases(spark, sf_dir)
+    logit = rules.recovery_logit("score_risque", "acteur_taux_succes", "historique_incidents",
+                                 "anciennete_impaye_jours", "type_procedure")
+    return e.select("id", round_half_even(logit, 6).alias("logit_recouvrement"),
+                    round_half_even(rules.sigmoid(logit), 6).alias("prob_recouvrement"))
+
+
+@query("next_best_action")
+def next_best_action(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F12."""
+    v = dossiers.valid_cases(spark, sf_dir)
+    return v.select("id", "score_risque", "type_procedure", "nombre_retards",
+                    "anciennete_impaye_jours", "nombre_echeances_impayees",
+                    rules.next_best_action("score_risque", "type_procedure", "nombre_retards",
+                                           "anciennete_impaye_jours",
+                                           "nombre_echeances_impayees")
+                    .alias("next_best_action"))
+
+
+@query("recovered_amount")
+def recovered_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F11 (in-progress share fixed at 0.25)."""
+    v = dossiers.valid_cases(spark, sf_dir)
+    return v.select("id", "statut_predit", "montant_impaye",
+                    rules.recovered_amount("statut_predit", "montant_impaye",
+                                           dossiers.RECOVERED_SHARE)
+                    .alias("montant_recouvre_final"))
+
+
+@query("case_timeline")
+def case_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F9, F10, F14 over every mapped case (valid or not)."""
+    c = dossiers.cases(spark, sf_dir)
+    delay = rules.case_delay("date_ouverture", "date_mise_a_jour")
+    iso = "yyyy-MM-dd"
+    return c.select("id", "dossier_id", "procedure_id", "avocat_id", "tribunal_id",
+                    "huissier_id",
+                    F.date_format("date_ouverture", iso).alias("date_ouverture"),
+                    F.date_format("date_mise_a_jour", iso).alias("date_mise_a_jour"),
+                    delay.alias("delai_jours"),
+                    F.date_format(rules.update_date("date_ouverture", delay), iso)
+                    .alias("date_recalculee"))
+
+
+@query("floors_and_ratio")
+def floors_and_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F13 + F2 on the raw customer/order amounts."""
+    c = dossiers.cases(spark, sf_dir)
+    income = rules.income_floor("revenu_estime")
+    amount = rules.amount_floor("montant_impaye")
+    return c.select("id", income.alias("revenu_estime"), amount.alias("montant_impaye"),
+                    rules.debt_ratio(amount, income).alias("ratio_endettement"))
+
+
+@query("procedure_priors")
+def procedure_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """priors and bounds applied to each case's own delay/rates."""
+    e = training.enriched_cases(spark, sf_dir)
+    return e.select("id", "type_procedure",
+                    rules.procedure_prior_rate("type_procedure").alias("procedure_taux_prior"),
+                    rules.court_delay_prior("type_procedure", "delai_estime_jours")
+                    .alias("tribunal_delai_prior"),
+                    rules.actor_delay_prior("delai_estime_jours").alias("acteur_delai_prior"),
+                    rules.rate_bounds("procedure_taux_succes").alias("procedure_taux_borne"),
+                    rules.clip("score_risque", rules.RISK_MIN, rules.RISK_MAX)
+                    .alias("score_borne"))
+
+
+# ---------------------------------------------------------------------------
+# Lookups (J1-J4, P8-P10, P15/F7, F8)
+# ---------------------------------------------------------------------------
+@query("scored_lookup")
+def scored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = training.enriched_cases(spark, sf_dir)
+    return e.select("id", "avocat_id", "tribunal_id", "type_procedure", "huissier_id",
+                    "acteur_taux_succes", "acteur_delai_moyen", "tribunal_delai_moyen",
+                    "procedure_taux_succes", "score_huissier", "score_avocat",
+                    "score_avocat_feature")
+
+
+# ---------------------------------------------------------------------------
+# Validation (P1-P7) and JSON intake
+# ---------------------------------------------------------------------------
+@query("dossier_validation")
+def dossier_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = validation.validate(dossiers.cases(spark, sf_dir))
+    return v.select("id", "dossier_id", "is_valid",
+                    F.size("errors").alias("n_errors"),
+                    F.array_join("errors", " | ").alias("error_text"))
+
+
+@query("validation_summary")
+def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = validation.validate(dossiers.cases(spark, sf_dir))
+    reasons = v.select(F.explode_outer("errors").alias("error"))
+    return (reasons.groupBy(F.coalesce("error", F.lit("OK")).alias("error"))
+                   .agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("json_intake")
+def json_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = intake.parse_requests(intake.request_records(spark, sf_dir))
+    return parsed.select("id", "dossier_id", "oversize", "is_valid",
+                         F.size("errors").alias("n_errors"),
+                         F.array_join("errors", " | ").alias("error_text"))

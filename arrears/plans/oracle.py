@@ -176,3 +176,219 @@ SELECT type_procedure, n_dossiers, n_recouvre, procedure_taux_succes FROM proced
 ORACLE["bailiff_score"] = with_cases(BAILIFF_CARD) + """
 SELECT huissier_id, n_dossiers, n_recouvre, score_huissier FROM bailiff_card
 """
+
+ENRICHED = """
+looked_up AS (
+  SELECT v.*,
+    CASE WHEN v.avocat_id = 'NONE' THEN 0.65::DOUBLE
+         ELSE coalesce(l.acteur_taux_succes, 0.65::DOUBLE) END AS acteur_taux_succes,
+    CASE WHEN v.avocat_id = 'NONE' THEN 120.0::DOUBLE
+         ELSE coalesce(l.acteur_delai_moyen, 120.0::DOUBLE) END AS acteur_delai_moyen,
+    CASE WHEN v.tribunal_id = 'NONE' THEN 0.0::DOUBLE
+         ELSE coalesce(c.tribunal_delai_moyen, 180.0::DOUBLE) END AS tribunal_delai_moyen,
+    coalesce(p.procedure_taux_succes, 0.75::DOUBLE) AS procedure_taux_succes,
+    coalesce(b.score_huissier, 65.0::DOUBLE) AS score_huissier
+  FROM valid v
+  LEFT JOIN lawyer_card l ON l.avocat_id = v.avocat_id
+  LEFT JOIN court_card c ON c.tribunal_id = v.tribunal_id
+  LEFT JOIN procedure_card p ON p.type_procedure = v.type_procedure
+  LEFT JOIN bailiff_card b ON b.huissier_id = v.huissier_id
+),
+enriched AS (
+  SELECT *,
+    round_even(acteur_taux_succes * 100 - acteur_delai_moyen * 0.05::DOUBLE, 2) AS score_avocat,
+    acteur_taux_succes * 100
+      - CAST(date_diff('day', date_ouverture, date_mise_a_jour) AS INTEGER) * 0.05::DOUBLE
+      AS score_avocat_feature,
+    statut_predit AS statut_final,
+    CAST(date_diff('day', date_ouverture, date_mise_a_jour) AS INTEGER) AS delai_final_jours,
+    round_even(CASE WHEN statut_predit = 'Recouvré' THEN montant_impaye
+                    WHEN statut_predit = 'En cours' THEN montant_impaye * 0.25::DOUBLE
+                    ELSE 0.0::DOUBLE END, 2) AS montant_recouvre_final,
+    CASE WHEN score_risque < 40 AND type_procedure = 'Amiable' THEN 'Relance amiable'
+         WHEN score_risque BETWEEN 40 AND 70 AND nombre_retards >= 1 THEN 'Mise en demeure'
+         WHEN score_risque > 70 AND type_procedure = 'Judiciaire' THEN 'Action judiciaire'
+         WHEN anciennete_impaye_jours > 300 OR nombre_echeances_impayees > 10 THEN 'Négociation'
+         ELSE 'Relance amiable' END AS next_best_action
+  FROM looked_up
+)"""
+
+CARDS = [LAWYER_CARD, COURT_CARD, PROCEDURE_CARD, BAILIFF_CARD]
+
+
+def with_enriched(*ctes: str) -> str:
+    return with_cases(*CARDS, ENRICHED, *ctes)
+
+
+ORACLE["status_distribution"] = with_enriched() + """
+SELECT statut_final, count(*) AS n FROM enriched GROUP BY statut_final
+"""
+
+ORACLE["action_distribution"] = with_enriched() + """
+SELECT next_best_action, count(*) AS n FROM enriched GROUP BY next_best_action
+"""
+
+ORACLE["risk_score_serving"] = with_cases() + """
+SELECT id, historique_incidents, montant_impaye, score_risque FROM valid
+"""
+
+ORACLE["risk_score_base"] = with_cases() + """
+, base AS (
+  SELECT id, montant_impaye / revenu_estime AS ratio_endettement,
+         CAST(least(greatest(round_even(30.0::DOUBLE + 100 * (1.0::DOUBLE
+              - exp(-(montant_impaye / revenu_estime) * 2)), 0), 1), 100) AS INTEGER) AS score_base
+  FROM valid
+)
+SELECT id, ratio_endettement, score_base,
+       round_even(1.0::DOUBLE / (1.0::DOUBLE + exp(-(score_base - 75) / 10.0::DOUBLE)), 6)
+         AS prob_judiciaire
+FROM base
+"""
+
+ORACLE["recovery_probability"] = with_enriched() + """
+, lg AS (
+  SELECT id, 1.0::DOUBLE - score_risque * 0.03::DOUBLE + acteur_taux_succes * 2.5::DOUBLE
+             - historique_incidents * 0.1::DOUBLE - anciennete_impaye_jours * 0.001::DOUBLE
+             + CASE WHEN type_procedure = 'Amiable' THEN 0.8::DOUBLE ELSE -0.5::DOUBLE END AS logit
+  FROM enriched
+)
+SELECT id, round_even(logit, 6) AS logit_recouvrement,
+       round_even(1.0::DOUBLE / (1.0::DOUBLE + exp(-logit)), 6) AS prob_recouvrement
+FROM lg
+"""
+
+ORACLE["next_best_action"] = with_enriched() + """
+SELECT id, score_risque, type_procedure, nombre_retards, anciennete_impaye_jours,
+       nombre_echeances_impayees, next_best_action FROM enriched
+"""
+
+ORACLE["recovered_amount"] = with_enriched() + """
+SELECT id, statut_predit, montant_impaye, montant_recouvre_final FROM enriched
+"""
+
+ORACLE["case_timeline"] = with_cases() + """
+SELECT id, dossier_id, procedure_id, avocat_id, tribunal_id, huissier_id,
+       strftime(date_ouverture, '%Y-%m-%d') AS date_ouverture,
+       strftime(date_mise_a_jour, '%Y-%m-%d') AS date_mise_a_jour,
+       CAST(date_diff('day', date_ouverture, date_mise_a_jour) AS INTEGER) AS delai_jours,
+       strftime(CAST(date_ouverture + CAST(date_diff('day', date_ouverture, date_mise_a_jour)
+                                           AS INTEGER) AS DATE), '%Y-%m-%d') AS date_recalculee
+FROM cases
+"""
+
+ORACLE["floors_and_ratio"] = with_cases() + """
+, fl AS (
+  SELECT id, round_even(greatest(revenu_estime, 500.0::DOUBLE), 2) AS revenu_estime,
+         round_even(greatest(montant_impaye, 50.0::DOUBLE), 2) AS montant_impaye
+  FROM cases
+)
+SELECT id, revenu_estime, montant_impaye, montant_impaye / revenu_estime AS ratio_endettement
+FROM fl
+"""
+
+ORACLE["procedure_priors"] = with_enriched() + """
+SELECT id, type_procedure,
+       CASE WHEN type_procedure = 'Judiciaire' THEN 0.65::DOUBLE ELSE 0.85::DOUBLE END
+         AS procedure_taux_prior,
+       CASE WHEN type_procedure = 'Judiciaire'
+            THEN round_even(greatest(delai_estime_jours, 30.0::DOUBLE), 1)
+            ELSE 0.0::DOUBLE END AS tribunal_delai_prior,
+       round_even(greatest(delai_estime_jours, 10.0::DOUBLE), 1) AS acteur_delai_prior,
+       round_even(least(greatest(procedure_taux_succes, 0.0::DOUBLE), 1.0::DOUBLE), 3)
+         AS procedure_taux_borne,
+       least(greatest(score_risque, 1), 100) AS score_borne
+FROM enriched
+"""
+
+ORACLE["scored_lookup"] = with_enriched() + """
+SELECT id, avocat_id, tribunal_id, type_procedure, huissier_id, acteur_taux_succes,
+       acteur_delai_moyen, tribunal_delai_moyen, procedure_taux_succes, score_huissier,
+       score_avocat, score_avocat_feature
+FROM enriched
+"""
+
+ORACLE["dossier_validation"] = with_cases() + """
+SELECT id, dossier_id, error_text = '' AS is_valid,
+       CAST(CASE WHEN error_text = '' THEN 0
+                 ELSE len(string_split(error_text, ' | ')) END AS INTEGER) AS n_errors,
+       error_text
+FROM validated
+"""
+
+ORACLE["validation_summary"] = with_cases() + """
+SELECT error, count(*) AS n
+FROM (SELECT unnest(CASE WHEN error_text = '' THEN ['OK']
+                         ELSE string_split(error_text, ' | ') END) AS error
+      FROM validated)
+GROUP BY error
+"""
+
+# Intake: the same records, validated relationally (a JSON round trip is the
+# identity on these values). Orders without lines lack their line facts.
+ORACLE["json_intake"] = """
+WITH facts AS (
+  SELECT o.o_orderkey, o.o_custkey, o.o_totalprice, o.o_orderdate,
+         CASE WHEN count(l.l_orderkey) > 0
+              THEN count(*) FILTER (WHERE l.l_returnflag = 'R') END AS n_returned,
+         CASE WHEN count(l.l_orderkey) > 0
+              THEN count(*) FILTER (WHERE l.l_linestatus = 'O') END AS n_open,
+         max(CAST(l.l_shipdate AS DATE)) AS last_ship
+  FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey
+  GROUP BY o.o_orderkey, o.o_custkey, o.o_totalprice, o.o_orderdate
+),
+req AS (
+  SELECT f.o_orderkey AS id, printf('DOS-%06d', f.o_orderkey) AS dossier_id,
+         CASE c.c_mktsegment WHEN 'HOUSEHOLD' THEN 'Retail' WHEN 'FURNITURE' THEN 'Retail'
+                             WHEN 'BUILDING' THEN 'Retail' WHEN 'AUTOMOBILE' THEN 'Professionnel'
+                             WHEN 'MACHINERY' THEN 'Corporate' END AS client_segment,
+         c.c_acctbal * 12 AS revenu_estime,
+         f.n_returned AS historique_incidents,
+         f.o_totalprice / 10 AS montant_impaye,
+         date_diff('day', CAST(f.o_orderdate AS DATE), DATE '2001-12-31') AS anciennete_impaye_jours,
+         f.n_open AS nombre_echeances_impayees,
+         CAST(f.o_orderdate AS DATE) AS date_ouverture,
+         f.last_ship AS date_mise_a_jour
+  FROM facts f JOIN customer c ON c.c_custkey = f.o_custkey
+),
+checked AS (
+  SELECT id, dossier_id,
+    concat_ws(' | ',
+      CASE WHEN client_segment IS NULL
+           THEN 'Erreur sur le champ ''client_segment'' : Field required'
+           WHEN client_segment NOT IN ('Retail', 'Professionnel', 'Corporate')
+           THEN 'Erreur sur le champ ''client_segment'' : Valeur non reconnue. Les choix possibles sont : ''Retail'', ''Professionnel'' or ''Corporate''' END,
+      CASE WHEN revenu_estime IS NULL
+           THEN 'Erreur sur le champ ''revenu_estime'' : Field required'
+           WHEN revenu_estime <= 0
+           THEN 'Erreur sur le champ ''revenu_estime'' : La valeur doit être strictement positive (supérieure à 0).' END,
+      CASE WHEN historique_incidents IS NULL
+           THEN 'Erreur sur le champ ''historique_incidents'' : Field required'
+           WHEN historique_incidents < 0
+           THEN 'Erreur sur le champ ''historique_incidents'' : La valeur doit être strictement positive (supérieure à 0).' END,
+      CASE WHEN montant_impaye IS NULL
+           THEN 'Erreur sur le champ ''montant_impaye'' : Field required'
+           WHEN montant_impaye <= 0
+           THEN 'Erreur sur le champ ''montant_impaye'' : La valeur doit être strictement positive (supérieure à 0).' END,
+      CASE WHEN anciennete_impaye_jours IS NULL
+           THEN 'Erreur sur le champ ''anciennete_impaye_jours'' : Field required'
+           WHEN anciennete_impaye_jours < 0
+           THEN 'Erreur sur le champ ''anciennete_impaye_jours'' : La valeur doit être strictement positive (supérieure à 0).' END,
+      CASE WHEN nombre_echeances_impayees IS NULL
+           THEN 'Erreur sur le champ ''nombre_echeances_impayees'' : Field required'
+           WHEN nombre_echeances_impayees < 0
+           THEN 'Erreur sur le champ ''nombre_echeances_impayees'' : La valeur doit être strictement positive (supérieure à 0).' END,
+      CASE WHEN date_ouverture IS NULL
+           THEN 'Erreur sur le champ ''date_ouverture'' : Field required' END,
+      CASE WHEN date_mise_a_jour IS NULL
+           THEN 'Erreur sur le champ ''date_mise_a_jour'' : Field required'
+           WHEN date_ouverture IS NOT NULL AND date_mise_a_jour < date_ouverture
+           THEN 'Erreur sur le champ ''date_mise_a_jour'' : Value error, date_mise_a_jour ne peut pas être antérieure à date_ouverture.' END
+    ) AS error_text
+  FROM req
+)
+SELECT id, dossier_id, false AS oversize, error_text = '' AS is_valid,
+       CAST(CASE WHEN error_text = '' THEN 0
+                 ELSE len(string_split(error_text, ' | ')) END AS INTEGER) AS n_errors,
+       error_text
+FROM checked
+"""

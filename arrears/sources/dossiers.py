@@ -49,7 +49,7 @@ RECOVERED_SHARE = 0.25
 TESTBED_BATCH = "testbed"
 
 
-def _map(col: Column, mapping: dict[str, str]) -> Column:
+def map_values(col: Column, mapping: dict[str, str]) -> Column:
     out = None
     for k, v in mapping.items():
         out = (F.when(col == k, F.lit(v)) if out is None
@@ -94,7 +94,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("id"),
         rules.format_id("DOS", 6, "o_orderkey").alias("dossier_id"),
         F.concat(F.lit("PROC-"), F.col("o_orderkey").cast("string")).alias("procedure_id"),
-        _map(F.col("c_mktsegment"), SEGMENT_OF_MARKET).alias("client_segment"),
+        map_values(F.col("c_mktsegment"), SEGMENT_OF_MARKET).alias("client_segment"),
         F.greatest(F.lit(rules.INCOME_FLOOR), F.col("c_acctbal") * INCOME_MONTHS).alias("revenu_estime"),
         F.greatest(F.lit(rules.AMOUNT_FLOOR), F.col("o_totalprice") / AMOUNT_DIVISOR).alias("montant_impaye"),
         F.col("n_returned").alias("historique_incidents"),
@@ -111,7 +111,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(judicial, rules.format_id("TRIB", 2, "c_nationkey"))
          .otherwise(F.lit(S.NONE_ID)).alias("tribunal_id"),
         rules.format_id("HUI", 3, F.col("o_custkey") % BAILIFF_POOL).alias("huissier_id"),
-        _map(F.col("o_orderstatus"), STATUS_OF_ORDER).alias("statut_predit"),
+        map_values(F.col("o_orderstatus"), STATUS_OF_ORDER).alias("statut_predit"),
         rules.case_delay(opened, F.col("last_ship")).cast("double").alias("delai_estime_jours"),
         F.col("o_orderdate").alias("created_at"),
     )
