@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arrears.functions import rules
 from arrears.functions.rounding import round_half_even
+from arrears.operators import asof
 from arrears.operators import scorecards as sc
 from arrears.operators import validation
 from arrears.sources import dossiers, intake, training
@@ -192,3 +193,13 @@ def json_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("id", "dossier_id", "oversize", "is_valid",
                          F.size("errors").alias("n_errors"),
                          F.array_join("errors", " | ").alias("error_text"))
+
+
+# ---------------------------------------------------------------------------
+# As-of replay
+# ---------------------------------------------------------------------------
+@query("asof_scorecard")
+def asof_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each valid case scored against the history strictly before it
+    (ordered by created_at, then id)."""
+    return asof.asof_scorecards(dossiers.testbed_history(spark, sf_dir))

@@ -392,3 +392,54 @@ SELECT id, dossier_id, false AS oversize, error_text = '' AS is_valid,
        error_text
 FROM checked
 """
+
+ORACLE["asof_scorecard"] = with_cases() + """
+, w AS (
+  SELECT id, avocat_id, tribunal_id, type_procedure, huissier_id,
+    CASE WHEN statut_predit = 'Recouvré' THEN 1 ELSE 0 END AS ok, delai_estime_jours AS d,
+    created_at FROM valid
+),
+prior AS (
+  SELECT id, avocat_id, tribunal_id, type_procedure, huissier_id,
+    count(*) OVER (PARTITION BY avocat_id ORDER BY created_at, id
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l_n,
+    sum(ok) OVER (PARTITION BY avocat_id ORDER BY created_at, id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l_ok,
+    sum(d) OVER (PARTITION BY avocat_id ORDER BY created_at, id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l_d,
+    count(*) OVER (PARTITION BY tribunal_id ORDER BY created_at, id
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c_n,
+    sum(d) OVER (PARTITION BY tribunal_id ORDER BY created_at, id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c_d,
+    count(*) OVER (PARTITION BY type_procedure ORDER BY created_at, id
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p_n,
+    sum(ok) OVER (PARTITION BY type_procedure ORDER BY created_at, id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p_ok,
+    count(*) OVER (PARTITION BY huissier_id ORDER BY created_at, id
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b_n,
+    sum(ok) OVER (PARTITION BY huissier_id ORDER BY created_at, id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b_ok,
+    sum(d) OVER (PARTITION BY huissier_id ORDER BY created_at, id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b_d
+  FROM w
+),
+m AS (
+  SELECT id, avocat_id, tribunal_id, type_procedure, huissier_id,
+    CASE WHEN avocat_id = 'NONE' THEN 0::BIGINT ELSE l_n END AS lawyer_n_prior,
+    CASE WHEN avocat_id = 'NONE' OR l_n = 0 THEN 0.65::DOUBLE
+         ELSE round_even(l_ok / l_n, 3) END AS acteur_taux_succes,
+    CASE WHEN avocat_id = 'NONE' OR l_n = 0 THEN 120.0::DOUBLE
+         ELSE round_even(l_d / l_n, 1) END AS acteur_delai_moyen,
+    CASE WHEN tribunal_id = 'NONE' THEN 0.0::DOUBLE WHEN c_n = 0 THEN 180.0::DOUBLE
+         ELSE round_even(c_d / c_n, 1) END AS tribunal_delai_moyen,
+    CASE WHEN p_n = 0 THEN 0.75::DOUBLE ELSE round_even(p_ok / p_n, 3) END
+      AS procedure_taux_succes,
+    CASE WHEN b_n = 0 THEN 65.0::DOUBLE
+         ELSE round_even((b_ok / b_n) * 100 - (b_d / b_n) * 0.05::DOUBLE, 2) END
+      AS score_huissier
+  FROM prior
+)
+SELECT *, round_even(acteur_taux_succes * 100 - acteur_delai_moyen * 0.05::DOUBLE, 2)
+            AS score_avocat
+FROM m
+"""
