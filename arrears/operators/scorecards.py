@@ -100,35 +100,53 @@ class Scorecards:
     broadcastable: dict
 
 
-def _pin(card: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Write the card to the checkpoint folder (cuts lineage, fixes the
-    snapshot) and report whether its row count allows a broadcast."""
-    pinned = card.checkpoint(eager=True)
-    return pinned, pinned.count() <= max_rows
+def _card_totals(history: DataFrame, status: str, delay: str) -> DataFrame:
+    """The four cards' raw totals in one long table (card, key, n, ok, sum):
+    one job computes all four aggregates over a single read of the history."""
+    parts = []
+    for card, key, skip_none in (("lawyer", "avocat_id", True), ("court", "tribunal_id", True),
+                                 ("procedure", "type_procedure", False),
+                                 ("bailiff", "huissier_id", False)):
+        h = history.filter(F.col(key) != S.NONE_ID) if skip_none else history
+        parts.append(h.groupBy(F.col(key).alias("key"))
+                      .agg(*_totals(status, delay))
+                      .select(F.lit(card).alias("card"), "key", "n_dossiers",
+                              "n_recouvre", "delay_sum"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def snapshot(history: DataFrame, status: str = STATUS, delay: str = DELAY,
              max_broadcast_rows: int = MAX_BROADCAST_ROWS,
              pin: bool = True) -> Scorecards:
-    """Scorecards as of now. With ``pin`` the cards are checkpointed so the
-    lookups of one batch all see the same snapshot and their size is known
-    before choosing a broadcast."""
-    cards = {
-        "lawyer": lawyer_scorecard(history, status, delay)
-        .select("avocat_id", "acteur_taux_succes", "acteur_delai_moyen"),
-        "court": court_scorecard(history, delay).select("tribunal_id", "tribunal_delai_moyen"),
-        "procedure": procedure_scorecard(history, status)
-        .select("type_procedure", "procedure_taux_succes"),
-        "bailiff": bailiff_scorecard(history, status, delay).select("huissier_id", "score_huissier"),
-    }
-    flags = {}
+    """Scorecards as of now. With ``pin`` the card totals are checkpointed
+    (one job), so every lookup of a batch sees the same snapshot, and each
+    card's row count is known before a broadcast is chosen; cards above
+    ``max_broadcast_rows`` are joined with a shuffle instead."""
+    totals = _card_totals(history, status, delay)
+    flags = {k: False for k in ("lawyer", "court", "procedure", "bailiff")}
     if pin:
-        for k in list(cards):
-            cards[k], flags[k] = _pin(cards[k], max_broadcast_rows)
-    else:
-        flags = {k: False for k in cards}
-    return Scorecards(cards["lawyer"], cards["court"], cards["procedure"],
-                      cards["bailiff"], flags)
+        totals = totals.checkpoint(eager=True)
+        sizes = {r["card"]: r["n"] for r in
+                 totals.groupBy("card").agg(F.count(F.lit(1)).alias("n")).collect()}
+        flags = {k: sizes.get(k, 0) <= max_broadcast_rows for k in flags}
+
+    def card(name: str, key: str) -> DataFrame:
+        return (totals.filter(F.col("card") == name).drop("card")
+                      .withColumnRenamed("key", key))
+
+    lawyer = card("lawyer", "avocat_id").select(
+        "avocat_id", round_half_even(_rate(), 3).alias("acteur_taux_succes"),
+        round_half_even(_mean_delay(), 1).alias("acteur_delai_moyen"))
+    court = card("court", "tribunal_id").select(
+        "tribunal_id", round_half_even(_mean_delay(), 1).alias("tribunal_delai_moyen"))
+    procedure = card("procedure", "type_procedure").select(
+        "type_procedure", round_half_even(_rate(), 3).alias("procedure_taux_succes"))
+    bailiff = card("bailiff", "huissier_id").select(
+        "huissier_id", rules.lawyer_score(_rate(), _mean_delay()).alias("score_huissier"))
+    return Scorecards(lawyer, court, procedure, bailiff, flags)
 
 
 def _join(cases: DataFrame, card: DataFrame, key: str, small: bool) -> DataFrame:

@@ -12,7 +12,9 @@ from arrears.functions.rounding import round_half_even
 from arrears.operators import asof
 from arrears.operators import scorecards as sc
 from arrears.operators import validation
-from arrears.sources import dossiers, intake, training
+from arrears import schema as S
+from arrears.session import scratch_path
+from arrears.sources import dossiers, history, intake, tables, training
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -203,3 +205,50 @@ def asof_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each valid case scored against the history strictly before it
     (ordered by created_at, then id)."""
     return asof.asof_scorecards(dossiers.testbed_history(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# History (S6-S8, T1, P14), profile (S2), CSV
+# ---------------------------------------------------------------------------
+def testbed_history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid cases as history rows: rule-scored probability and action,
+    scorecard lookups, no cluster (-1), created at the order date."""
+    e = training.enriched_cases(spark, sf_dir)
+    e = (e.withColumn("probabilite_recouvrement", history.recovery_probability())
+          .withColumn("cluster_segment_id", F.lit(-1))
+          .drop("statut_final", "delai_final_jours", "montant_recouvre_final"))
+    return history.to_history_rows(e, dossiers.TESTBED_BATCH, created_at=F.col("created_at"))
+
+
+@query("recent_history")
+def recent_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 create, S7 append (run twice: the retry adds nothing), S6 read,
+    T1 top 50 newest with id tie-break, P14 projection."""
+    path = scratch_path(spark, "history")
+    rows = testbed_history_rows(spark, sf_dir)
+    history.append_history(spark, rows, path, dossiers.TESTBED_BATCH)
+    history.append_history(spark, rows, path, dossiers.TESTBED_BATCH)
+    return history.recent_history(history.read_history(spark, path), 50)
+
+
+@query("table_profile")
+def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 for the training table and the driver tables it reads."""
+    parts = [history.profile("dossiers", training.training_table(spark, sf_dir))]
+    for name in ("orders", "lineitem", "customer"):
+        parts.append(history.profile(name, tables.table(spark, sf_dir, name)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("csv_round_trip")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 write (header, UTF-8) then S1 read with the declared schema."""
+    path = scratch_path(spark, "csv")
+    history.write_csv(training.training_table(spark, sf_dir), path)
+    back = history.read_csv(spark, path, S.TRAINING_SCHEMA)
+    iso = "yyyy-MM-dd"
+    return (back.withColumn("date_ouverture", F.date_format("date_ouverture", iso))
+                .withColumn("date_mise_a_jour", F.date_format("date_mise_a_jour", iso)))

@@ -443,3 +443,36 @@ SELECT *, round_even(acteur_taux_succes * 100 - acteur_delai_moyen * 0.05::DOUBL
             AS score_avocat
 FROM m
 """
+
+ORACLE["recent_history"] = with_enriched() + """
+SELECT id, dossier_id, client_segment, montant_impaye, statut_predit,
+       round_even(1.0::DOUBLE / (1.0::DOUBLE + exp(-(
+         1.0::DOUBLE - score_risque * 0.03::DOUBLE + acteur_taux_succes * 2.5::DOUBLE
+         - historique_incidents * 0.1::DOUBLE - anciennete_impaye_jours * 0.001::DOUBLE
+         + CASE WHEN type_procedure = 'Amiable' THEN 0.8::DOUBLE ELSE -0.5::DOUBLE END))), 6)
+         AS probabilite_recouvrement,
+       next_best_action, -1 AS cluster_segment_id, score_avocat, created_at
+FROM enriched
+ORDER BY created_at DESC, id DESC
+LIMIT 50
+"""
+
+ORACLE["table_profile"] = with_enriched() + """
+SELECT 'dossiers' AS table_name, count(*) AS n_rows, 27 AS n_columns FROM enriched
+UNION ALL SELECT 'orders', count(*), 6 FROM orders
+UNION ALL SELECT 'lineitem', count(*), 11 FROM lineitem
+UNION ALL SELECT 'customer', count(*), 5 FROM customer
+"""
+
+ORACLE["csv_round_trip"] = with_enriched() + """
+SELECT sha256(dossier_id || '|' || procedure_id || '|' || 'testbed') AS feature_id,
+       dossier_id, procedure_id, client_segment, historique_incidents,
+       strftime(date_ouverture, '%Y-%m-%d') AS date_ouverture,
+       revenu_estime, montant_impaye, anciennete_impaye_jours, nombre_echeances_impayees,
+       score_risque, type_procedure, tribunal_id, avocat_id, huissier_id, nombre_evenements,
+       nombre_retards, derniere_action_age_jours, acteur_taux_succes, acteur_delai_moyen,
+       tribunal_delai_moyen, procedure_taux_succes, statut_final, delai_final_jours,
+       strftime(date_mise_a_jour, '%Y-%m-%d') AS date_mise_a_jour,
+       montant_recouvre_final, next_best_action
+FROM enriched
+"""

@@ -34,6 +34,9 @@ def with_labels(cases: DataFrame) -> DataFrame:
 def enriched_cases(spark: SparkSession, sf_dir: str, pin: bool = True) -> DataFrame:
     """Valid cases + scorecard lookups (both lawyer scores) + labels."""
     history = dossiers.testbed_history(spark, sf_dir)
+    if pin:
+        # written once: both the scorecards and the lookups read it
+        history = history.checkpoint(eager=True)
     cards = sc.snapshot(history, pin=pin)
     return with_labels(sc.attach_scorecards(history, cards))
 
