@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrears.functions import rules
 from arrears.functions.rounding import round_half_even
-from arrears.operators import asof
+from arrears.operators import asof, features, models, scoring
 from arrears.operators import scorecards as sc
 from arrears.operators import validation
 from arrears import schema as S
-from arrears.session import scratch_path
-from arrears.sources import dossiers, history, intake, tables, training
+from arrears.session import scratch_path, stable_path
+from arrears.sources import dossiers, history, intake, model_store, tables, training
+from arrears.streaming import scoring_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -252,3 +257,90 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     iso = "yyyy-MM-dd"
     return (back.withColumn("date_ouverture", F.date_format("date_ouverture", iso))
                 .withColumn("date_mise_a_jour", F.date_format("date_mise_a_jour", iso)))
+
+
+# ---------------------------------------------------------------------------
+# Spark ML (L1-L18, S4, S9, S10) and streaming (X1); rows-only checks
+# ---------------------------------------------------------------------------
+MODEL_LAYOUT = "v1"
+
+
+def model_root(spark: SparkSession, sf_dir: str) -> str:
+    key = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
+    return stable_path(spark, "models", f"{key}-{MODEL_LAYOUT}")
+
+
+def trained_models(spark: SparkSession, sf_dir: str) -> dict:
+    """Latest saved models for this data set (S10), training them first if
+    the store has none."""
+    root = model_root(spark, sf_dir)
+    try:
+        return model_store.load_all(spark, root)
+    except FileNotFoundError:
+        fitted, _ = models.train(spark, training.training_table(spark, sf_dir))
+        model_store.save_models(fitted, root)
+        return model_store.load_all(spark, root)
+
+
+@query("feature_matrix_stats")
+def feature_matrix_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per slot of the standardised full feature vector, mean ~ 0 and
+    std ~ 1 (constant slots stay 0)."""
+    data = models.prepare(training.training_table(spark, sf_dir))
+    fm = features.full_pipeline().fit(data)
+    names = features.slot_names(fm, S.FULL_CATEGORICAL, S.FULL_NUMERIC)
+    summary = fm.transform(data).select(
+        Summarizer.metrics("mean", "std").summary(F.col("features_full")).alias("s"))
+    arr = summary.select(vector_to_array("s.mean").alias("m"), vector_to_array("s.std").alias("d"))
+    slots = F.array(*[F.lit(n) for n in names])
+    return arr.select(F.posexplode(F.arrays_zip(slots.alias("name"), "m", "d")).alias("slot", "z")) \
+              .select("slot", F.col("z.name").alias("feature"),
+                      F.col("z.m").alias("mean"), F.col("z.d").alias("std"))
+
+
+@query("train_metrics")
+def train_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L7-L17 fit + evaluate, S9 save with a timestamp, S10 reload latest."""
+    root = model_root(spark, sf_dir)
+    fitted, metrics = models.train(spark, training.training_table(spark, sf_dir))
+    paths = model_store.save_models(fitted, root)
+    loaded = {p: model_store.latest_model_path(spark, root, p) for p in S.MODEL_PREFIXES}
+    saved = spark.createDataFrame([(k, paths[k], loaded[k]) for k in S.MODEL_PREFIXES],
+                                  "model string, saved_path string, latest_path string")
+    return metrics.join(saved, "model")
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid cases as the client sends them (10 contract fields)."""
+    return dossiers.valid_cases(spark, sf_dir).select(*S.REQUEST_FIELDS)
+
+
+@query("batch_scoring")
+def batch_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L18 cascade over every valid case against a scorecard snapshot of the
+    history, S7 append, P13 response."""
+    fitted = trained_models(spark, sf_dir)
+    cards = sc.snapshot(dossiers.testbed_history(spark, sf_dir))
+    scored = scoring.score(_requests(spark, sf_dir), cards, fitted).checkpoint(eager=True)
+    path = scratch_path(spark, "scored_history")
+    history.append_history(spark, history.to_history_rows(scored, "batch"), path, "batch")
+    return scoring.response(scored)
+
+
+@query("stream_scoring")
+def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON records arrive as files; each micro-batch is validated,
+    scored against the history so far and appended. A second run on the
+    same checkpoint adds nothing."""
+    fitted = trained_models(spark, sf_dir)
+    base = scratch_path(spark, "stream")
+    src = f"{base}/in"
+    (intake.request_records(spark, sf_dir).select("value")
+           .repartition(4, "value").write.text(src))
+    hist, quarantine, ckpt = f"{base}/history", f"{base}/quarantine", f"{base}/ckpt"
+    for _ in range(2):
+        q = scoring_stream.start(spark, src, hist, quarantine, ckpt, fitted,
+                                 max_files_per_trigger=1)
+        q.awaitTermination()
+    return history.read_history(spark, hist).select(
+        *S.HISTORY_VIEW_COLUMNS, "type_procedure", "avocat_id", "huissier_id", "batch_id")
