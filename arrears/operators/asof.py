@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from arrears import schema as S
 from arrears.functions import rules
 from arrears.functions.rounding import round_half_even
-from arrears.session import checkpoint_root, shuffle_partitions
+from arrears.session import checkpoint_root
 
 PID = "_pid"
 N_PRIOR = "n_prior"
@@ -118,11 +118,13 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str],
     """
     spark = df.sparkSession
     checkpoint_root(spark)
-    n = num_partitions or shuffle_partitions(spark)
     for v in values:
         df = df.withColumn(v, F.col(v).cast("double"))
-    ranged = (df.repartitionByRange(n, *keys, *order)
-                .sortWithinPartitions(*keys, *order)
+    # without an explicit count AQE may merge adjacent ranges (they stay
+    # contiguous and ordered); the count stays <= spark.sql.shuffle.partitions
+    ranged = (df.repartitionByRange(num_partitions, *keys, *order) if num_partitions
+              else df.repartitionByRange(*keys, *order))
+    ranged = (ranged.sortWithinPartitions(*keys, *order)
                 .withColumn(PID, F.spark_partition_id()))
     key_types = {f.name: f.dataType for f in ranged.schema.fields}
     out_schema = T.StructType(
@@ -136,7 +138,7 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str],
     tot_cols = [N_PRIOR] + [_prior_name(v) for v in values]
     last = F.struct(*keys)
     first = F.struct(*[F.col(f"_first_{k}").alias(k) for k in keys])
-    # one row per non-empty partition: N rows, N chosen by us
+    # one row per non-empty partition: at most spark.sql.shuffle.partitions
     summary = scanned.filter(F.col(SUMMARY)).select(
         PID, last.alias("_last"), first.alias("_first"), *tot_cols)
     run_w = (Window.partitionBy("_last").orderBy(PID)
