@@ -11,14 +11,14 @@ distributed exclusive prefix sum instead:
 2. inside a partition, a vectorised pandas scan (``mapInPandas``) gives
    every row the totals of the earlier rows *of that partition*;
 3. the same scan emits one summary row per partition (first key, last key,
-   totals of the last key); its output is checkpointed so both uses see one
-   partition layout. A window over the N summary rows (N = partition
-   count, a bound we choose) yields the carry-in of each partition's first
-   key;
+   totals of the last key); its output is pinned (written once) so both
+   uses see one partition layout. A window over the N summary rows (N <=
+   spark.sql.shuffle.partitions) yields the carry-in of each partition's
+   first key;
 4. the N-row carry table is broadcast back and added.
 
-One range shuffle and one checkpoint write of the input; everything else
-is map-side or N rows.
+One range shuffle and one pinned write of the input; everything else is
+map-side or N rows.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from arrears import schema as S
 from arrears.functions import rules
 from arrears.functions.rounding import round_half_even
-from arrears.session import checkpoint_root
+from arrears.session import checkpoint_root, pin
 
 PID = "_pid"
 N_PRIOR = "n_prior"
@@ -112,7 +112,7 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str],
     the same key strictly before each row in ``order``. Keys must be
     non-null; ``order`` must be a total order (end it with a unique id).
 
-    The scanned rows are checkpointed (to ``spark.checkpoint.dir``): the
+    The scanned rows are pinned (a table under ``spark.checkpoint.dir``): the
     carry step must see exactly the partition layout the scan saw, and a
     re-sampled range partitioner would not guarantee it.
     """
@@ -133,7 +133,7 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str],
         + [T.StructField(_prior_name(v), T.DoubleType()) for v in values]
         + [T.StructField(SUMMARY, T.BooleanType())]
         + [T.StructField(f"_first_{k}", key_types[k]) for k in keys])
-    scanned = ranged.mapInPandas(_local_scan(keys, values), out_schema).checkpoint(eager=True)
+    scanned = pin(ranged.mapInPandas(_local_scan(keys, values), out_schema), "asof_scan")
 
     tot_cols = [N_PRIOR] + [_prior_name(v) for v in values]
     last = F.struct(*keys)
@@ -190,11 +190,16 @@ def asof_scorecards(history: DataFrame, status: str = "statut_predit",
     def pick(dim: str, c: str):
         return F.max(F.when(F.col("dim") == dim, F.col(c)))
 
+    # the entity ids come back from the stacked rows (a filtered sentinel
+    # leaves no row: it is NONE), so the history is read only once
     wide = scanned.groupBy(rid).agg(
+        *[pick(d, "entity").alias(c) for d, c, _ in _DIMS],
         *[pick(d, c).alias(f"{d}_{c}") for d, _, _ in _DIMS
           for c in (N_PRIOR, "ok_prior", "delay_prior")])
-    base = history.select(rid, "avocat_id", "tribunal_id", "type_procedure", "huissier_id")
-    out = base.join(wide, rid, "left")
+    out = wide
+    for d, c, sentinel in _DIMS:
+        if sentinel:
+            out = out.withColumn(c, F.coalesce(F.col(c), F.lit(S.NONE_ID)))
 
     def seen(d: str):
         return F.coalesce(F.col(f"{d}_{N_PRIOR}"), F.lit(0)) > 0

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from arrears import schema as S
 from arrears.functions import rules
 from arrears.functions.rounding import round_half_even
+from arrears.session import pin as pin_table
 
 STATUS = "statut_predit"
 DELAY = "delai_estime_jours"
@@ -100,35 +101,54 @@ class Scorecards:
     broadcastable: dict
 
 
-def _card_totals(history: DataFrame, status: str, delay: str) -> DataFrame:
-    """The four cards' raw totals in one long table (card, key, n, ok, sum):
-    one job computes all four aggregates over a single read of the history."""
-    parts = []
-    for card, key, skip_none in (("lawyer", "avocat_id", True), ("court", "tribunal_id", True),
-                                 ("procedure", "type_procedure", False),
-                                 ("bailiff", "huissier_id", False)):
-        h = history.filter(F.col(key) != S.NONE_ID) if skip_none else history
-        parts.append(h.groupBy(F.col(key).alias("key"))
-                      .agg(*_totals(status, delay))
-                      .select(F.lit(card).alias("card"), "key", "n_dossiers",
-                              "n_recouvre", "delay_sum"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+CARD_KEYS = [("lawyer", "avocat_id", True), ("court", "tribunal_id", True),
+             ("procedure", "type_procedure", False), ("bailiff", "huissier_id", False)]
 
 
-def snapshot(history: DataFrame, status: str = STATUS, delay: str = DELAY,
-             max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-             pin: bool = True) -> Scorecards:
-    """Scorecards as of now. With ``pin`` the card totals are checkpointed
-    (one job), so every lookup of a batch sees the same snapshot, and each
-    card's row count is known before a broadcast is chosen; cards above
+def _card_totals(history: DataFrame, status: str, delay: str) -> DataFrame:
+    """The four cards' raw totals in one long table (card, key, n, ok, sum).
+
+    Each history row is stacked into its four (card, key) entries and one
+    ``groupBy(card, key)`` aggregates them: a single read of the history
+    and a single, map-side-combined shuffle for all four cards.
+    """
+    entries = F.array(*[F.struct(F.lit(card).alias("card"), F.col(key).alias("key"))
+                        for card, key, _ in CARD_KEYS])
+    sentinel_cards = [card for card, _, skip in CARD_KEYS if skip]
+    long = (history.select(F.inline(entries),
+                           (F.col(status) == S.RECOVERED).alias("_ok"),
+                           F.col(delay).alias("_delay"))
+                   .filter(~(F.col("card").isin(*sentinel_cards)
+                             & (F.col("key") == S.NONE_ID))))
+    return long.groupBy("card", "key").agg(
+        F.count(F.lit(1)).alias("n_dossiers"),
+        F.count_if(F.col("_ok")).alias("n_recouvre"),
+        F.sum("_delay").alias("delay_sum"))
+
+
+def card_totals(history: DataFrame, status: str = STATUS, delay: str = DELAY) -> DataFrame:
+    """Raw totals of the four cards (card, key, n_dossiers, n_recouvre,
+    delay_sum): algebraic, so totals of two histories merge by summing."""
+    return _card_totals(history, status, delay)
+
+
+def merge_totals(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Totals of the union of two histories (small: one row per entity)."""
+    return (old.unionByName(new).groupBy("card", "key")
+               .agg(F.sum("n_dossiers").alias("n_dossiers"),
+                    F.sum("n_recouvre").alias("n_recouvre"),
+                    F.sum("delay_sum").alias("delay_sum")))
+
+
+def cards_from_totals(totals: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+                      pin: bool = True) -> Scorecards:
+    """Scorecards from raw totals. With ``pin`` the totals are written once,
+    so every lookup of a batch sees the same snapshot, and each card's row
+    count is known before a broadcast is chosen; cards above
     ``max_broadcast_rows`` are joined with a shuffle instead."""
-    totals = _card_totals(history, status, delay)
     flags = {k: False for k in ("lawyer", "court", "procedure", "bailiff")}
     if pin:
-        totals = totals.checkpoint(eager=True)
+        totals = pin_table(totals, "cards")
         sizes = {r["card"]: r["n"] for r in
                  totals.groupBy("card").agg(F.count(F.lit(1)).alias("n")).collect()}
         flags = {k: sizes.get(k, 0) <= max_broadcast_rows for k in flags}
@@ -149,6 +169,26 @@ def snapshot(history: DataFrame, status: str = STATUS, delay: str = DELAY,
     return Scorecards(lawyer, court, procedure, bailiff, flags)
 
 
+def snapshot(history: DataFrame, status: str = STATUS, delay: str = DELAY,
+             max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+             pin: bool = True) -> Scorecards:
+    """Scorecards of a history as of now (one read, one shuffle)."""
+    return cards_from_totals(card_totals(history, status, delay), max_broadcast_rows, pin)
+
+
+def restrict(cards: Scorecards, lawyers: list[str], courts: list[str],
+             bailiffs: list[str]) -> Scorecards:
+    """Only the entities a lookup can ask for. The serving cascade assigns
+    automatic ids only (P11), so its cards hold at most one row per id:
+    a proven bound, always broadcast."""
+    procedures = cards.procedure  # keyed by a two-value domain
+    return Scorecards(cards.lawyer.filter(F.col("avocat_id").isin(*lawyers)),
+                      cards.court.filter(F.col("tribunal_id").isin(*courts)),
+                      procedures,
+                      cards.bailiff.filter(F.col("huissier_id").isin(*bailiffs)),
+                      {"lawyer": True, "court": True, "procedure": True, "bailiff": True})
+
+
 def _join(cases: DataFrame, card: DataFrame, key: str, small: bool) -> DataFrame:
     return cases.join(F.broadcast(card) if small else card, key, "left")
 

@@ -17,7 +17,7 @@ from arrears.operators import asof, features, models, scoring
 from arrears.operators import scorecards as sc
 from arrears.operators import validation
 from arrears import schema as S
-from arrears.session import scratch_path, stable_path
+from arrears.session import pin, scratch_path, stable_path
 from arrears.sources import dossiers, history, intake, model_store, tables, training
 from arrears.streaming import scoring_stream
 
@@ -321,7 +321,7 @@ def batch_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     history, S7 append, P13 response."""
     fitted = trained_models(spark, sf_dir)
     cards = sc.snapshot(dossiers.testbed_history(spark, sf_dir))
-    scored = scoring.score(_requests(spark, sf_dir), cards, fitted).checkpoint(eager=True)
+    scored = pin(scoring.score(_requests(spark, sf_dir), cards, fitted), "scored")
     path = scratch_path(spark, "scored_history")
     history.append_history(spark, history.to_history_rows(scored, "batch"), path, "batch")
     return scoring.response(scored)

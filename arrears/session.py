@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "arrears",
@@ -77,3 +77,15 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+def pin(df: DataFrame, *parts: str) -> DataFrame:
+    """Materialise ``df`` as a Parquet table in the checkpoint folder and
+    read it back: lineage is cut (executor loss does not recompute the
+    upstream plan), and the plan runs once. An eager RDD ``checkpoint()``
+    would run it twice (one job for the action, one to write the files)
+    unless persisted. The read-back also gives the planner real sizes."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "pinned", *parts)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from arrears import schema as S
 from arrears.functions import rules
 from arrears.operators import scorecards as sc
+from arrears.session import pin as pin_table
 from arrears.sources import dossiers
 
 
@@ -36,7 +37,7 @@ def enriched_cases(spark: SparkSession, sf_dir: str, pin: bool = True) -> DataFr
     history = dossiers.testbed_history(spark, sf_dir)
     if pin:
         # written once: both the scorecards and the lookups read it
-        history = history.checkpoint(eager=True)
+        history = pin_table(history, "history")
     cards = sc.snapshot(history, pin=pin)
     return with_labels(sc.attach_scorecards(history, cards))
 
