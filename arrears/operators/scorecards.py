@@ -21,9 +21,11 @@ from arrears.session import pin as pin_table
 STATUS = "statut_predit"
 DELAY = "delai_estime_jours"
 
-# Largest scorecard we broadcast. Above it the lookup is a shuffle join
-# (sort-merge, AQE splits skewed partitions such as the sentinel ids).
-MAX_BROADCAST_ROWS = 2_000_000
+# Largest scorecard we broadcast: a card row is a short id and two doubles
+# (~50 bytes), so this is ~25 MB shipped to every executor. Above it the
+# lookup is a shuffle join (sort-merge; AQE splits skewed partitions such as
+# the sentinel ids).
+MAX_BROADCAST_ROWS = 500_000
 
 
 def _totals(status: str, delay: str) -> list[Column]:

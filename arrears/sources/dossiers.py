@@ -75,8 +75,10 @@ def order_facts(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFra
     late = F.datediff(F.col("ship_day"), F.to_date("o_orderdate")) > LATE_DAYS
     # group on the key alone (the other order columns depend on it): the
     # exchange, when one is needed, hashes one column, and a sort-merge join
-    # on the order key already satisfies it
-    carried = [F.any_value(c).alias(c) for c in tables.ORDERS_COLS if c != "o_orderkey"]
+    # on the order key already satisfies it. The dependent columns are
+    # constant per key; ``max`` returns that value and, unlike
+    # ``any_value``, is deterministic (measured faster here too)
+    carried = [F.max(c).alias(c) for c in tables.ORDERS_COLS if c != "o_orderkey"]
     return (joined.groupBy("o_orderkey")
                   .agg(*carried,
                        F.sum("n").alias("n_lines"),
