@@ -300,14 +300,15 @@ def feature_matrix_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("train_metrics")
 def train_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L7-L17 fit + evaluate, S9 save with a timestamp, S10 reload latest."""
+    """L7-L17 fit + evaluate, S9 save with a timestamp, S10 reload latest;
+    plus the duration RMSE without the leaking lawyer-score feature."""
     root = model_root(spark, sf_dir)
     fitted, metrics = models.train(spark, training.training_table(spark, sf_dir))
     paths = model_store.save_models(fitted, root)
     loaded = {p: model_store.latest_model_path(spark, root, p) for p in S.MODEL_PREFIXES}
     saved = spark.createDataFrame([(k, paths[k], loaded[k]) for k in S.MODEL_PREFIXES],
                                   "model string, saved_path string, latest_path string")
-    return metrics.join(saved, "model")
+    return metrics.join(saved, "model", "left")
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,29 +55,45 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+_SCOPES = threading.local()
+
+
 def scratch_path(spark: SparkSession, *parts: str) -> str:
-    """A fresh folder below the checkpoint root for a written table."""
+    """A fresh folder for a written table: below the innermost
+    ``scratch_scope`` if one is open, else below the checkpoint root."""
+    stack = getattr(_SCOPES, "stack", None)
+    if stack:
+        return "/".join([stack[-1], *parts, uuid.uuid4().hex])
     root = checkpoint_root(spark).rstrip("/")
     return "/".join([root, "arrears", *parts, uuid.uuid4().hex])
 
 
-def stable_path(spark: SparkSession, *parts: str) -> str:
-    """A fixed folder below the checkpoint root (model store, history)."""
-    root = checkpoint_root(spark).rstrip("/")
-    return "/".join([root, "arrears", *parts])
+def delete_path(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+@contextmanager
+def scratch_scope(spark: SparkSession, root: str):
+    """Tables pinned inside the block live under ``root`` and are deleted
+    when the block ends: for work whose results are fully written inside
+    it (a streaming micro-batch), so scratch does not grow with time."""
+    stack = getattr(_SCOPES, "stack", None)
+    if stack is None:
+        stack = _SCOPES.stack = []
+    stack.append(root.rstrip("/"))
+    try:
+        yield root
+    finally:
+        stack.pop()
+        delete_path(spark, root)
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for driver-side directory listing."""
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.abspath(path)
+def stable_path(spark: SparkSession, *parts: str) -> str:
+    """A fixed folder below the checkpoint root (model store, history)."""
+    root = checkpoint_root(spark).rstrip("/")
+    return "/".join([root, "arrears", *parts])
 
 
 def pin(df: DataFrame, *parts: str) -> DataFrame:
