@@ -59,14 +59,19 @@ def bailiff_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Distributions (A6, A7) over the training table
 # ---------------------------------------------------------------------------
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the labels do not depend on the scorecard lookups: no snapshot needed
+    return training.with_labels(dossiers.valid_cases(spark, sf_dir))
+
+
 @query("status_distribution")
 def status_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sc.distribution(training.training_table(spark, sf_dir), "statut_final")
+    return sc.distribution(_labelled(spark, sf_dir), "statut_final")
 
 
 @query("action_distribution")
 def action_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sc.distribution(training.training_table(spark, sf_dir), "next_best_action")
+    return sc.distribution(_labelled(spark, sf_dir), "next_best_action")
 
 
 # ---------------------------------------------------------------------------
