@@ -85,3 +85,19 @@ def test_record_size_guard(spark):
     assert got["limit"]["oversize"] is False and got["limit"]["is_valid"] is True
     assert got["over"]["oversize"] is True and got["over"]["is_valid"] is False
     assert got["bomb"]["oversize"] is True and got["bomb"]["is_valid"] is False
+
+
+def test_valid_plus_quarantined_is_input(spark):
+    from pyspark.sql import functions as F
+
+    from arrears.operators.validation import split_valid
+    from arrears.sources import intake
+    from tests.conftest import SF_SMALL
+
+    recs = intake.request_records(spark, SF_SMALL)
+    parsed = intake.parse_requests(recs)
+    valid, bad = split_valid(parsed)
+    n_valid, n_bad = valid.count(), bad.count()
+    assert n_valid + n_bad == recs.count()
+    assert n_bad > 0 and n_valid > 0
+    assert bad.filter(F.size("errors") == 0).count() == 0
