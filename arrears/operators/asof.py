@@ -45,7 +45,7 @@ def _prior_name(v: str) -> str:
     return f"{v}_prior"
 
 
-def _local_scan(keys: list[str], values: list[str]):
+def _local_scan(keys: list[str], values: list[str], passthrough: list[str]):
     """Exclusive running totals per key within one (sorted) partition, plus
     one summary row for the partition: its first key (``_first_*``), its last
     key (in the key columns) and the totals of that last key."""
@@ -81,7 +81,7 @@ def _local_scan(keys: list[str], values: list[str]):
             else:
                 carry = totals
             carry_key = last_key
-            out = pdf.copy()
+            out = pdf[passthrough].copy()
             out[N_PRIOR] = excl[:, 0].astype(np.int64)
             for i, v in enumerate(values, start=1):
                 out[_prior_name(v)] = excl[:, i]
@@ -107,10 +107,12 @@ def _local_scan(keys: list[str], values: list[str]):
 
 
 def running_totals(df: DataFrame, keys: list[str], order: list[str],
-                   values: list[str], num_partitions: int | None = None) -> DataFrame:
+                   values: list[str], num_partitions: int | None = None,
+                   keep: list[str] | None = None) -> DataFrame:
     """Adds ``n_prior`` and ``<value>_prior``: count and sums of the rows with
     the same key strictly before each row in ``order``. Keys must be
     non-null; ``order`` must be a total order (end it with a unique id).
+    With ``keep`` only those columns (and the keys) come back.
 
     The scanned rows are pinned (a table under ``spark.checkpoint.dir``): the
     carry step must see exactly the partition layout the scan saw, and a
@@ -127,13 +129,21 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str],
     ranged = (ranged.sortWithinPartitions(*keys, *order)
                 .withColumn(PID, F.spark_partition_id()))
     key_types = {f.name: f.dataType for f in ranged.schema.fields}
+    # columns carried through the scan: all by default, or only ``keep``
+    # (plus keys and partition id), which narrows the pinned write
+    if keep is None:
+        carried = [f.name for f in ranged.schema.fields]
+    else:
+        carried = [c for c in ranged.columns if c in set(keep) | set(keys) | {PID}]
     out_schema = T.StructType(
-        [T.StructField(f.name, f.dataType, True) for f in ranged.schema.fields]
+        [T.StructField(f.name, f.dataType, True) for f in ranged.schema.fields
+         if f.name in carried]
         + [T.StructField(N_PRIOR, T.LongType())]
         + [T.StructField(_prior_name(v), T.DoubleType()) for v in values]
         + [T.StructField(SUMMARY, T.BooleanType())]
         + [T.StructField(f"_first_{k}", key_types[k]) for k in keys])
-    scanned = pin(ranged.mapInPandas(_local_scan(keys, values), out_schema), "asof_scan")
+    scanned = pin(ranged.mapInPandas(_local_scan(keys, values, carried), out_schema),
+                  "asof_scan")
 
     tot_cols = [N_PRIOR] + [_prior_name(v) for v in values]
     last = F.struct(*keys)
@@ -185,7 +195,7 @@ def asof_scorecards(history: DataFrame, status: str = "statut_predit",
                    .filter(~(F.col("dim").isin("lawyer", "court")
                              & (F.col("entity") == S.NONE_ID))))
     scanned = running_totals(long, ["dim", "entity"], [ts, rid], ["ok", "delay"],
-                             num_partitions)
+                             num_partitions, keep=[rid])
 
     def pick(dim: str, c: str):
         return F.max(F.when(F.col("dim") == dim, F.col(c)))

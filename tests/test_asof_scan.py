@@ -46,3 +46,13 @@ def test_property(spark, data, n_parts):
     pdf["id"] = np.arange(len(pdf))
     pdf["v"] = pdf["v"].astype(float)
     check(spark, pdf[["k", "t", "id", "v"]], n_parts)
+
+
+def test_keep_narrows_output(spark):
+    pdf = pd.DataFrame({"k": ["a", "a", "b"], "t": [1, 2, 1], "id": [1, 2, 3],
+                        "v": [1.0, 2.0, 3.0]})
+    df = spark.createDataFrame(pdf, "k string, t long, id long, v double")
+    out = running_totals(df, ["k"], ["t", "id"], ["v"], num_partitions=2, keep=["id"])
+    assert sorted(out.columns) == sorted(["id", "k", "n_prior", "v_prior"])
+    got = {r["id"]: (r["n_prior"], r["v_prior"]) for r in out.collect()}
+    assert got == {1: (0, 0.0), 2: (1, 1.0), 3: (0, 0.0)}
