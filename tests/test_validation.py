@@ -38,6 +38,8 @@ CASES = [
      ["client_segment", "revenu_estime"]),
     ("bad_number", variant(montant_impaye="abc"), False, ["montant_impaye"]),
     ("bad_date", variant(date_ouverture="15/03/2024"), False, ["date_ouverture"]),
+    ("number_for_text", variant(dossier_id=123), False, ["dossier_id"]),
+    ("int_as_float", variant(historique_incidents=2.0), True, []),
 ]
 
 
