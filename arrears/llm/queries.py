@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .fingerprints import op3_fingerprints
 from .token_counts import op9_token_counts
 from .unigram import op10_sentencepiece
 
 QUERIES = {
+    "op3_fingerprints": op3_fingerprints,
     "op9_token_counts": op9_token_counts,
     "op10_sentencepiece": op10_sentencepiece,
 }
