@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .fingerprints import op3_fingerprints
+from .mixing import OP7_SQL, op7_mixing
 from .token_counts import op9_token_counts
 from .unigram import op10_sentencepiece
 
 QUERIES = {
     "op3_fingerprints": op3_fingerprints,
+    "op7_mixing": op7_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_mixing": OP7_SQL,
+}
