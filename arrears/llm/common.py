@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,55 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def bloom(keys: DataFrame, key: str, most_bits: int = 1 << 27):
+    """A Bloom filter over a column of uniform 64-bit hashes, as a broadcast
+    of at most ``most_bits`` bits (16 MB). With more keys it lets more pass;
+    it only spares shuffles, and an exact join or count follows it."""
+    n = keys.count()
+    bits = min(most_bits, 1 << max(12, int(np.ceil(np.log2(12 * n + 1)))))
+    level = bits.bit_length() - 1
+    at = F.explode(F.array(F.shiftrightunsigned(key, 64 - level),
+                           F.shiftrightunsigned(key, 20).bitwiseAND(F.lit(bits - 1)),
+                           F.col(key).bitwiseAND(F.lit(bits - 1))))
+    words = (keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("mask")).toArrow())
+    filled = np.zeros(bits // 64, np.int64)
+    filled[words["word"].to_numpy()] = words["mask"].to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
+
+
+def passes(filled: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which of the uint64 keys may be in the filter."""
+    bits = len(filled) * 64
+    level = np.uint64(64 - (bits.bit_length() - 1))
+    ok = np.ones(len(key), bool)
+    for at in (key >> level, (key >> np.uint64(20)) & np.uint64(bits - 1), key & np.uint64(bits - 1)):
+        ok &= (filled[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return ok
+
+
+def packed(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` with the binary column ``text`` compressed, for a shuffle of
+    whole texts; ``unpack`` reverses it."""
+    names = rows.columns
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            yield batch.set_column(at, text, pa.array(map(squeeze, batch.column(at).to_pylist()), pa.binary()))
+
+    return rows.select(*names).mapInArrow(pack, rows.schema)
+
+
+def unpack(column: pa.Array) -> Iterator[bytes]:
+    import zstandard
+
+    return map(zstandard.ZstdDecompressor().decompress, column.to_pylist())
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``links(a, b)`` as ``(id, component)``, the
     component being the smallest id reachable. Ids that stand in no link are

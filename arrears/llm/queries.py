@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .fingerprints import op3_fingerprints
 from .mixing import OP7_SQL, op7_mixing
+from .repeats import op1_repeats
 from .token_counts import op9_token_counts
 from .unigram import op10_sentencepiece
 
 QUERIES = {
+    "op1_repeats": op1_repeats,
     "op3_fingerprints": op3_fingerprints,
     "op7_mixing": op7_mixing,
     "op9_token_counts": op9_token_counts,
