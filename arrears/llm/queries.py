@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fingerprints import op3_fingerprints
 from .mixing import OP7_SQL, op7_mixing
+from .near_dups import op4_near_duplicates
 from .repeats import op1_repeats
 from .token_counts import op9_token_counts
 from .unigram import op10_sentencepiece
@@ -11,11 +12,13 @@ from .unigram import op10_sentencepiece
 QUERIES = {
     "op1_repeats": op1_repeats,
     "op3_fingerprints": op3_fingerprints,
+    "op4_near_duplicates": op4_near_duplicates,
     "op7_mixing": op7_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE: dict[str, str] = {
+    "op4_near_duplicates": op4_near_duplicates,
     "op7_mixing": OP7_SQL,
 }
