@@ -30,18 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrears.session import pin
 
-from .common import components, packed, table, text_or_empty, unpack
+from .common import packed, table, text_or_empty, unpack
+from .linking import link_buckets
 
 HALVES, DEPTH = 16, 3
 SIMILAR = 75  # per cent
-#: pairs across components are formed at once if they are at most this many
-#: times the bucket entries they come from
-CROSS = 20
 
 _rng = np.random.default_rng(40490)
 _SPREAD = _rng.integers(0, 1 << 63, 2 * HALVES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,10 +114,10 @@ def _buckets(classes: DataFrame) -> DataFrame:
     right = F.filter("own", lambda x: x["place"] >= HALVES)
     return (own.select("c", "n", "weight", F.explode(left).alias("l"), right.alias("right"))
             .select("c", "n", "weight", "l", F.explode("right").alias("r"))
-            .select(F.xxhash64("l.place", "l.half", "r.place", "r.half").alias("bucket"), "c", "n", "weight"))
+            .select(F.xxhash64("l.place", "l.half", "r.place", "r.half").alias("bucket"), "c", F.col("n").alias("about"), "weight"))
 
 
-def _comparable(a: str, b: str):
+def _comparable(a: Column, b: Column) -> Column:
     """Set sizes that allow the similarity at all."""
     return F.lit(100) * F.least(a, b) >= F.lit(SIMILAR) * F.greatest(a, b)
 
@@ -134,49 +132,6 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .select("a", "b"))
 
 
-def link_buckets(buckets: DataFrame, sets_of) -> DataFrame | None:
-    """Components ``(id, component)`` of all links between classes that share
-    a bucket; None if no bucket holds two. ``buckets`` is written before."""
-    links = tested = used = found = None
-    while True:
-        if links is None:
-            open_ = buckets.withColumn("comp", F.col("c"))
-        else:
-            found = pin(components(links), "near_dups")
-            open_ = (buckets.join(found.withColumnRenamed("id", "c"), "c", "left")
-                     .withColumn("comp", F.coalesce("component", "c")).drop("component"))
-        left = (open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket")
-                .agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"))
-                .withColumn("across", (F.col("k") * F.col("k") - F.col("k2")) / 2).where("across > 0"))
-        left = pin(left, "near_dups")
-        size = left.agg(F.coalesce(F.sum("across"), F.lit(0.0)).alias("across"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
-        if size.k == 0:
-            break
-        open_ = pin(open_.join(left.select("bucket"), "bucket"), "near_dups")
-        last = links is not None and size.across <= CROSS * size.k
-        if last:
-            other = open_.select("bucket", F.col("c").alias("d"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
-            pairs = open_.join(other, "bucket").where((F.col("comp") < F.col("comp2")) & _comparable("n", "m"))
-            pairs = pairs.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
-        else:
-            may = open_ if used is None else open_.join(used, ["bucket", "c"], "left_anti")
-            hub = may.groupBy("bucket").agg(F.max_by(F.struct("c", "n", "comp"), F.struct("weight", -F.col("c"))).alias("hub"))
-            hub = pin(hub.select("bucket", "hub.*").toDF("bucket", "d", "m", "comp2"), "near_dups")
-            now = hub.select("bucket", F.col("d").alias("c"))
-            used = now if used is None else pin(used.unionAll(now), "near_dups")
-            pairs = open_.join(hub, "bucket").where((F.col("comp") != F.col("comp2")) & _comparable("n", "m"))
-            pairs = pairs.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
-        pairs = pairs.distinct()
-        pairs = pin(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near_dups")
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        new = pin(_verified(pairs, sets_of(pairs)), "near_dups")
-        links = new if links is None else links.unionAll(new)
-        if last:
-            found = pin(components(links), "near_dups")
-            break
-    return found
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for each row."""
     spark = docs.sparkSession
@@ -210,7 +165,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             every = every.unionAll(more)
         return every
 
-    found = link_buckets(buckets, sets_of)
+    found = link_buckets(buckets, _comparable, lambda pairs: _verified(pairs, sets_of(pairs)))
     own = classes.select("set1", "set2", "c", "low")
     named = own.withColumnRenamed("low", "component_id")
     if found is not None:

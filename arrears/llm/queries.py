@@ -7,6 +7,7 @@ from .mixing import OP7_SQL, op7_mixing
 from .near_dups import op4_near_duplicates
 from .repeats import op1_repeats
 from .token_counts import op9_token_counts
+from .toxicity import op8_toxicity
 from .unigram import op10_sentencepiece
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op4_near_duplicates": op4_near_duplicates,
     "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_sentencepiece": op10_sentencepiece,
 }
