@@ -76,13 +76,12 @@ _SIGNED = pa.schema([("doc_id", pa.int64()), ("row", pa.int32()), ("n", pa.int64
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    from .shingles import WordHashes, shingle_set
+    from .shingles import shingle_set
 
-    known = WordHashes()
     for batch in batches:
         n, one, two, halves = [], [], [], []
         for text in batch.column("text").to_pylist():
-            own = shingle_set(text, known)
+            own = shingle_set(text)
             n.append(len(own))
             name = xxhash.xxh3_128_digest(own.tobytes())
             one.append(int.from_bytes(name[:8], "little", signed=True))
@@ -94,11 +93,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from .shingles import WordHashes, shingle_set
+    from .shingles import shingle_set
 
-    known = WordHashes()
     for batch in batches:
-        own = [shingle_set(t, known).view(np.int64) for t in unpack(batch.column("text"))]
+        own = [shingle_set(t).view(np.int64) for t in unpack(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(own, pa.list_(pa.int64()))],
                                          names=["c", "shingles"])
 

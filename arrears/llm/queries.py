@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fingerprints import op3_fingerprints
+from .line_dedup import op5_line_dedup
 from .mixing import OP7_SQL, op7_mixing
 from .near_dups import op4_near_duplicates
 from .repeats import op1_repeats
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_repeats": op1_repeats,
     "op3_fingerprints": op3_fingerprints,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_line_dedup": op5_line_dedup,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
@@ -22,5 +24,6 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_line_dedup": op5_line_dedup,
     "op7_mixing": OP7_SQL,
 }

@@ -24,7 +24,11 @@ class WordHashes(dict):
         return value
 
 
-def shingle_set(text: bytes, known: WordHashes, words: int = WORDS) -> np.ndarray:
+#: serves all tasks of a Python worker
+KNOWN = WordHashes()
+
+
+def shingle_set(text: bytes, known: WordHashes = KNOWN, words: int = WORDS) -> np.ndarray:
     """The distinct shingles of a text as sorted uint64 hashes; with fewer
     words than a shingle has, the whole sequence is one; without words none."""
     cut = text.translate(_LOWER).split()
