@@ -6,6 +6,7 @@ from .fingerprints import op3_fingerprints
 from .line_dedup import op5_line_dedup
 from .mixing import OP7_SQL, op7_mixing
 from .near_dups import op4_near_duplicates
+from .neighbours import op6_nearest
 from .repeats import op1_repeats
 from .token_counts import op9_token_counts
 from .toxicity import op8_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_line_dedup": op5_line_dedup,
+    "op6_nearest": op6_nearest,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
@@ -25,5 +27,6 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_line_dedup": op5_line_dedup,
+    "op6_nearest": op6_nearest,
     "op7_mixing": OP7_SQL,
 }
