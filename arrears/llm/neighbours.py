@@ -182,50 +182,74 @@ def _ask(batches: Iterator[pa.RecordBatch], shared, parts: int, k: int) -> Itera
             yield _meeting(some, leaf, np.tile(np.arange(parts), int(count.sum())), own, False, x)
 
 
-def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, added component by component, so
-    that they do not depend on what else is computed."""
-    return np.cumsum(query[None, :] * vectors, axis=1)[:, -1]
+def exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products of rows in double precision, added component by
+    component, so that they do not depend on what else is computed."""
+    return np.cumsum(queries * vectors, axis=1)[:, -1]
 
 
 class Best:
-    """The best vectors of each query seen by a task."""
-
-    def __init__(self, k: int):
-        self.k, self.of = k, {}
-
-    def offer(self, queries: list[tuple[int, np.ndarray]], keys: np.ndarray, ids: list, vectors: np.ndarray) -> None:
-        rough = np.stack([q for _, q in queries]) @ vectors.T
-        floor = np.array([self.of[key][0] if key in self.of else -np.inf for key, _ in queries])
-        for i in np.flatnonzero(rough.max(axis=1) >= floor - 1e-9):
-            key, query = queries[i]
-            at = np.flatnonzero(rough[i] >= floor[i] - 1e-9)
-            if len(at) > self.k:
-                least = np.partition(rough[i][at], len(at) - self.k)[len(at) - self.k]
-                at = at[rough[i][at] >= least - 1e-9]
-            _, known = self.of.get(key, (None, {}))
-            for v, s, j in zip(keys[at].tolist(), exact(query, vectors[at]).tolist(), at.tolist(), strict=True):
-                known[v] = (s, ids[j])
-            if len(known) > self.k:
-                order = sorted(known.items(), key=lambda e: (-e[1][0], e[0]))
-                least = order[self.k - 1][1][0]
-                known = {v: e for v, e in order if e[0] >= least}
-                self.of[key] = (least, known)
-            else:
-                self.of[key] = (-np.inf if len(known) < self.k else min(s for s, _ in known.values()), known)
+    """The best vectors of each query that a task has seen. Pairs gather up to
+    ``most``; then each query keeps ``k`` and later pairs must reach the
+    worst of those."""
+
+    def __init__(self, k: int, most: int = 300_000):
+        self.k, self.most = k, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.floor = np.zeros(0)
+        self.pairs: list[tuple[np.ndarray, ...]] = []
+        self.size, self.ids = 0, {}
+
+    def slots_of(self, queries: list[int]) -> np.ndarray:
+        out = np.array([self.slot.setdefault(q, len(self.slot)) for q in queries], np.int64)
+        if len(self.slot) > len(self.floor):
+            self.floor = np.concatenate([self.floor, np.full(len(self.slot), -np.inf)])
+        return out
+
+    def offer(self, slot: np.ndarray, queries: np.ndarray, keys: np.ndarray, ids: list, vectors: np.ndarray) -> None:
+        rough = queries @ vectors.T
+        i, j = np.nonzero(rough >= self.floor[slot][:, None] - 1e-9)
+        for lo in range(0, len(i), 65536):
+            a, b = i[lo:lo + 65536], j[lo:lo + 65536]
+            self.pairs.append((slot[a], keys[b], exact(queries[a], vectors[b])))
+        self.ids.update((int(keys[b]), ids[b]) for b in np.unique(j))
+        self.size += len(i)
+        if self.size > self.most:
+            self.prune()
+
+    def prune(self) -> None:
+        if not self.pairs:
+            return
+        q, v, s = (np.concatenate(c) for c in zip(*self.pairs, strict=True))
+        order = np.lexsort((v, -s, q))
+        q, v, s = q[order], v[order], s[order]
+        again = np.zeros(len(q), bool)  # a vector met in several trees
+        again[1:] = (q[1:] == q[:-1]) & (v[1:] == v[:-1])
+        q, v, s = q[~again], v[~again], s[~again]
+        first = np.flatnonzero(np.diff(q, prepend=-1))
+        nth = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        self.floor[q[nth == self.k - 1]] = s[nth == self.k - 1]
+        keep = nth < self.k
+        self.pairs, self.size = [(q[keep], v[keep], s[keep])], int(keep.sum())
+        self.ids = {x: self.ids[x] for x in np.unique(v[keep]).tolist()}
 
     def rows(self) -> pa.RecordBatch:
-        flat = [(q, v, s, ids) for q, (_, known) in self.of.items() for v, (s, ids) in known.items()]
-        q, v, s, ids = zip(*flat, strict=True) if flat else ((),) * 4
-        self.of = {}
-        return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64()),
+        self.prune()
+        q, v, s = self.pairs[0] if self.pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        name = np.array(list(self.slot), np.int64)
+        ids = [self.ids[x] for x in v.tolist()]
+        self.clear()
+        return pa.RecordBatch.from_arrays([pa.array(name[q] if len(q) else q), pa.array(v), pa.array(s),
                                            pa.array(ids, pa.list_(pa.int64()))], names=["q", "v", "score", "ids"])
 
 
 def _rank(batches: Iterator[pa.RecordBatch], k: int, most: int = 50_000) -> Iterator[pa.RecordBatch]:
     """Rows sorted by leaf, part and queries first: the queries of one leaf
     against its vectors, batch by batch."""
-    best, place, queries = Best(k), None, []
+    best, place, asked, queries = Best(k), None, [], []
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -237,16 +261,19 @@ def _rank(batches: Iterator[pa.RecordBatch], k: int, most: int = 50_000) -> Iter
         new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(axis=1) | (is_vector[1:] != is_vector[:-1])])
         for lo, hi in zip(new, [*new[1:], len(keys)], strict=True):
             if place != tuple(at[lo]):
-                place, queries = tuple(at[lo]), []
+                place, asked, queries = tuple(at[lo]), [], []
+                if len(best.slot) > most:
+                    yield best.rows()
             if not is_vector[lo]:
-                queries += list(zip(keys[lo:hi].tolist(), x[lo:hi], strict=True))
-            else:
-                for a in range(0, len(queries), 1024):
-                    for b in range(lo, hi, 4096):
-                        c = min(hi, b + 4096)
-                        best.offer(queries[a:a + 1024], keys[b:c], ids[b:c], x[b:c])
-        if len(best.of) > most:
-            yield best.rows()
+                asked += keys[lo:hi].tolist()
+                queries.append(x[lo:hi])
+            elif asked:
+                matrix = np.concatenate(queries)
+                slot = best.slots_of(asked)
+                for a in range(0, len(asked), 1024):
+                    for b in range(lo, hi, 1024):
+                        c = min(hi, b + 1024)
+                        best.offer(slot[a:a + 1024], matrix[a:a + 1024], keys[b:c], ids[b:c], x[b:c])
     yield best.rows()
 
 
