@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fingerprints import op3_fingerprints
 from .line_dedup import op5_line_dedup
+from .main_text import op2_main_text
 from .mixing import OP7_SQL, op7_mixing
 from .near_dups import op4_near_duplicates
 from .neighbours import op6_nearest
@@ -14,6 +15,7 @@ from .unigram import op10_sentencepiece
 
 QUERIES = {
     "op1_repeats": op1_repeats,
+    "op2_main_text": op2_main_text,
     "op3_fingerprints": op3_fingerprints,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_line_dedup": op5_line_dedup,
