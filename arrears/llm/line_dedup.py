@@ -30,13 +30,14 @@ from functools import partial
 from itertools import chain, combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrears.session import pin
 
-from .common import bloom, packed, passes, table, text_or_empty, unpack
+from .common import bloom, fresh, packed, passes, table, text_or_empty, unpack
 from .linking import link_buckets
 from .shingles import KNOWN
 
@@ -294,5 +295,22 @@ def dedup_lines(docs: DataFrame, with_text: bool = False, doc_id: str = "doc_id"
                         + ", kept string" * with_text))
 
 
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with all its columns, the lines that go taken out of its
+    texts. Null texts stay null; a text may become empty."""
+    id_, row, lines = fresh("id"), fresh("row"), fresh("gone")
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, gone: pd.Series) -> pd.Series:
+        return pd.Series([t if g is None or t is None else "\n".join([x for k, x in enumerate(t.split("\n")) if k not in drop])
+                          for t, g in zip(texts, gone, strict=True) for drop in [set() if g is None else set(g.tolist())]],
+                         dtype=object)
+
+    gone = repeated_lines(keyed(docs, doc_id, text)).toDF(id_, row, lines)
+    key = F.hash(F.col(doc_id).isNull(), text_or_empty(text))
+    return (docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col(id_)) & (key == F.col(row)), "left")
+            .withColumn(text, F.when(F.col(lines).isNull(), F.col(text)).otherwise(cut(text, lines))).select(*docs.columns))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"))
