@@ -61,10 +61,14 @@ ACTION_MANY_INSTALMENTS = 10       # F12: instalments > 10
 
 
 def risk_score_serving(incidents: Column | str, amount: Column | str) -> Column:
-    """min(100, max(1, 10*incidents + trunc(amount/1000))) as int."""
-    raw = (_c(incidents) * RISK_INCIDENT_WEIGHT
-           + (_c(amount) / RISK_AMOUNT_UNIT).cast("long"))
-    return F.least(F.greatest(raw, F.lit(RISK_MIN)), F.lit(RISK_MAX)).cast("int")
+    """min(100, max(1, 10*incidents + trunc(amount/1000))) as int.
+
+    Both terms are bounded before they become integers, where they cannot
+    change the clipped result any more, so no input overflows."""
+    few = F.least(F.greatest(_c(incidents), F.lit(-2 * RISK_MAX)), F.lit(RISK_MAX)) * RISK_INCIDENT_WEIGHT
+    top = float(RISK_MAX + 2 * RISK_MAX * RISK_INCIDENT_WEIGHT)
+    units = F.least(F.greatest(_c(amount) / RISK_AMOUNT_UNIT, F.lit(-top)), F.lit(top)).cast("long")
+    return F.least(F.greatest(few + units, F.lit(RISK_MIN)), F.lit(RISK_MAX)).cast("int")
 
 
 def debt_ratio(amount: Column | str, income: Column | str) -> Column:

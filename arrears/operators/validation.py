@@ -39,51 +39,60 @@ def _choices(text: str) -> str:
     return f"{S.MSG_CHOICES_PREFIX} {text}"
 
 
-def _rule_violation(field: str, rule: str | None, typed: Column) -> tuple[Column, str] | None:
+def _rule(field: str, rule: str | None, typed: Column) -> tuple[Column, str] | None:
+    """(what a present, typed value must fulfil, message if it does not)."""
     if rule == "segment":
-        return ~typed.isin(*S.SEGMENTS), _choices(S.MSG_SEGMENT_CHOICES)
+        return typed.isin(*S.SEGMENTS), _choices(S.MSG_SEGMENT_CHOICES)
     if rule == "gt0":
-        return typed <= 0, S.MSG_POSITIVE
+        # NaN sorts above every number: it and infinity fail the upper bound
+        return (typed > 0) & (typed < float("inf")), S.MSG_POSITIVE
     if rule == "ge0":
         # the ">= 0" wording also contains "greater than": same text
-        return typed < 0, S.MSG_POSITIVE
+        return typed >= 0, S.MSG_POSITIVE
     if rule == "after_opening":
-        # only evaluated when the opening date itself parsed
-        opened = F.col("date_ouverture")
-        return opened.isNotNull() & (typed < opened), S.MSG_DATE_ORDER
+        return typed >= F.col("date_ouverture"), S.MSG_DATE_ORDER
     return None
 
 
+def valid() -> Column:
+    """Whether all fields are there and fulfil their rules: a plain
+    conjunction of comparisons, which Spark can push below joins."""
+    out = None
+    for field, (_, rule) in _RULES.items():
+        ok = F.col(field).isNotNull()
+        checked = _rule(field, rule, F.col(field))
+        if checked is not None:
+            ok = ok & checked[0]
+        out = ok if out is None else out & ok
+    return out
+
+
 def request_errors(df: DataFrame, raw: dict[str, Column] | None = None) -> Column:
     """array<string> of messages, in field order.
 
-    ``raw`` maps a field to its text form when the typed column came from a
-    cast; a present text with a null typed value is then a type error.
+    ``raw`` maps a field to its presence in the record when the typed column
+    came from a cast; a present field with a null typed value is then a type
+    error.
     """
     checks = []
     for field, (kind, rule) in _RULES.items():
         typed = F.col(field)
         if raw is not None and field in raw:
-            missing = raw[field].isNull()
-            bad_type = raw[field].isNotNull() & typed.isNull()
+            expr = F.when(~raw[field], _message(field, S.MSG_REQUIRED)) \
+                    .when(typed.isNull(), _message(field, _choices(_TYPE_TEXT[kind])))
         else:
-            missing = typed.isNull()
-            bad_type = None
-        expr = F.when(missing, _message(field, S.MSG_REQUIRED))
-        if bad_type is not None:
-            expr = expr.when(bad_type, _message(field, _choices(_TYPE_TEXT[kind])))
-        violation = _rule_violation(field, rule, typed)
-        if violation is not None:
-            cond, text = violation
-            expr = expr.when(cond, _message(field, text))
+            expr = F.when(typed.isNull(), _message(field, S.MSG_REQUIRED))
+        checked = _rule(field, rule, typed)
+        if checked is not None:
+            # only evaluated when the opening date itself parsed
+            expr = expr.when(~checked[0], _message(field, checked[1]))
         checks.append(expr)
     return F.array_compact(F.array(*checks))
 
 
 def validate(df: DataFrame, raw: dict[str, Column] | None = None) -> DataFrame:
-    errors = request_errors(df, raw)
-    return (df.withColumn("errors", errors)
-              .withColumn("is_valid", F.size("errors") == 0))
+    return (df.withColumn("errors", request_errors(df, raw))
+              .withColumn("is_valid", F.coalesce(valid(), F.lit(False))))
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

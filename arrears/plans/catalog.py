@@ -207,6 +207,15 @@ def json_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.array_join("errors", " | ").alias("error_text"))
 
 
+@query("intake_error_summary")
+def intake_error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each reason keeps a record out."""
+    parsed = intake.parse_requests(intake.request_records(spark, sf_dir))
+    reasons = parsed.select(F.explode_outer("errors").alias("error"))
+    return (reasons.groupBy(F.coalesce("error", F.lit("OK")).alias("error"))
+                   .agg(F.count(F.lit(1)).alias("n")))
+
+
 # ---------------------------------------------------------------------------
 # As-of replay
 # ---------------------------------------------------------------------------

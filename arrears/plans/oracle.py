@@ -74,41 +74,49 @@ cases AS (
   FROM raw_cases
 )"""
 
-VALIDATION = """
+_FIELD = "Erreur sur le champ ''{}'' : "
+_REQUIRED = "Field required"
+_POSITIVE = "La valeur doit être strictement positive (supérieure à 0)."
+_CHOICES = "Valeur non reconnue. Les choix possibles sont : "
+_NUMBER = _CHOICES + "a valid number, unable to parse string as a number"
+_INTEGER = _CHOICES + "a valid integer, unable to parse string as an integer"
+_DATE = _CHOICES + "a valid date in the format YYYY-MM-DD"
+_STRING = _CHOICES + "a valid string"
+_RULES = [
+    ("dossier_id", None, None), ("procedure_id", None, None),
+    ("client_segment", "{} NOT IN ('Retail', 'Professionnel', 'Corporate')",
+     _CHOICES + "''Retail'', ''Professionnel'' or ''Corporate''"),
+    ("revenu_estime", "NOT ({0} > 0 AND {0} < 'inf'::DOUBLE)", _POSITIVE),
+    ("historique_incidents", "{} < 0", _POSITIVE),
+    ("montant_impaye", "NOT ({0} > 0 AND {0} < 'inf'::DOUBLE)", _POSITIVE),
+    ("anciennete_impaye_jours", "{} < 0", _POSITIVE),
+    ("nombre_echeances_impayees", "{} < 0", _POSITIVE),
+    ("date_ouverture", None, None),
+    ("date_mise_a_jour", "date_ouverture IS NOT NULL AND {} < date_ouverture",
+     "Value error, date_mise_a_jour ne peut pas être antérieure à date_ouverture."),
+]
+
+
+def checks(type_errors: dict[str, tuple[str, str]] | None = None) -> str:
+    """The contract as one SQL text of messages; ``type_errors`` gives, for a
+    field, when it has a wrong type and the message."""
+    out = []
+    for field, broken, message in _RULES:
+        head = _FIELD.format(field)
+        whens = []
+        if field in (type_errors or {}):
+            when, text = type_errors[field]
+            whens.append(f"WHEN {when} THEN '{head}{text}'")
+        whens.append(f"WHEN {field} IS NULL THEN '{head}{_REQUIRED}'")
+        if broken:
+            whens.append(f"WHEN {broken.format(field)} THEN '{head}{message}'")
+        out.append(f"CASE {' '.join(whens)} END")
+    return "concat_ws(' | ',\n      " + ",\n      ".join(out) + ")"
+
+
+VALIDATION = f"""
 validated AS (
-  SELECT *,
-    concat_ws(' | ',
-      CASE WHEN client_segment IS NULL
-           THEN 'Erreur sur le champ ''client_segment'' : Field required'
-           WHEN client_segment NOT IN ('Retail', 'Professionnel', 'Corporate')
-           THEN 'Erreur sur le champ ''client_segment'' : Valeur non reconnue. Les choix possibles sont : ''Retail'', ''Professionnel'' or ''Corporate''' END,
-      CASE WHEN revenu_estime IS NULL
-           THEN 'Erreur sur le champ ''revenu_estime'' : Field required'
-           WHEN revenu_estime <= 0
-           THEN 'Erreur sur le champ ''revenu_estime'' : La valeur doit être strictement positive (supérieure à 0).' END,
-      CASE WHEN historique_incidents IS NULL
-           THEN 'Erreur sur le champ ''historique_incidents'' : Field required'
-           WHEN historique_incidents < 0
-           THEN 'Erreur sur le champ ''historique_incidents'' : La valeur doit être strictement positive (supérieure à 0).' END,
-      CASE WHEN montant_impaye IS NULL
-           THEN 'Erreur sur le champ ''montant_impaye'' : Field required'
-           WHEN montant_impaye <= 0
-           THEN 'Erreur sur le champ ''montant_impaye'' : La valeur doit être strictement positive (supérieure à 0).' END,
-      CASE WHEN anciennete_impaye_jours IS NULL
-           THEN 'Erreur sur le champ ''anciennete_impaye_jours'' : Field required'
-           WHEN anciennete_impaye_jours < 0
-           THEN 'Erreur sur le champ ''anciennete_impaye_jours'' : La valeur doit être strictement positive (supérieure à 0).' END,
-      CASE WHEN nombre_echeances_impayees IS NULL
-           THEN 'Erreur sur le champ ''nombre_echeances_impayees'' : Field required'
-           WHEN nombre_echeances_impayees < 0
-           THEN 'Erreur sur le champ ''nombre_echeances_impayees'' : La valeur doit être strictement positive (supérieure à 0).' END,
-      CASE WHEN date_ouverture IS NULL
-           THEN 'Erreur sur le champ ''date_ouverture'' : Field required' END,
-      CASE WHEN date_mise_a_jour IS NULL
-           THEN 'Erreur sur le champ ''date_mise_a_jour'' : Field required'
-           WHEN date_ouverture IS NOT NULL AND date_mise_a_jour < date_ouverture
-           THEN 'Erreur sur le champ ''date_mise_a_jour'' : Value error, date_mise_a_jour ne peut pas être antérieure à date_ouverture.' END
-    ) AS error_text
+  SELECT *, {checks()} AS error_text
   FROM cases
 ),
 valid AS (
@@ -324,8 +332,10 @@ GROUP BY error
 """
 
 # Intake: the same records, validated relationally (a JSON round trip is the
-# identity on these values). Orders without lines lack their line facts.
-ORACLE["json_intake"] = """
+# identity on sound values). Orders without lines lack their line facts; what
+# is made faulty by the remainder of the key is faulty here by the same rule.
+_FAULT = "id % 211 = {}"
+INTAKE = f"""
 WITH facts AS (
   SELECT o.o_orderkey, o.o_custkey, o.o_totalprice, o.o_orderdate,
          CASE WHEN count(l.l_orderkey) > 0
@@ -336,8 +346,9 @@ WITH facts AS (
   FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey
   GROUP BY o.o_orderkey, o.o_custkey, o.o_totalprice, o.o_orderdate
 ),
-req AS (
+sent AS (
   SELECT f.o_orderkey AS id, printf('DOS-%06d', f.o_orderkey) AS dossier_id,
+         'PROC-' || CAST(f.o_orderkey AS VARCHAR) AS procedure_id,
          CASE c.c_mktsegment WHEN 'HOUSEHOLD' THEN 'Retail' WHEN 'FURNITURE' THEN 'Retail'
                              WHEN 'BUILDING' THEN 'Retail' WHEN 'AUTOMOBILE' THEN 'Professionnel'
                              WHEN 'MACHINERY' THEN 'Corporate' END AS client_segment,
@@ -347,52 +358,57 @@ req AS (
          date_diff('day', CAST(f.o_orderdate AS DATE), DATE '2001-12-31') AS anciennete_impaye_jours,
          f.n_open AS nombre_echeances_impayees,
          CAST(f.o_orderdate AS DATE) AS date_ouverture,
-         f.last_ship AS date_mise_a_jour
+         f.last_ship AS date_mise_a_jour,
+         CASE WHEN f.o_orderkey % 4001 = 8 THEN repeat('x', 1048576) ELSE '' END AS pad
   FROM facts f JOIN customer c ON c.c_custkey = f.o_custkey
 ),
+sized AS (
+  -- what else a record holds is far less than the limit
+  SELECT * EXCLUDE (pad), strlen(pad) + strlen(dossier_id) > 1048576 AS oversize FROM sent
+),
+req AS (
+  SELECT id, oversize,
+         NOT oversize AND id % 211 = 7 AS malformed, NOT oversize AND id % 211 = 12 AS no_object,
+         CASE WHEN id % 211 <> 11 THEN dossier_id END AS dossier_id, procedure_id,
+         CASE WHEN id % 211 = 1 THEN 'VIP' ELSE client_segment END AS client_segment,
+         CASE WHEN id % 211 = 3 THEN NULL WHEN id % 211 = 5 THEN 'nan'::DOUBLE ELSE revenu_estime END AS revenu_estime,
+         CASE WHEN id % 211 = 2 AND historique_incidents IS NOT NULL THEN -1 ELSE historique_incidents END
+           AS historique_incidents,
+         CASE WHEN id % 211 = 4 THEN NULL WHEN id % 211 = 13 THEN 1e25::DOUBLE ELSE montant_impaye END AS montant_impaye,
+         CASE WHEN id % 211 = 6 THEN NULL ELSE anciennete_impaye_jours END AS anciennete_impaye_jours,
+         nombre_echeances_impayees,
+         CASE WHEN id % 211 = 9 THEN NULL ELSE date_ouverture END AS date_ouverture, date_mise_a_jour
+  FROM sized
+),
 checked AS (
-  SELECT id, dossier_id,
-    concat_ws(' | ',
-      CASE WHEN client_segment IS NULL
-           THEN 'Erreur sur le champ ''client_segment'' : Field required'
-           WHEN client_segment NOT IN ('Retail', 'Professionnel', 'Corporate')
-           THEN 'Erreur sur le champ ''client_segment'' : Valeur non reconnue. Les choix possibles sont : ''Retail'', ''Professionnel'' or ''Corporate''' END,
-      CASE WHEN revenu_estime IS NULL
-           THEN 'Erreur sur le champ ''revenu_estime'' : Field required'
-           WHEN revenu_estime <= 0
-           THEN 'Erreur sur le champ ''revenu_estime'' : La valeur doit être strictement positive (supérieure à 0).' END,
-      CASE WHEN historique_incidents IS NULL
-           THEN 'Erreur sur le champ ''historique_incidents'' : Field required'
-           WHEN historique_incidents < 0
-           THEN 'Erreur sur le champ ''historique_incidents'' : La valeur doit être strictement positive (supérieure à 0).' END,
-      CASE WHEN montant_impaye IS NULL
-           THEN 'Erreur sur le champ ''montant_impaye'' : Field required'
-           WHEN montant_impaye <= 0
-           THEN 'Erreur sur le champ ''montant_impaye'' : La valeur doit être strictement positive (supérieure à 0).' END,
-      CASE WHEN anciennete_impaye_jours IS NULL
-           THEN 'Erreur sur le champ ''anciennete_impaye_jours'' : Field required'
-           WHEN anciennete_impaye_jours < 0
-           THEN 'Erreur sur le champ ''anciennete_impaye_jours'' : La valeur doit être strictement positive (supérieure à 0).' END,
-      CASE WHEN nombre_echeances_impayees IS NULL
-           THEN 'Erreur sur le champ ''nombre_echeances_impayees'' : Field required'
-           WHEN nombre_echeances_impayees < 0
-           THEN 'Erreur sur le champ ''nombre_echeances_impayees'' : La valeur doit être strictement positive (supérieure à 0).' END,
-      CASE WHEN date_ouverture IS NULL
-           THEN 'Erreur sur le champ ''date_ouverture'' : Field required' END,
-      CASE WHEN date_mise_a_jour IS NULL
-           THEN 'Erreur sur le champ ''date_mise_a_jour'' : Field required'
-           WHEN date_ouverture IS NOT NULL AND date_mise_a_jour < date_ouverture
-           THEN 'Erreur sur le champ ''date_mise_a_jour'' : Value error, date_mise_a_jour ne peut pas être antérieure à date_ouverture.' END
-    ) AS error_text
+  SELECT id, oversize, CASE WHEN NOT (oversize OR malformed OR no_object) THEN dossier_id END AS dossier_id,
+    CASE WHEN oversize THEN 'Les données envoyées sont trop volumineuses. Pour des raisons de performance, la limite est fixée à 1 Mo.'
+         WHEN malformed THEN 'Erreur sur le champ '''' : JSON decode error'
+         WHEN no_object THEN 'Erreur sur le champ '''' : {_CHOICES}a valid dictionary or object to extract fields from'
+         ELSE {checks({
+             "dossier_id": (_FAULT.format(11), _STRING), "revenu_estime": (_FAULT.format(3), _NUMBER),
+             "montant_impaye": (_FAULT.format(4), _NUMBER), "anciennete_impaye_jours": (_FAULT.format(6), _INTEGER),
+             "date_ouverture": (_FAULT.format(9), _DATE)})}
+    END AS error_text
   FROM req
 )
-SELECT id, dossier_id, false AS oversize, error_text = '' AS is_valid,
+"""
+
+ORACLE["json_intake"] = INTAKE + """
+SELECT id, dossier_id, oversize, error_text = '' AS is_valid,
        CAST(CASE WHEN error_text = '' THEN 0
                  ELSE len(string_split(error_text, ' | ')) END AS INTEGER) AS n_errors,
        error_text
 FROM checked
 """
 
+ORACLE["intake_error_summary"] = INTAKE + """
+SELECT error, count(*) AS n
+FROM (SELECT unnest(CASE WHEN error_text = '' THEN ['OK'] ELSE string_split(error_text, ' | ') END) AS error
+      FROM checked)
+GROUP BY error
+"""
+
 ORACLE["asof_scorecard"] = with_cases() + """
 , w AS (
   SELECT id, avocat_id, tribunal_id, type_procedure, huissier_id,

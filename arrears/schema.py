@@ -50,6 +50,10 @@ MSG_NOT_NUMBER = "a valid number, unable to parse string as a number"
 MSG_NOT_INTEGER = "a valid integer, unable to parse string as an integer"
 MSG_NOT_DATE = "a valid date in the format YYYY-MM-DD"
 MSG_NOT_STRING = "a valid string"
+MSG_DECODE = "JSON decode error"
+MSG_NOT_OBJECT = "a valid dictionary or object to extract fields from"
+MSG_OVERSIZE = ("Les données envoyées sont trop volumineuses. Pour des raisons de "
+                "performance, la limite est fixée à 1 Mo.")
 
 # ---------------------------------------------------------------------------
 # models
@@ -76,7 +80,7 @@ FULL_NUMERIC = ["revenu_estime", "score_risque", "montant_impaye",
                 "tribunal_delai_moyen", "procedure_taux_succes"]
 
 # ---------------------------------------------------------------------------
-# Contracts
+# Contracts (names, types and order are shared with clients)
 # ---------------------------------------------------------------------------
 # A case as it arrives: every field mandatory.
 REQUEST_FIELDS = ["dossier_id", "procedure_id", "client_segment",
@@ -97,24 +101,7 @@ REQUEST_SCHEMA = T.StructType([
     T.StructField("date_mise_a_jour", T.DateType()),
 ])
 
-# The raw JSON form: every field read as text so that type errors can be
-# reported per field instead of nulling the record.
-RAW_REQUEST_SCHEMA = T.StructType(
-    [T.StructField(f, T.StringType()) for f in REQUEST_FIELDS])
-
 # Training table (27 columns, in contract order).
-TRAINING_COLUMNS = [
-    "feature_id", "dossier_id", "procedure_id", "client_segment",
-    "historique_incidents", "date_ouverture", "revenu_estime",
-    "montant_impaye", "anciennete_impaye_jours", "nombre_echeances_impayees",
-    "score_risque", "type_procedure", "tribunal_id", "avocat_id",
-    "huissier_id", "nombre_evenements", "nombre_retards",
-    "derniere_action_age_jours", "acteur_taux_succes", "acteur_delai_moyen",
-    "tribunal_delai_moyen", "procedure_taux_succes", "statut_final",
-    "delai_final_jours", "date_mise_a_jour", "montant_recouvre_final",
-    "next_best_action",
-]
-
 TRAINING_SCHEMA = T.StructType([
     T.StructField("feature_id", T.StringType()),
     T.StructField("dossier_id", T.StringType()),

@@ -5,18 +5,19 @@ counts and the last activity date, the customer gives segment and income.
 
 Plan shape, and why:
 
-1. ``lineitem`` is pre-aggregated per (order, ship day) *before* it meets
-   ``orders``. The partial aggregate runs map-side, so an order holding a
-   third of all lines collapses to at most one row per ship day per map
-   task before anything is shuffled. The late-shipment count needs the
-   order date, which is why the key keeps the ship day instead of being the
-   bare order key.
-2. The (small) per-day rows join ``orders`` on the order key; the following
-   aggregate groups by the order key alone and, after a sort-merge join,
-   reuses its hash partitioning, so it adds no exchange.
+1. The narrow ``lineitem`` columns meet ``orders`` on the order key, the one
+   shuffle of ``lineitem``. A pre-aggregate before it would save nothing: few
+   lines of an order share a ship day. The aggregate by order that follows
+   reuses the join's partitioning and adds no exchange.
+2. An order with very many lines is a skewed join partition.
+   ``spark.sql.adaptive.forceOptimizeSkewedJoin`` (set by ``build_session``)
+   lets Spark split it and pay for a second shuffle, of partial aggregates,
+   only then.
 3. The customer join is a plain equi-join: Spark broadcasts ``customer``
    only when its measured size is under the broadcast threshold and uses a
    sort-merge join (with AQE skew splitting for a hot customer) otherwise.
+4. Validity is a conjunction of comparisons, so what depends on the order
+   alone (the date rule) is filtered before the customer join.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from arrears import schema as S
 from arrears.functions import rules
+from arrears.operators import validation
 from arrears.sources import tables
 
 # ---------------------------------------------------------------------------
@@ -63,31 +65,28 @@ def order_facts(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFra
     ``how="left"`` keeps orders without lines (their facts are null), which
     is what the JSON intake uses to produce incomplete records.
     """
-    li = tables.lineitem(spark, sf_dir)
-    per_day = (li.groupBy(F.col("l_orderkey"),
-                          F.to_date("l_shipdate").alias("ship_day"))
-                 .agg(F.count(F.lit(1)).alias("n"),
-                      F.count_if(F.col("l_returnflag") == "R").alias("n_r"),
-                      F.count_if(F.col("l_linestatus") == "O").alias("n_o"),
-                      F.min("l_suppkey").alias("min_supp")))
+    li = tables.lineitem(spark, sf_dir).withColumn("ship_day", F.to_date("l_shipdate"))
     o = tables.orders(spark, sf_dir)
-    joined = o.join(per_day, o["o_orderkey"] == per_day["l_orderkey"], how)
+    joined = o.join(li, o["o_orderkey"] == li["l_orderkey"], how)
     late = F.datediff(F.col("ship_day"), F.to_date("o_orderdate")) > LATE_DAYS
     # The order columns are constant per order key. The two strings ride
     # along as extra grouping keys and the fixed-width ones through ``max``
     # (deterministic, unlike ``any_value``), so the buffers stay fixed-width
     # and Spark picks a hash aggregate (measured ~20% faster than carrying
-    # the strings through ``max``, which forces a sort aggregate). A
-    # sort-merge join on the order key already satisfies this clustering.
+    # the strings through ``max``, which forces a sort aggregate).
     carried = [F.max(c).alias(c) for c in ("o_custkey", "o_totalprice", "o_orderdate")]
-    return (joined.groupBy("o_orderkey", "o_orderstatus", "o_orderpriority")
-                  .agg(*carried,
-                       F.sum("n").alias("n_lines"),
-                       F.sum("n_r").alias("n_returned"),
-                       F.sum("n_o").alias("n_open"),
-                       F.sum(F.when(late, F.col("n")).otherwise(F.lit(0))).alias("n_late"),
-                       F.max("ship_day").alias("last_ship"),
-                       F.min("min_supp").alias("min_supp")))
+    facts = (joined.groupBy("o_orderkey", "o_orderstatus", "o_orderpriority")
+                   .agg(*carried,
+                        F.count("l_orderkey").alias("n_lines"),
+                        F.count_if(F.col("l_returnflag") == "R").alias("n_returned"),
+                        F.count_if(F.col("l_linestatus") == "O").alias("n_open"),
+                        F.count_if(late).alias("n_late"),
+                        F.max("ship_day").alias("last_ship"),
+                        F.min("l_suppkey").alias("min_supp")))
+    if how == "inner":
+        return facts
+    counts = ("n_lines", "n_returned", "n_open", "n_late")
+    return facts.withColumns({c: F.when(F.col("n_lines") > 0, F.col(c)) for c in counts})
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,8 +129,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def valid_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases passing the request contract."""
-    from arrears.operators.validation import validate
-    return validate(cases(spark, sf_dir)).filter(F.col("is_valid")).drop("errors", "is_valid")
+    return cases(spark, sf_dir).filter(validation.valid())
 
 
 def testbed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
