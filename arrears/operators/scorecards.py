@@ -21,13 +21,6 @@ from arrears.session import pin as pin_table
 STATUS = "statut_predit"
 DELAY = "delai_estime_jours"
 
-# Largest scorecard we broadcast: a card row is a short id and two doubles
-# (~50 bytes), so this is ~25 MB shipped to every executor. Above it the
-# lookup is a shuffle join (sort-merge; AQE splits skewed partitions such as
-# the sentinel ids).
-MAX_BROADCAST_ROWS = 500_000
-
-
 def _totals(status: str, delay: str) -> list[Column]:
     return [F.count(F.lit(1)).alias("n_dossiers"),
             F.count_if(F.col(status) == S.RECOVERED).alias("n_recouvre"),
@@ -100,14 +93,14 @@ class Scorecards:
     court: DataFrame
     procedure: DataFrame
     bailiff: DataFrame
-    broadcastable: dict
 
 
+ALL_CARDS = ("lawyer", "court", "procedure", "bailiff")
 CARD_KEYS = [("lawyer", "avocat_id", True), ("court", "tribunal_id", True),
              ("procedure", "type_procedure", False), ("bailiff", "huissier_id", False)]
 
 
-def _card_totals(history: DataFrame, status: str, delay: str) -> DataFrame:
+def _card_totals(history: DataFrame, status: str, delay: str, only: tuple[str, ...]) -> DataFrame:
     """The four cards' raw totals in one long table (card, key, n, ok, sum).
 
     Each history row is stacked into its four (card, key) entries and one
@@ -115,7 +108,7 @@ def _card_totals(history: DataFrame, status: str, delay: str) -> DataFrame:
     and a single, map-side-combined shuffle for all four cards.
     """
     entries = F.array(*[F.struct(F.lit(card).alias("card"), F.col(key).alias("key"))
-                        for card, key, _ in CARD_KEYS])
+                        for card, key, _ in CARD_KEYS if card in only])
     sentinel_cards = [card for card, _, skip in CARD_KEYS if skip]
     long = (history.select(F.inline(entries),
                            (F.col(status) == S.RECOVERED).alias("_ok"),
@@ -128,10 +121,11 @@ def _card_totals(history: DataFrame, status: str, delay: str) -> DataFrame:
         F.sum("_delay").alias("delay_sum"))
 
 
-def card_totals(history: DataFrame, status: str = STATUS, delay: str = DELAY) -> DataFrame:
+def card_totals(history: DataFrame, status: str = STATUS, delay: str = DELAY,
+                only: tuple[str, ...] = ALL_CARDS) -> DataFrame:
     """Raw totals of the four cards (card, key, n_dossiers, n_recouvre,
     delay_sum): algebraic, so totals of two histories merge by summing."""
-    return _card_totals(history, status, delay)
+    return _card_totals(history, status, delay, only)
 
 
 def merge_totals(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -142,18 +136,12 @@ def merge_totals(old: DataFrame, new: DataFrame) -> DataFrame:
                     F.sum("delay_sum").alias("delay_sum")))
 
 
-def cards_from_totals(totals: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-                      pin: bool = True) -> Scorecards:
+def cards_from_totals(totals: DataFrame, pin: bool = True) -> Scorecards:
     """Scorecards from raw totals. With ``pin`` the totals are written once,
-    so every lookup of a batch sees the same snapshot, and each card's row
-    count is known before a broadcast is chosen; cards above
-    ``max_broadcast_rows`` are joined with a shuffle instead."""
-    flags = {k: False for k in ("lawyer", "court", "procedure", "bailiff")}
+    so every lookup of a batch sees the same snapshot and Spark knows their
+    real size when it chooses a join."""
     if pin:
         totals = pin_table(totals, "cards")
-        sizes = {r["card"]: r["n"] for r in
-                 totals.groupBy("card").agg(F.count(F.lit(1)).alias("n")).collect()}
-        flags = {k: sizes.get(k, 0) <= max_broadcast_rows for k in flags}
 
     def card(name: str, key: str) -> DataFrame:
         return (totals.filter(F.col("card") == name).drop("card")
@@ -168,66 +156,54 @@ def cards_from_totals(totals: DataFrame, max_broadcast_rows: int = MAX_BROADCAST
         "type_procedure", round_half_even(_rate(), 3).alias("procedure_taux_succes"))
     bailiff = card("bailiff", "huissier_id").select(
         "huissier_id", rules.lawyer_score(_rate(), _mean_delay()).alias("score_huissier"))
-    return Scorecards(lawyer, court, procedure, bailiff, flags)
+    return Scorecards(lawyer, court, procedure, bailiff)
 
 
 def snapshot(history: DataFrame, status: str = STATUS, delay: str = DELAY,
-             max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-             pin: bool = True) -> Scorecards:
-    """Scorecards of a history as of now (one read, one shuffle)."""
-    return cards_from_totals(card_totals(history, status, delay), max_broadcast_rows, pin)
+             pin: bool = True, only: tuple[str, ...] = ALL_CARDS) -> Scorecards:
+    """Scorecards of a history as of now (one read, one shuffle). Cards not
+    asked for are empty."""
+    return cards_from_totals(card_totals(history, status, delay, only), pin)
 
 
-def restrict(cards: Scorecards, lawyers: list[str], courts: list[str],
-             bailiffs: list[str]) -> Scorecards:
-    """Only the entities a lookup can ask for. The serving cascade assigns
-    automatic ids only (P11), so its cards hold at most one row per id:
-    a proven bound, always broadcast."""
-    procedures = cards.procedure  # keyed by a two-value domain
-    return Scorecards(cards.lawyer.filter(F.col("avocat_id").isin(*lawyers)),
-                      cards.court.filter(F.col("tribunal_id").isin(*courts)),
-                      procedures,
-                      cards.bailiff.filter(F.col("huissier_id").isin(*bailiffs)),
-                      {"lawyer": True, "court": True, "procedure": True, "bailiff": True})
+#: parts that the cases of the sentinel actor are dealt to in a shuffle join
+SALTS = 64
 
 
-def _join(cases: DataFrame, card: DataFrame, key: str, small: bool) -> DataFrame:
-    return cases.join(F.broadcast(card) if small else card, key, "left")
+def _join(cases: DataFrame, card: DataFrame, key: str, sentinel: bool) -> DataFrame:
+    """Left lookup. The sentinel id, which most cases carry, has no card row:
+    its cases join on ids of their own making, dealt out by a hash of the
+    case, so that they do not meet in one partition of a shuffle join."""
+    if not sentinel:
+        return cases.join(card, key, "left")
+    part = F.pmod(F.xxhash64("dossier_id" if "dossier_id" in cases.columns else key), F.lit(SALTS))
+    dealt = F.when(F.col(key) == S.NONE_ID, F.concat(F.lit(f"{S.NONE_ID}\0"), part.cast("string"))).otherwise(F.col(key))
+    return cases.withColumn("_key", dealt).join(card.withColumnRenamed(key, "_key"), "_key", "left").drop("_key")
 
 
 def attach_scorecards(cases: DataFrame, cards: Scorecards,
-                      case_delay: Column | None = None) -> DataFrame:
+                      case_delay: Column | None = None, only: tuple[str, ...] = ALL_CARDS) -> DataFrame:
     """J1-J4 with the cold-start rules (P9, P10) and both lawyer scores.
 
-    * lawyer ``NONE`` or unknown -> 0.65 / 120.0
+    * lawyer ``NONE`` (which has no row) or unknown -> 0.65 / 120.0
     * court ``NONE`` -> 0.0; unknown court -> 180.0
     * unknown procedure -> 0.75; unknown bailiff -> 65.0
     * ``score_avocat`` is F8 (rounded parts); ``score_avocat_feature`` is F7
       with the case's own delay, the value the models were trained on.
     """
-    b = cards.broadcastable
-    out = _join(cases, cards.lawyer, "avocat_id", b.get("lawyer", False))
-    out = _join(out, cards.court, "tribunal_id", b.get("court", False))
-    out = _join(out, cards.procedure, "type_procedure", b.get("procedure", False))
-    out = _join(out, cards.bailiff, "huissier_id", b.get("bailiff", False))
-    none_lawyer = F.col("avocat_id") == S.NONE_ID
-    out = (out
-           .withColumn("acteur_taux_succes",
-                       F.when(none_lawyer, F.lit(S.DEFAULT_SUCCESS_RATE))
-                        .otherwise(F.coalesce("acteur_taux_succes", F.lit(S.DEFAULT_SUCCESS_RATE))))
-           .withColumn("acteur_delai_moyen",
-                       F.when(none_lawyer, F.lit(S.DEFAULT_MEAN_DELAY))
-                        .otherwise(F.coalesce("acteur_delai_moyen", F.lit(S.DEFAULT_MEAN_DELAY))))
-           .withColumn("tribunal_delai_moyen",
-                       F.when(F.col("tribunal_id") == S.NONE_ID, F.lit(S.NO_COURT_DELAY))
-                        .otherwise(F.coalesce("tribunal_delai_moyen", F.lit(S.DEFAULT_COURT_DELAY))))
-           .withColumn("procedure_taux_succes",
-                       F.coalesce("procedure_taux_succes", F.lit(S.DEFAULT_PROCEDURE_RATE)))
-           .withColumn("score_huissier",
-                       F.coalesce("score_huissier", F.lit(S.DEFAULT_BAILIFF_SCORE)))
-           .withColumn("score_avocat",
-                       rules.lawyer_score("acteur_taux_succes", "acteur_delai_moyen")))
-    delay = case_delay if case_delay is not None else \
-        rules.case_delay("date_ouverture", "date_mise_a_jour")
-    return out.withColumn("score_avocat_feature",
-                          rules.lawyer_score_feature("acteur_taux_succes", delay))
+    out = cases
+    for name, key, sentinel in CARD_KEYS:
+        if name in only:
+            out = _join(out, getattr(cards, name), key, sentinel)
+    known = {"procedure_taux_succes": S.DEFAULT_PROCEDURE_RATE, "score_huissier": S.DEFAULT_BAILIFF_SCORE,
+             "acteur_taux_succes": S.DEFAULT_SUCCESS_RATE, "acteur_delai_moyen": S.DEFAULT_MEAN_DELAY,
+             "tribunal_delai_moyen": S.DEFAULT_COURT_DELAY}
+    out = out.withColumns({c: F.coalesce(c, F.lit(default)) for c, default in known.items() if c in out.columns})
+    if "court" in only:
+        out = out.withColumn("tribunal_delai_moyen", F.when(F.col("tribunal_id") == S.NONE_ID, F.lit(S.NO_COURT_DELAY))
+                             .otherwise(F.col("tribunal_delai_moyen")))
+    if "lawyer" in only:
+        delay = case_delay if case_delay is not None else rules.case_delay("date_ouverture", "date_mise_a_jour")
+        out = (out.withColumn("score_avocat", rules.lawyer_score("acteur_taux_succes", "acteur_delai_moyen"))
+                  .withColumn("score_avocat_feature", rules.lawyer_score_feature("acteur_taux_succes", delay)))
+    return out

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,7 +98,7 @@ def risk_score_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("recovery_probability")
 def recovery_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F5, F6 with the looked-up lawyer rate; 6 dp."""
-    e = training.enriched_cases(spark, sf_dir)
+    e = training.enriched_cases(spark, sf_dir, only=("lawyer",))
     logit = rules.recovery_logit("score_risque", "acteur_taux_succes", "historique_incidents",
                                  "anciennete_impaye_jours", "type_procedure")
     return e.select("id", round_half_even(logit, 6).alias("logit_recouvrement"),
@@ -146,10 +144,10 @@ def case_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("floors_and_ratio")
 def floors_and_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F13 + F2 on the raw customer/order amounts."""
+    """F13 + F2 on the customer's and order's own amounts, not yet floored."""
     c = dossiers.cases(spark, sf_dir)
-    income = rules.income_floor("revenu_estime")
-    amount = rules.amount_floor("montant_impaye")
+    income = rules.income_floor("revenu_brut")
+    amount = rules.amount_floor("montant_brut")
     return c.select("id", income.alias("revenu_estime"), amount.alias("montant_impaye"),
                     rules.debt_ratio(amount, income).alias("ratio_endettement"))
 
@@ -157,7 +155,7 @@ def floors_and_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("procedure_priors")
 def procedure_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """priors and bounds applied to each case's own delay/rates."""
-    e = training.enriched_cases(spark, sf_dir)
+    e = training.enriched_cases(spark, sf_dir, only=("procedure",))
     return e.select("id", "type_procedure",
                     rules.procedure_prior_rate("type_procedure").alias("procedure_taux_prior"),
                     rules.court_delay_prior("type_procedure", "delai_estime_jours")
@@ -252,8 +250,10 @@ def recent_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("table_profile")
 def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S2 for the training table and the driver tables it reads."""
-    parts = [history.profile("dossiers", training.training_table(spark, sf_dir))]
+    """S2 for the training table and the driver tables it reads. The training
+    table has a row for each valid case; its lookups need not run."""
+    rows = dossiers.valid_cases(spark, sf_dir)
+    parts = [history.profile("dossiers", rows).withColumn("n_columns", F.lit(len(S.TRAINING_SCHEMA.fields)))]
     for name in ("orders", "lineitem", "customer"):
         parts.append(history.profile(name, tables.table(spark, sf_dir, name)))
     out = parts[0]
@@ -276,86 +276,167 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Spark ML (L1-L18, S4, S9, S10) and streaming (X1); rows-only checks
 # ---------------------------------------------------------------------------
-MODEL_LAYOUT = "v1"
+MODEL_LAYOUT = "v2"
 
 
-def model_root(spark: SparkSession, sf_dir: str) -> str:
-    key = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
-    return stable_path(spark, "models", f"{key}-{MODEL_LAYOUT}")
+def model_root(spark: SparkSession, table: DataFrame) -> str:
+    """The store of the models of one training table: named by its rows and
+    the parameters of the fits, so other data or other parameters never find
+    these models."""
+    rows = table.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*table.columns)).alias("h")).first()
+    params = (MODEL_LAYOUT, rows.n, rows.h, S.RF_TREES, S.RF_DEPTH, S.SEED, S.KMEANS_K, S.TRAIN_FRACTION,
+              features.REQUEST_PART, features.CASE_PART)
+    return stable_path(spark, "models", hashlib.sha1(repr(params).encode()).hexdigest()[:16])
 
 
 def trained_models(spark: SparkSession, sf_dir: str) -> dict:
     """Latest saved models for this data set (S10), training them first if
-    the store has none."""
-    root = model_root(spark, sf_dir)
+    the store has none. What is returned was read from the store."""
+    table = pin(training.training_table(spark, sf_dir), "training")
+    root = model_root(spark, table)
     try:
         return model_store.load_all(spark, root)
     except FileNotFoundError:
-        fitted, _ = models.train(spark, training.training_table(spark, sf_dir))
+        fitted, _ = models.train(spark, table)
         model_store.save_models(fitted, root)
         return model_store.load_all(spark, root)
 
 
 @query("feature_matrix_stats")
 def feature_matrix_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per slot of the standardised full feature vector, mean ~ 0 and
-    std ~ 1 (constant slots stay 0)."""
-    data = models.prepare(training.training_table(spark, sf_dir))
-    fm = features.full_pipeline().fit(data)
-    names = features.slot_names(fm, S.FULL_CATEGORICAL, S.FULL_NUMERIC)
-    summary = fm.transform(data).select(
-        Summarizer.metrics("mean", "std").summary(F.col("features_full")).alias("s"))
-    arr = summary.select(vector_to_array("s.mean").alias("m"), vector_to_array("s.std").alias("d"))
-    slots = F.array(*[F.lit(n) for n in names])
-    return arr.select(F.posexplode(F.arrays_zip(slots.alias("name"), "m", "d")).alias("slot", "z")) \
-              .select("slot", F.col("z.name").alias("feature"),
-                      F.col("z.m").alias("mean"), F.col("z.d").alias("std"))
+    """Per slot of the full feature vector, the mean and deviation it
+    is standardised with, and what is left of them after (0 and 1; constant
+    slots stay 0), to 6 decimals."""
+    data = pin(models.prepare(training.training_table(spark, sf_dir)), "features")
+    parts = (features.REQUEST_PART, features.CASE_PART)
+    stages = features.fit_full(data)
+    fitted = {parts[0].name: stages[:2], parts[1].name: stages[2:4]}
+    scaled = features.transform(stages, data)
+    after = scaled.select(Summarizer.metrics("mean", "std").summary(F.col(features.FULL)).alias("s")).first().s
+    rows = []
+    for part in parts:
+        scaler = fitted[part.name][1]
+        for name, mean, std in zip(features.slots(fitted[part.name], part, data), scaler.mean, scaler.std, strict=True):
+            k = len(rows)
+            rows.append((k, name, float(mean), float(std), float(after["mean"][k]), float(after["std"][k])))
+    out = spark.createDataFrame(rows, "slot int, feature string, mean double, std double, mean_after double, std_after double")
+    return out.select("slot", "feature", *[(F.round(F.col(c), 6) + 0.0).alias(c) for c in out.columns[2:]])
+
+
+@query("label_order")
+def label_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of every label, by frequency, ties by name."""
+    data = pin(_labelled(spark, sf_dir).select("type_procedure", "statut_final", "next_best_action"), "labels")
+    rows = [(label, i, name) for label, idx, _, _ in models.SPECS.values() if idx is not None
+            for i, name in enumerate(models.label_indexer(label, idx).fit(data).labelsArray[0])]
+    return spark.createDataFrame(rows, "label string, label_index int, name string")
+
+
+@query("train_split")
+def train_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The side of every case."""
+    cases = dossiers.valid_cases(spark, sf_dir).withColumn("feature_id", rules.feature_id(
+        "dossier_id", "procedure_id", F.lit(dossiers.TESTBED_BATCH)))
+    train, test = models.split(cases)
+    return train.select("id", F.lit(True).alias("in_training")).unionByName(test.select("id", F.lit(False).alias("in_training")))
+
+
+@query("actor_assignment")
+def actor_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new case's columns and actors, without and with
+    actors in the request."""
+    cases = scoring.new_case_columns(dossiers.valid_cases(spark, sf_dir))
+    named = scoring.assign_actors(cases)
+    automatic = scoring.assign_actors(cases.drop("tribunal_id", "avocat_id", "huissier_id"))
+    kept = ("tribunal_id", "avocat_id", "huissier_id")
+    return (automatic.select("id", "score_risque", "nombre_evenements", "nombre_retards", "derniere_action_age_jours", *kept)
+            .join(named.select("id", *[F.col(c).alias(f"{c}_connu") for c in kept]), "id"))
+
+
+@query("decoded_predictions")
+def decoded_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and probability read at their fitted places,
+    for given prediction columns (one index has no label), and the rounded
+    answer."""
+    c = dossiers.valid_cases(spark, sf_dir).select("id", "dossier_id", "type_procedure", "delai_estime_jours",
+                                                   (F.col("id") % 4).cast("double").alias("statut_index"))
+    share = (F.col("id") % 1000) / 1000.0
+    probability = F.array((1 - share) / 2, share, (1 - share) / 2)
+    decoded = c.select(
+        "dossier_id", "type_procedure", scoring.decode("statut_index", S.STATUSES, scoring.FALLBACK_STATUS).alias("statut_predit"),
+        scoring.probability_of(S.RECOVERED, probability, S.STATUSES[1:] + S.STATUSES[:1]).alias("probabilite_recouvrement"),
+        (F.col("delai_estime_jours") / 7).alias("delai_estime_jours"),
+        scoring.decode("statut_index", S.ACTIONS, scoring.FALLBACK_ACTION).alias("next_best_action"),
+        F.lit(1).alias("cluster_segment_id"), F.lit(59.0).alias("score_avocat"), F.lit(65.0).alias("score_huissier"),
+        F.lit(0.65).alias("acteur_taux_succes"), F.lit(120.0).alias("acteur_delai_moyen"))
+    return scoring.response(decoded)
 
 
 @query("train_metrics")
 def train_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L7-L17 fit + evaluate, S9 save with a timestamp, S10 reload latest;
-    plus the duration RMSE without the leaking lawyer-score feature."""
-    root = model_root(spark, sf_dir)
-    fitted, metrics = models.train(spark, training.training_table(spark, sf_dir))
+    plus the duration RMSE without the leaking lawyer-score feature. The
+    figures of a model are reported once it has been read back."""
+    table = pin(training.training_table(spark, sf_dir), "training")
+    root = model_root(spark, table)
+    fitted, metrics = models.train(spark, table)
     paths = model_store.save_models(fitted, root)
-    loaded = {p: model_store.latest_model_path(spark, root, p) for p in S.MODEL_PREFIXES}
-    saved = spark.createDataFrame([(k, paths[k], loaded[k]) for k in S.MODEL_PREFIXES],
-                                  "model string, saved_path string, latest_path string")
+    loaded = model_store.load_all(spark, root)
+    same = {k: [s.uid for s in loaded[k].stages] == [s.uid for s in fitted[k].stages] for k in S.MODEL_PREFIXES}
+    latest = {p: model_store.latest_model_path(spark, root, p) for p in S.MODEL_PREFIXES}
+    saved = spark.createDataFrame([(k, paths[k], latest[k], same[k]) for k in S.MODEL_PREFIXES],
+                                  "model string, saved_path string, latest_path string, read_back boolean")
     return metrics.join(saved, "model", "left")
 
 
-def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The valid cases as the client sends them (10 contract fields)."""
-    return dossiers.valid_cases(spark, sf_dir).select(*S.REQUEST_FIELDS)
-
-
 @query("batch_scoring")
 def batch_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L18 cascade over every valid case against a scorecard snapshot of the
-    history, S7 append, P13 response."""
+    """L18 cascade over every valid case, with the actors its request names,
+    against a scorecard snapshot of the history, S7 append, P13 response."""
     fitted = trained_models(spark, sf_dir)
-    cards = sc.snapshot(dossiers.testbed_history(spark, sf_dir))
-    scored = pin(scoring.score(_requests(spark, sf_dir), cards, fitted), "scored")
+    cases = pin(dossiers.valid_cases(spark, sf_dir), "cases")
+    cards = sc.snapshot(cases)
+    scored = pin(scoring.score(cases.select(*S.REQUEST_FIELDS, "tribunal_id", "avocat_id", "huissier_id"), cards, fitted), "scored")
     path = scratch_path(spark, "scored_history")
     history.append_history(spark, history.to_history_rows(scored, "batch"), path, "batch")
     return scoring.response(scored)
 
 
-@query("stream_scoring")
-def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON records arrive as files; each micro-batch is validated,
-    scored against the history so far and appended. A second run on the
-    same checkpoint adds nothing."""
+@query("cascade_lookups")
+def cascade_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cascade looks up for each case's own actors,
+    its mapped procedure taken as the predicted one."""
+    cases = pin(dossiers.valid_cases(spark, sf_dir), "cases")
+    out = sc.attach_scorecards(scoring.assign_actors(cases), sc.snapshot(cases))
+    return out.select("id", "avocat_id", "tribunal_id", "huissier_id", "acteur_taux_succes", "acteur_delai_moyen",
+                      "tribunal_delai_moyen", "procedure_taux_succes", "score_huissier", "score_avocat")
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history a stream over all records leaves, run twice."""
     fitted = trained_models(spark, sf_dir)
     base = scratch_path(spark, "stream")
     src = f"{base}/in"
-    (intake.request_records(spark, sf_dir).select("value")
-           .repartition(4, "value").write.text(src))
+    intake.request_records(spark, sf_dir).select("value").write.text(src)
     hist, quarantine, ckpt = f"{base}/history", f"{base}/quarantine", f"{base}/ckpt"
     for _ in range(2):
-        q = scoring_stream.start(spark, src, hist, quarantine, ckpt, fitted,
-                                 max_files_per_trigger=1)
+        q = scoring_stream.start(spark, src, hist, quarantine, ckpt, fitted, max_bytes_per_trigger="32m")
         q.awaitTermination()
-    return history.read_history(spark, hist).select(
+    return history.read_history(spark, hist)
+
+
+@query("stream_scoring")
+def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON records arrive as files; each micro-batch is validated,
+    scored against the history so far and appended. A second run on the
+    same checkpoint adds nothing."""
+    return _streamed(spark, sf_dir).select(
         *S.HISTORY_VIEW_COLUMNS, "type_procedure", "avocat_id", "huissier_id", "batch_id")
+
+
+@query("stream_history")
+def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of a streamed case that no model decides."""
+    return _streamed(spark, sf_dir).select(
+        "dossier_id", "procedure_id", "client_segment", "montant_impaye", "score_risque", "nombre_evenements",
+        "nombre_retards", "derniere_action_age_jours", "huissier_id")

@@ -492,3 +492,91 @@ SELECT sha256(dossier_id || '|' || procedure_id || '|' || 'testbed') AS feature_
        montant_recouvre_final, next_best_action
 FROM enriched
 """
+
+# ---------------------------------------------------------------------------
+# Models: what surrounds the fits
+# ---------------------------------------------------------------------------
+_NUMBERS = {
+    "base": ["revenu_estime", "score_risque", "montant_impaye", "historique_incidents",
+             "anciennete_impaye_jours", "nombre_echeances_impayees"],
+    "case": ["acteur_taux_succes", "score_avocat_feature", "nombre_evenements", "nombre_retards",
+             "derniere_action_age_jours", "acteur_delai_moyen", "tribunal_delai_moyen", "procedure_taux_succes"],
+}
+_SHOWN = {"score_avocat_feature": "score_avocat"}
+
+
+def _category_slots(column: str, first: str) -> str:
+    return f"""
+  SELECT {first} + CAST(row_number() OVER (ORDER BY count(*) DESC, {column}) - 1 AS INTEGER) AS slot,
+         '{column}_' || {column} AS feature, count(*) / any_value(n) AS mean,
+         sqrt(count(*) * (1 - count(*) / any_value(n)) / (any_value(n) - 1)) AS std
+  FROM enriched, (SELECT count(*)::DOUBLE AS n FROM enriched) GROUP BY {column}"""
+
+
+def _number_slots(columns: list[str], first: str) -> str:
+    return "".join(f"""
+  UNION ALL SELECT {first} + {k}, '{_SHOWN.get(c, c)}', avg({c})::DOUBLE, stddev_samp({c})::DOUBLE FROM enriched"""
+                   for k, c in enumerate(columns))
+
+
+ORACLE["feature_matrix_stats"] = with_enriched() + f"""
+, kinds AS (SELECT CAST(count(DISTINCT client_segment) AS INTEGER) AS segments,
+                   CAST(count(DISTINCT type_procedure) AS INTEGER) AS procedures FROM enriched),
+slots AS (
+  {_category_slots("client_segment", "0")}
+  {_number_slots(_NUMBERS["base"], "(SELECT segments FROM kinds)")}
+  UNION ALL ({_category_slots("type_procedure", "(SELECT segments + 6 FROM kinds)")})
+  {_number_slots(_NUMBERS["case"], "(SELECT segments + 6 + procedures FROM kinds)")}
+)
+SELECT slot, feature, round(mean, 6) AS mean, round(std, 6) AS std, 0.0::DOUBLE AS mean_after,
+       CASE WHEN std = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS std_after
+FROM slots
+"""
+
+ORACLE["label_order"] = with_enriched() + "".join(
+    f"""{" UNION ALL " if k else ""}
+SELECT '{label}' AS label, CAST(row_number() OVER (ORDER BY count(*) DESC, {label}) - 1 AS INTEGER) AS label_index,
+       {label} AS name FROM enriched GROUP BY {label}"""
+    for k, label in enumerate(["type_procedure", "statut_final", "next_best_action"]))
+
+ORACLE["train_split"] = with_cases() + """
+SELECT id, CAST('0x' || substr(md5(sha256(dossier_id || '|' || procedure_id || '|testbed')), 1, 8) AS BIGINT) % 100 < 80
+       AS in_training
+FROM valid
+"""
+
+ORACLE["actor_assignment"] = with_cases() + """
+SELECT id, score_risque, 0::BIGINT AS nombre_evenements, 0::BIGINT AS nombre_retards, 0 AS derniere_action_age_jours,
+       CASE WHEN type_procedure = 'Judiciaire' THEN 'TRIB-AUTO' ELSE 'NONE' END AS tribunal_id,
+       CASE WHEN type_procedure = 'Judiciaire' THEN 'AVO-AUTO' ELSE 'NONE' END AS avocat_id,
+       'HUI-AUTO' AS huissier_id, tribunal_id AS tribunal_id_connu, avocat_id AS avocat_id_connu,
+       huissier_id AS huissier_id_connu
+FROM valid
+"""
+
+ORACLE["decoded_predictions"] = with_cases() + """
+SELECT dossier_id, type_procedure AS meilleure_procedure,
+       round_even((1 - (id % 1000) / 1000.0::DOUBLE) / 2, 4) AS taux_de_succes,
+       CASE id % 4 WHEN 0 THEN 'Recouvré' WHEN 1 THEN 'En cours' WHEN 2 THEN 'Échec' ELSE 'Inconnu' END AS statut_final_predit,
+       round_even(delai_estime_jours / 7, 2) AS delai_estime_jours,
+       CASE id % 4 WHEN 0 THEN 'Relance amiable' WHEN 1 THEN 'Mise en demeure' WHEN 2 THEN 'Action judiciaire'
+                   ELSE 'Négociation' END AS prochaine_action_recommandee,
+       1 AS cluster_segment_id, 59.0::DOUBLE AS score_avocat, 65.0::DOUBLE AS score_huissier,
+       0.65::DOUBLE AS acteur_taux_succes, 120.0::DOUBLE AS acteur_delai_moyen
+FROM valid
+"""
+
+ORACLE["cascade_lookups"] = with_enriched() + """
+SELECT id, avocat_id, tribunal_id, huissier_id, acteur_taux_succes, acteur_delai_moyen,
+       tribunal_delai_moyen, procedure_taux_succes, score_huissier, score_avocat
+FROM enriched
+"""
+
+ORACLE["stream_history"] = INTAKE + """
+SELECT c.dossier_id, r.procedure_id, r.client_segment, r.montant_impaye,
+       CAST(least(greatest(r.historique_incidents * 10
+                           + CAST(trunc(least(r.montant_impaye / 1000, 1000000)) AS BIGINT), 1), 100) AS INTEGER) AS score_risque,
+       0::BIGINT AS nombre_evenements, 0::BIGINT AS nombre_retards, 0 AS derniere_action_age_jours, 'HUI-AUTO' AS huissier_id
+FROM checked c JOIN req r USING (id)
+WHERE c.error_text = ''
+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import threading
 import uuid
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app: str = "arrears",
-                  shuffle_partitions: int | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None, checkpoint_dir: str | None = None) -> SparkSession:
     """Session with the settings the library relies on.
 
     AQE stays on: it coalesces small shuffle partitions, turns a join into a
@@ -21,9 +22,12 @@ def build_session(master: str | None = None, app: str = "arrears",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+    if checkpoint_dir:
+        b = b.config("spark.checkpoint.dir", checkpoint_dir)
     b = (b.config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
+          .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
           .config("spark.sql.session.timeZone", "UTC")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
           .config("spark.ui.enabled", "false")
@@ -36,20 +40,17 @@ def build_session(master: str | None = None, app: str = "arrears",
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    On a cluster this must be set (a folder every executor can reach); we
-    only invent one when it is unset, which happens in local tests.
-    """
+    """The shared folder named by ``spark.checkpoint.dir``, which every
+    executor must reach. Only a session that is one process (``local[n]``)
+    may go without: it gets a folder of its own, as in tests. On a cluster a
+    folder of one machine would lose what other machines write."""
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
+    root = (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+            or sc.getCheckpointDir())
     if not root:
-        current = sc.getCheckpointDir()
-        if current:
-            return current
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="arrears-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root

@@ -102,6 +102,8 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         rules.format_id("DOS", 6, "o_orderkey").alias("dossier_id"),
         F.concat(F.lit("PROC-"), F.col("o_orderkey").cast("string")).alias("procedure_id"),
         map_values(F.col("c_mktsegment"), SEGMENT_OF_MARKET).alias("client_segment"),
+        (F.col("c_acctbal") * INCOME_MONTHS).alias("revenu_brut"),
+        (F.col("o_totalprice") / AMOUNT_DIVISOR).alias("montant_brut"),
         F.greatest(F.lit(rules.INCOME_FLOOR), F.col("c_acctbal") * INCOME_MONTHS).alias("revenu_estime"),
         F.greatest(F.lit(rules.AMOUNT_FLOOR), F.col("o_totalprice") / AMOUNT_DIVISOR).alias("montant_impaye"),
         F.col("n_returned").alias("historique_incidents"),

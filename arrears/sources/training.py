@@ -32,14 +32,16 @@ def with_labels(cases: DataFrame) -> DataFrame:
                                                "nombre_echeances_impayees")))
 
 
-def enriched_cases(spark: SparkSession, sf_dir: str, pin: bool = True) -> DataFrame:
-    """Valid cases + scorecard lookups (both lawyer scores) + labels."""
+def enriched_cases(spark: SparkSession, sf_dir: str, pin: bool = True,
+                   only: tuple[str, ...] = sc.ALL_CARDS) -> DataFrame:
+    """Valid cases + the scorecard lookups asked for (both lawyer scores) +
+    labels."""
     history = dossiers.testbed_history(spark, sf_dir)
     if pin:
         # written once: both the scorecards and the lookups read it
         history = pin_table(history, "history")
-    cards = sc.snapshot(history, pin=pin)
-    return with_labels(sc.attach_scorecards(history, cards))
+    cards = sc.snapshot(history, pin=pin, only=only)
+    return with_labels(sc.attach_scorecards(history, cards, only=only))
 
 
 def training_table(spark: SparkSession, sf_dir: str, pin: bool = True) -> DataFrame:

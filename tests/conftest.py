@@ -14,19 +14,19 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from pyspark.sql import SparkSession
 
+    # local tests share one machine: a folder of their own will do, unless
+    # the installation names one
     s = (SparkSession.builder.master("local[*]")
          .appName("arrears-tests")
          .config("spark.sql.shuffle.partitions", "8")
+         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    # tests set their own checkpoint folder only when the session has none
-    if not s.conf.get("spark.checkpoint.dir", None) and not s.sparkContext.getCheckpointDir():
-        d = tempfile.mkdtemp(prefix="arrears-test-ckpt-")
-        s.conf.set("spark.checkpoint.dir", d)
-        s.sparkContext.setCheckpointDir(d)
+    if not s.sparkContext.getConf().get("spark.checkpoint.dir", None):
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="arrears-test-ckpt-"))
     yield s
     s.stop()
 

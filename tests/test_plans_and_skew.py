@@ -42,21 +42,45 @@ def test_asof_windows_only_over_partition_summaries(spark):
         assert "entity" not in ln and "avocat_id" not in ln and "type_procedure" not in ln, ln
 
 
-def test_cards_broadcast_only_under_the_cap(spark):
+def test_card_joins_are_left_to_measured_sizes(spark):
+    """No broadcast is forced: a lookup is broadcast if Spark measures the
+    card to be small and shuffled otherwise, with equal results; the cases of
+    the sentinel are then dealt out over several keys."""
     hist = dossiers.testbed_history(spark, SF_SMALL)
-    small = sc.snapshot(hist)
-    assert all(small.broadcastable.values())
-    big = sc.snapshot(hist, max_broadcast_rows=0)
-    assert not any(big.broadcastable.values())
+    cards = sc.snapshot(hist)
     cases = dossiers.valid_cases(spark, SF_SMALL)
+    columns = ["id", "acteur_taux_succes", "tribunal_delai_moyen", "procedure_taux_succes", "score_huissier"]
+    looked_up = sc.attach_scorecards(cases, cards).select(*columns)
+    assert "BroadcastHashJoin" in plan_of(looked_up)
+    want = sorted(looked_up.collect())
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        shuffled = plan_of(sc.attach_scorecards(cases, big))
-        broadcast = plan_of(sc.attach_scorecards(cases, small))
+        shuffled = sc.attach_scorecards(cases, cards).select(*columns)
+        plan = plan_of(shuffled)
+        assert "BroadcastHashJoin" not in plan and ("SortMergeJoin" in plan or "ShuffledHashJoin" in plan)
+        assert sorted(shuffled.collect()) == want
+        dealt = sc._join(cases, cards.lawyer, "avocat_id", True)._jdf.queryExecution().optimizedPlan().toString()
+        assert "pmod(xxhash64" in dealt
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "SortMergeJoin" in shuffled or "ShuffledHashJoin" in shuffled
-    assert "BroadcastHashJoin" in broadcast
+
+
+def test_one_lineitem_exchange_and_pushed_date_rule(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(dossiers.valid_cases(spark, SF_SMALL))
+        shown = dossiers.valid_cases(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # orders, lineitem, the order facts by customer, customer
+    assert plan.count("Exchange hashpartitioning") == 4
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == 1
+    # the date rule stands above the aggregate by order, below the customer join
+    lines = shown.splitlines()
+    depth = {name: min(ln.index(name) for ln in lines if name in ln) for name in ("Join Inner, (o_custkey", "Aggregate [o_orderkey")}
+    rule = [ln for ln in lines if "Filter" in ln and "max(ship_day" in ln or "Filter" in ln and "last_ship" in ln]
+    assert rule and all(depth["Join Inner, (o_custkey"] < ln.index("Filter") for ln in rule)
+    assert "filter(array(" not in shown
 
 
 @pytest.fixture(scope="module")
