@@ -31,8 +31,10 @@ HEADS = frozenset("header masthead head".split())
 #: elements, item properties and class words of an article's text
 TEXT_WORDS = frozenset("article articlebody content entry post story".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[^a-zA-Z/!?]|[^<]+|<",
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^<>]*\Z|<[^a-zA-Z/!?]|[^<]+|<",
                     re.DOTALL)
+#: comments, declarations and a tag that the page ends in
+_NO_TEXT = re.compile(r"<[!?]|</?[a-zA-Z]")
 _RAW_END = {name: re.compile(f"</{name}[^>]*>", re.IGNORECASE) for name in RAW}
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -137,7 +139,7 @@ def parse(source: str) -> Page:
         found = m.group(2)
         if found is None:
             piece = m.group()
-            if not piece.startswith(("<!", "<?")):
+            if not _NO_TEXT.match(piece):
                 text.append(piece)
                 if stack[-1][6]:
                     linked += len(piece.strip())
