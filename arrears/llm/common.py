@@ -19,9 +19,21 @@ _serial = itertools.count()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus, in a session set up for whole texts."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Holds the Arrow batches of this session to ``rows`` rows and ``size``
+    bytes: both the JVM and the Python worker keep a batch of whole texts
+    outside the heap. Results do not depend on it."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > size:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def slots(spark: SparkSession) -> int:
     """Partitions a keyed shuffle is dealt to: the session's own setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

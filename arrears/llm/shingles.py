@@ -8,18 +8,16 @@ import xxhash
 WORDS = 5
 #: A-Z to a-z; bytes.split() then cuts at the bytes 20 and 09 to 0D
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_MOST_WORDS = 400_000
+_MOST_WORDS = 150_000
 _MULTIPLY, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class WordHashes(dict):
-    """Hashes of words met before, within a bounded memory."""
+    """Hashes of the first words met, which hold the frequent ones."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > _MOST_WORDS:
-            self.clear()
         value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
+        if len(self) < _MOST_WORDS and len(word) <= 64:
             self[word] = value
         return value
 

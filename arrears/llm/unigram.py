@@ -42,7 +42,7 @@ MARK = "▁"
 #: what an uncovered character costs below the lowest score
 UNKNOWN_PENALTY = 10.0
 #: words a task remembers, and the longest that is worth remembering
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 250_000
 REMEMBERED_BYTES = 64
 #: words up to this many bytes are solved in step, longer ones one by one
 STEP_BYTES = 96
