@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
 
-MOST_TOXIC, MOST_CLEAN = 2500, 5000
+MOST_TOXIC, MOST_CLEAN = 1200, 2400
 ROWS, WIDTH = 1 << 17, 8
 GRAMS = (3, 4, 5)
 STRETCH = 32
@@ -42,8 +42,10 @@ PAD = 400.0
 #: stretches that must hold an n-gram for it to be learnt
 LEAST = 8
 STEPS, RATE, BIAS_RATE = 120, 0.05, 2.0
+#: weight of all toxic documents in training
+TOXIC_SHARE = 0.85
 THRESHOLD = 0.7
-MOST_WORDS = 400_000
+MOST_WORDS, WORDS_AT_ONCE = 150_000, 5_000
 
 
 def _rows_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,30 +117,45 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int =
         own = distinct_words(t)
         for lo in range(0, len(own), STRETCH):
             part = [index.setdefault(w, len(index)) for w in own[lo:lo + STRETCH]]
-            words.append(part)
+            words.append(np.array(part, np.int32))
             stretch_of.append(len(part))
             doc_of.append(d)
     if not words:
         return constant(float(labels.mean()))
-    rows, n_rows = _rows_of(list(index))
-    flat = np.concatenate([np.asarray(p, np.int64) for p in words])
     size = np.asarray(stretch_of)
+    flat = np.concatenate(words)
     doc = np.asarray(doc_of)
-    first, first_word = np.cumsum(size) - size, np.cumsum(n_rows) - n_rows
+    first = np.cumsum(size) - size
+    # the rows of all words, a part at a time; those of few stretches would
+    # learn their documents and not their class, and stay at zero
+    met = np.bincount(flat, minlength=len(index))
+    times, n_rows, rows, word_of = np.zeros(ROWS), [], [], []
+    vocabulary = list(index)
+    del index, words
+    for lo in range(0, len(vocabulary), WORDS_AT_ONCE):
+        some, n = _rows_of(vocabulary[lo:lo + WORDS_AT_ONCE])
+        owner = np.repeat(np.arange(lo, lo + len(n)), n)
+        times += np.bincount(some, met[owner], ROWS)
+        n_rows.append(n)
+        rows.append(some.astype(np.int32))
+        word_of.append(owner.astype(np.int32))
+    common = times >= LEAST
+    n_rows = np.concatenate(n_rows)
+    for k in range(len(rows)):
+        keep = common[rows[k]]
+        rows[k], word_of[k] = rows[k][keep], word_of[k][keep]
+    rows, word_of = np.concatenate(rows), np.concatenate(word_of)
     bag = np.add.reduceat(n_rows[flat], first) + PAD
     held = np.unique(doc)
     doc_first = np.searchsorted(doc, held)
     y = labels[held].astype(np.float64)
-    balance = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    balance = np.where(y == 1, TOXIC_SHARE / max(y.sum(), 1), (1 - TOXIC_SHARE) / max((1 - y).sum(), 1))
     rng = np.random.default_rng(seed)
     model = Model(rng.normal(0, 0.05, (ROWS, WIDTH)), rng.normal(0, 0.5, (WIDTH, 2)), np.zeros(2))
-    # rows of few stretches would learn their documents, not their class
-    common = np.bincount(rows, np.repeat(np.bincount(flat, minlength=len(n_rows)), n_rows), ROWS) >= LEAST
     model.embedding[~common] = 0.0
     state = [np.zeros_like(x) for x in (model.embedding, model.weight)]
     for step in range(1, steps + 1):
-        odds = model.odds
-        per_word = np.add.reduceat(odds[rows], first_word)
+        per_word = np.bincount(word_of, model.odds[rows], len(n_rows))
         total = np.add.reduceat(per_word[flat], first)
         logit = total / bag + model.offset
         if step * 3 <= steps:  # share of each stretch in its document's average
@@ -151,7 +168,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int =
         error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * balance
         by_stretch = part * np.repeat(error, np.diff(np.append(doc_first, len(doc)))) / bag
         by_word = np.bincount(flat, np.repeat(by_stretch, size), len(n_rows))
-        by_row = np.bincount(rows, np.repeat(by_word, n_rows), ROWS) * common
+        by_row = np.bincount(rows, by_word[word_of], ROWS)
         turn = model.weight[:, 1] - model.weight[:, 0]
         down = by_row @ model.embedding
         gradients = (by_row[:, None] * turn[None, :], np.stack([-down, down], axis=1))
