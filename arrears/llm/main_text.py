@@ -74,6 +74,19 @@ def _find_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              schema=_TOKENS)
 
 
+class Templates(dict):
+    """Templates by host, for the pages of a task; a bounded number."""
+
+    def get_for(self, host: str, column: pa.Array, i: int) -> Template | None:
+        """Of row ``i``, whose host's template the column holds."""
+        if host not in self:
+            if len(self) > 1000:
+                self.clear()
+            entries = column[i].as_py()
+            self[host] = Template(entries) if entries else None
+        return self[host]
+
+
 class Template:
     """A host's classes: for each token its class and place in it; the root
     class's tokens bound the gaps."""
@@ -103,11 +116,11 @@ def gap_of(gaps: list[tuple[int, int]], at: int) -> int:
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each page and class: whether its tokens are in order and in which
     gap they are; and how much text each gap holds (class null)."""
-    known: dict[str, Template] = {}
+    known = Templates()
     for batch in batches:
         rows = []
-        for host, html, entries in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "template")), strict=True):
-            template = known.setdefault(host, Template(entries)) if len(known) < 1000 else Template(entries)
+        for i, (host, html) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
+            template = known.get_for(host, batch.column("template"), i)
             page = parse(html)
             gaps = template.gaps(page)
             order = defaultdict(list)
@@ -160,13 +173,11 @@ def _extent(page: Page, region: int) -> tuple[int, int]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, Template] = {}
+    known = Templates()
     for batch in batches:
         texts = []
-        for host, html, entries in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "template")), strict=True):
-            template = None
-            if entries:
-                template = known.setdefault(host, Template(entries)) if len(known) < 1000 else Template(entries)
+        for i, (host, html) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
+            template = known.get_for(host, batch.column("template"), i)
             texts.append("\n".join(main_blocks(parse(html), template)))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
