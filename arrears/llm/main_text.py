@@ -34,10 +34,10 @@ An empty table gives an empty one. Other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,18 +99,18 @@ class Template:
         self.root = next((e["cls"] for e in entries if e["root"]), None)
         self.main = next((e["main"] for e in entries if e["main"] is not None), None)
 
-    def gaps(self, page: Page) -> list[tuple[int, int]]:
-        """(position, gap that begins there) along a page."""
-        return [(at, self.of[t][1]) for at, t in sorted(page.tags) if self.of.get(t, (None,))[0] == self.root]
+    def gaps(self, page: Page) -> tuple[list[int], list[int]]:
+        """Where gaps begin along a page, and which."""
+        own = [(at, self.of[t][1]) for at, t in page.tags if self.of.get(t, (None,))[0] == self.root]
+        return [at for at, _ in own], [gap for _, gap in own]
 
     def is_text(self, token: int) -> bool:
         return token in self.of
 
 
-def gap_of(gaps: list[tuple[int, int]], at: int) -> int:
-    places = [p for p, _ in gaps]
-    k = int(np.searchsorted(places, at, side="right")) - 1
-    return gaps[k][1] if k >= 0 else -1
+def gap_of(gaps: tuple[list[int], list[int]], at: int) -> int:
+    k = bisect_right(gaps[0], at) - 1
+    return gaps[1][k] if k >= 0 else -1
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
