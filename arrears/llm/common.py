@@ -97,34 +97,68 @@ def unpack(column: pa.Array) -> Iterator[bytes]:
     return map(zstandard.ZstdDecompressor().decompress, column.to_pylist())
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: edges that one task contracts at a time
+CHUNK = 1_000_000
+
+
+def components(links: DataFrame, chunk: int = CHUNK, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``links(a, b)`` as ``(id, component)``, the
     component being the smallest id reachable. Ids that stand in no link are
     absent; an empty table of links gives an empty result.
 
-    Two alternating joins-free steps per round, each one grouping pass over
-    the edges (large star, then small star): every vertex hangs its larger
-    neighbours, then its smaller ones, on its smallest neighbour. The number
-    of rounds grows with the logarithm of the longest chain. Each round is
-    written as a table, so a lost executor costs one round. A vertex with
-    very many neighbours is never gathered: the smallest neighbour comes from
-    a map-side combined ``min`` and is joined back, and AQE splits the join.
+    First every task contracts its own chunk of at most about ``chunk`` edges:
+    each vertex hangs on the smallest one it reaches inside the chunk. If one
+    chunk holds all edges, that is the result. Else rounds of two grouping
+    passes over the edges that are left (large star, then small star) hang
+    every vertex's larger neighbours, then its smaller ones, on its smallest;
+    their number grows with the logarithm of the longest chain of chunks. Each
+    round is written as a table, so a lost executor costs one round. A vertex
+    with very many neighbours is never gathered there: the smallest neighbour
+    comes from a map-side combined ``min`` and is joined back, and AQE splits
+    the join.
     """
     edges = pin(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                 .where("u != v").distinct())
+    chunks = -(-edges.count() // chunk)
+    hung = pin(edges.coalesce(max(1, chunks)).mapInArrow(_contract, "u long, v long"))
+    if chunks > 1:
+        hung = _stars(hung.distinct(), max_rounds)
+    return hung.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
+        hung.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each vertex of a chunk of edges with the smallest one it reaches."""
+    held = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    u, v = (np.concatenate(c) for c in zip(*held, strict=True))
+    ids, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = place[:len(u)], place[len(u):]
+    label = np.arange(len(ids))
+    while True:
+        a, b = label[u], label[v]
+        differ = np.flatnonzero(a != b)
+        if not len(differ):
+            break
+        np.minimum.at(label, np.maximum(a[differ], b[differ]), np.minimum(a[differ], b[differ]))
+        while (label[label] != label).any():
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(ids)))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["u", "v"])
+
+
+def _stars(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """Large and small stars in turn, until nothing changes."""
     state = None
     for _ in range(max_rounds):
-        edges = _star(_star(edges, large=True), large=False)
-        edges = pin(edges)
+        edges = pin(_star(_star(edges, large=True), large=False))
         now = edges.agg(F.count(F.lit(1)).alias("n"),
                         F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if state == (now.n, now.h):
-            break
+            return edges
         state = (now.n, now.h)
-    else:
-        raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-        edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

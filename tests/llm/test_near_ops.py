@@ -92,11 +92,13 @@ def test_linking_of_a_bucket_without_a_hub(spark):
     assert sum(asked) <= n * (n - 1) // 2
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("chunk", [common.CHUNK, 20])
+def test_components_of_a_chain_and_a_star(spark, chunk):
     links = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(7, 7)]
-    got = common.components(spark.createDataFrame(links, "a long, b long")).collect()
+    random.Random(0).shuffle(links)
+    got = common.components(spark.createDataFrame(links, "a long, b long").repartition(9), chunk).collect()
     assert {r.id: r.component for r in got} == {**{k: 100 for k in range(100, 161)}, 7: 7, **{k: 7 for k in range(200, 260)}}
-    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert common.components(spark.createDataFrame([], "a long, b long"), chunk).count() == 0
 
 
 def distance(a, b):
