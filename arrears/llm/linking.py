@@ -14,6 +14,8 @@ from .common import components
 #: pairs across components are formed at once if they are at most this many
 #: times the bucket entries they come from
 CROSS = 20
+#: members of a bucket that are paired with the rest in one round
+HUBS = 4
 
 
 def link_buckets(buckets: DataFrame, comparable: Callable[[Column, Column], Column],
@@ -24,12 +26,13 @@ def link_buckets(buckets: DataFrame, comparable: Callable[[Column, Column], Colu
     ``buckets(bucket, c, about, weight)`` is a written table. ``comparable``
     tells from two ``about`` values that a link is possible, ``verified``
     keeps the true links of ``pairs(a, b)``. Only components are wanted, so
-    pairs inside one are never formed: in each round the heaviest member of
-    every bucket that has not been it yet is paired with those of its
-    bucket in other components. Once what is left across components is not
-    much more than the entries it comes from, all of it is paired. So a
-    large group costs a row a member, no bucket is capped, and no pair that
-    could join two components goes untested.
+    pairs inside one are never formed: in each round HUBS members of every
+    bucket that have not been chosen yet, the heaviest of each of as many
+    parts, are paired with those of their bucket in other components. Once
+    what is left across components is not much more than the entries it comes
+    from, all of it is paired. So a large group costs HUBS rows a member and
+    round, no bucket is capped, and no pair that could join two components
+    goes untested.
     """
     links = tested = used = None
     while True:
@@ -53,7 +56,7 @@ def link_buckets(buckets: DataFrame, comparable: Callable[[Column, Column], Colu
             across = F.col("comp") < F.col("comp2")
         else:
             may = open_ if used is None else open_.join(used, ["bucket", "c"], "left_anti")
-            other = pin(may.groupBy("bucket")
+            other = pin(may.groupBy("bucket", F.pmod(F.xxhash64("c"), F.lit(HUBS)))
                         .agg(F.max_by(F.struct("c", "about", "comp"), F.struct("weight", -F.col("c"))).alias("hub"))
                         .select("bucket", "hub.*").toDF("bucket", "d", "about2", "comp2"), "linking")
             now = other.select("bucket", F.col("d").alias("c"))

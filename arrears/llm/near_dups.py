@@ -9,13 +9,13 @@ pair at exactly 0.75 is missed with probability
 1 - (1 - (1 - 0.75^3)^16)^2 = 0.0003, one at 0.8 with 0.00002. Every
 candidate is verified on the full sets; no link is estimated.
 
-Documents with equal sets are one class. Pair keys are formed only of half
-keys that another class has too. Within a table's bucket, classes are not all
-paired: the class that shares most with others is paired with the rest, and
-what that leaves in different components is paired next (again through one
-class while there is much left, else across components). Pairs inside a
-component are not needed, for components are the result; so no bucket is
-capped and no candidate that could join two components is left out.
+Documents with equal sets are one class. Only half keys that another class has
+too take part. The HALVES tables of one left half key are looked up together:
+classes meet under the left key, and of those that do, the ones with an equal
+right key have an equal table key. So a class takes a row for each left key
+and not one for each table. Within a bucket, classes are paired as
+``linking.link_buckets`` says: not all with all, yet so that no candidate
+that could join two components is left out, and without a cap.
 
 Null and empty texts, or those of white space alone, have no shingles and are
 linked with nothing, not with each other. Rows with equal ids count as rows of
@@ -102,22 +102,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """``(bucket, c, n, weight)``: the classes under each pair of half keys
-    that both halves share with others. ``weight`` counts what a class shares."""
+    """``(bucket, c, about, weight)``: the classes under each left half key
+    that others have too, with the right half keys they share with any.
+    ``weight`` counts what a class shares."""
     halves = classes.select("c", "n", F.posexplode("halves").alias("place", "half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     own = (halves.join(shared, "half").groupBy("c", "n")
            .agg(F.collect_list(F.struct("place", "half")).alias("own"), F.sum("times").alias("weight")))
     left = F.filter("own", lambda x: x["place"] < HALVES)
-    right = F.filter("own", lambda x: x["place"] >= HALVES)
-    return (own.select("c", "n", "weight", F.explode(left).alias("l"), right.alias("right"))
-            .select("c", "n", "weight", "l", F.explode("right").alias("r"))
-            .select(F.xxhash64("l.place", "l.half", "r.place", "r.half").alias("bucket"), "c", F.col("n").alias("about"), "weight"))
+    right = F.transform(F.filter("own", lambda x: x["place"] >= HALVES), lambda x: x["half"])
+    return (own.select("c", "weight", F.named_struct(F.lit("n"), F.col("n"), F.lit("right"), right).alias("about"), F.explode(left).alias("l"))
+            .where(F.size("about.right") > 0).select(F.col("l.half").alias("bucket"), "c", "about", "weight"))
 
 
 def _comparable(a: Column, b: Column) -> Column:
-    """Set sizes that allow the similarity at all."""
-    return F.lit(100) * F.least(a, b) >= F.lit(SIMILAR) * F.greatest(a, b)
+    """With an equal left half key: whether an equal right one makes it an
+    equal table key, and whether the set sizes allow the similarity."""
+    return (F.arrays_overlap(a["right"], b["right"])
+            & (F.lit(100) * F.least(a["n"], b["n"]) >= F.lit(SIMILAR) * F.greatest(a["n"], b["n"])))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -132,7 +134,6 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for each row."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
                        F.hash(F.col(doc_id).isNull(), text_or_empty(text)).alias("row"),
                        text_or_empty(text).cast("binary").alias("text"))
@@ -143,27 +144,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.min_by(F.struct("doc_id", "row"), "rid").alias("one"), F.min_by("halves", "rid").alias("halves")), "near_dups")
     buckets = pin(_buckets(classes), "near_dups")
 
-    made: list[DataFrame] = []
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """The sets of the classes in some pairs, besides those at hand."""
-        need = pairs.select(F.col("a").alias("c")).unionAll(pairs.select(F.col("b").alias("c"))).distinct()
-        for old in made:
-            need = need.join(old, "c", "left_anti")
-        need = pin(need.join(classes.select("c", "one.*"), "c"), "near_dups")
-        if need.isEmpty():
-            new = None
-        else:
-            own = (packed(rows).alias("d").join(need.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
-                                                & (F.col("d.row") == F.col("w.row"))).select("w.c", "d.text"))
-            new = pin(own.mapInArrow(_sets, "c long, shingles array<bigint>"), "near_dups")
-            made.append(new)
-        every = made[0] if made else spark.createDataFrame([], "c long, shingles array<bigint>")
-        for more in made[1:]:
-            every = every.unionAll(more)
-        return every
-
-    found = link_buckets(buckets, _comparable, lambda pairs: _verified(pairs, sets_of(pairs)))
+    # the sets of all classes that share a bucket, fetched once for all rounds
+    met = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
+    need = pin(buckets.join(met, "bucket", "left_semi").select("c").distinct()
+               .join(classes.select("c", "one.*"), "c"), "near_dups")
+    sets = pin(packed(rows).alias("d").join(need.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
+                                            & (F.col("d.row") == F.col("w.row"))).select("w.c", "d.text")
+               .mapInArrow(_sets, "c long, shingles array<bigint>"), "near_dups")
+    found = link_buckets(buckets, _comparable, lambda pairs: _verified(pairs, sets))
     own = classes.select("set1", "set2", "c", "low")
     named = own.withColumnRenamed("low", "component_id")
     if found is not None:
