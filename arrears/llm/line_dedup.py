@@ -10,8 +10,9 @@ line) stays and all others go.
 Equal normalised lines are counted first, so that a line that a third of all
 documents hold is one row from there on. Of BLOCKS blocks of the SimHash at
 least BLOCKS - DIFFER agree, by the pigeonhole principle; lines meet under
-each pair of blocks. Entries whose block pair no other line has are dropped
-by a filter before they are written. Within a bucket lines are paired as
+each choice of that many blocks, 32 bits, so that unlike lines hardly ever do.
+Entries whose blocks no other line has are dropped by a filter before they are
+written. Within a bucket lines are paired as
 ``linking.link_buckets`` says, the most frequent first, and every pair is
 verified on the whole lines.
 
@@ -41,7 +42,7 @@ from .common import bloom, fresh, packed, passes, table, text_or_empty, unpack
 from .linking import link_buckets
 from .shingles import KNOWN
 
-BITS, DIFFER, BLOCKS = 64, 3, 5
+BITS, DIFFER, BLOCKS = 64, 3, 6
 SIMILAR = 0.85
 #: texts are hashed in groups of about this many bytes
 GROUP = 1 << 19
@@ -121,7 +122,7 @@ def _find_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def block_masks() -> list[int]:
-    """One mask for each pair of the blocks."""
+    """One mask for each choice of blocks that must agree."""
     cuts = [round(BITS * k / BLOCKS) for k in range(BLOCKS + 1)]
     block = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
     return [sum(block[k] for k in c) for c in combinations(range(BLOCKS), BLOCKS - DIFFER)]
@@ -240,15 +241,16 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
               .where("n > 1").select("bucket"), "lines")
     buckets = pin(about.mapInArrow(partial(_find_buckets, seen=bloom(met, "bucket")),
                                    "bucket long, c long, sim long, length int, weight long")
+                  .join(met, "bucket", "left_semi")
                   .select("bucket", "c", F.struct("sim", "length").alias("about"), "weight"), "lines")
+    # the texts of all lines that share a bucket, fetched once for all rounds
+    wanted = (buckets.select("c").distinct().join(distinct.select("c", "one.*"), "c").groupBy("doc_id", "row")
+              .agg(F.collect_list(F.struct("c", "line")).alias("wanted")))
     whole = packed(rows.withColumn("text", F.col("text").cast("binary")))
+    text = pin(whole.alias("d").join(wanted.alias("w"), _same("d", "w")).select("d.text", "w.wanted")
+               .mapInArrow(_pick, "c long, text string").dropDuplicates(["c"]), "lines")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("a").alias("c")).unionAll(pairs.select(F.col("b").alias("c"))).distinct()
-        wanted = (need.join(distinct.select("c", "one.*"), "c").groupBy("doc_id", "row")
-                  .agg(F.collect_list(F.struct("c", "line")).alias("wanted")))
-        text = pin(whole.alias("d").join(wanted.alias("w"), _same("d", "w")).select("d.text", "w.wanted")
-                   .mapInArrow(_pick, "c long, text string").dropDuplicates(["c"]), "lines")
         both = (pairs.join(text.select(F.col("c").alias("a"), F.col("text").alias("x")), "a")
                 .join(text.select(F.col("c").alias("b"), F.col("text").alias("y")), "b"))
         return both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
