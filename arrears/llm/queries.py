@@ -26,9 +26,4 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE: dict[str, str] = {
-    "op4_near_duplicates": op4_near_duplicates,
-    "op5_line_dedup": op5_line_dedup,
-    "op6_nearest": op6_nearest,
-    "op7_mixing": OP7_SQL,
-}
+ORACLE = {"op7_mixing": OP7_SQL}

@@ -159,3 +159,4 @@ def test_pipeline_stage_by_stage(spark):
 def test_queries_are_registered():
     names = [n for n in E.queries() if n.startswith("op")]
     assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)} and "pipeline" in E.queries()
+    assert [n for n in E.oracle_sql() if n in names] == ["op7_mixing"] and all(isinstance(s, str) for s in E.oracle_sql().values())
