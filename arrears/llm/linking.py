@@ -14,7 +14,8 @@ from .common import components
 #: pairs across components are formed at once if they are at most this many
 #: times the bucket entries they come from
 CROSS = 20
-#: members of a bucket that are paired with the rest in one round
+#: members of a bucket that are paired with the rest in the first round; twice
+#: as many after each round that did not halve what is left across components
 HUBS = 4
 
 
@@ -26,21 +27,24 @@ def link_buckets(buckets: DataFrame, comparable: Callable[[Column, Column], Colu
     ``buckets(bucket, c, about, weight)`` is a written table. ``comparable``
     tells from two ``about`` values that a link is possible, ``verified``
     keeps the true links of ``pairs(a, b)``. Only components are wanted, so
-    pairs inside one are never formed: in each round HUBS members of every
-    bucket that have not been chosen yet, the heaviest of each of as many
-    parts, are paired with those of their bucket in other components. Once
-    what is left across components is not much more than the entries it comes
-    from, all of it is paired. So a large group costs HUBS rows a member and
-    round, no bucket is capped, and no pair that could join two components
-    goes untested.
+    pairs inside one are never formed: in each round a few members of every
+    bucket, the heaviest of each of as many parts, are paired with those of
+    their bucket in other components. Such a hub has then met all it shares the
+    bucket with and leaves it, so every round makes every open bucket smaller.
+    Once what is left across components is not much more than the entries it
+    comes from, all of it is paired. A large group costs HUBS rows a member and
+    round, K members of which none are linked take a number of rounds that
+    grows with the logarithm of K, no bucket is capped, and no pair that could
+    join two components goes untested.
     """
-    links = tested = used = None
+    links = tested = found = None
+    rest, hubs, before = buckets, HUBS, None
     while True:
         if links is None:
-            found, open_ = None, buckets.withColumn("comp", F.col("c"))
+            open_ = rest.withColumn("comp", F.col("c"))
         else:
             found = pin(components(links), "linking")
-            open_ = (buckets.join(found.withColumnRenamed("id", "c"), "c", "left")
+            open_ = (rest.join(found.withColumnRenamed("id", "c"), "c", "left")
                      .withColumn("comp", F.coalesce("component", "c")).drop("component"))
         left = pin(open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket")
                    .agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"))
@@ -55,12 +59,13 @@ def link_buckets(buckets: DataFrame, comparable: Callable[[Column, Column], Colu
             other = open_.select("bucket", F.col("c").alias("d"), F.col("about").alias("about2"), F.col("comp").alias("comp2"))
             across = F.col("comp") < F.col("comp2")
         else:
-            may = open_ if used is None else open_.join(used, ["bucket", "c"], "left_anti")
-            other = pin(may.groupBy("bucket", F.pmod(F.xxhash64("c"), F.lit(HUBS)))
+            if before is not None and 2 * size.across > before:
+                hubs *= 2
+            before = size.across
+            other = pin(open_.groupBy("bucket", F.pmod(F.xxhash64("c"), F.lit(hubs)))
                         .agg(F.max_by(F.struct("c", "about", "comp"), F.struct("weight", -F.col("c"))).alias("hub"))
                         .select("bucket", "hub.*").toDF("bucket", "d", "about2", "comp2"), "linking")
-            now = other.select("bucket", F.col("d").alias("c"))
-            used = now if used is None else pin(used.unionAll(now), "linking")
+            rest = open_.drop("comp").join(other.select("bucket", F.col("d").alias("c")), ["bucket", "c"], "left_anti")
             across = F.col("comp") != F.col("comp2")
         pairs = (open_.join(other, "bucket").where(across & comparable(F.col("about"), F.col("about2")))
                  .select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct())

@@ -92,6 +92,22 @@ def test_linking_of_a_bucket_without_a_hub(spark):
     assert sum(asked) <= n * (n - 1) // 2
 
 
+@pytest.mark.parametrize(("n", "families"), [(200, 200), (120, 2)])
+def test_linking_ends_when_a_bucket_stays_apart(spark, n, families):
+    """Members that share a bucket and are not linked, and two families in one
+    bucket: every pair across is asked for once, in few rounds."""
+    buckets = common.pin(spark.createDataFrame([(1, c, c, 1) for c in range(n)], "bucket long, c long, about long, weight long"))
+    asked = []
+
+    def verified(pairs):
+        asked.append(pairs.count())
+        assert len(asked) <= 10
+        return pairs.where(f"a % {families} = b % {families}")
+    found = linking.link_buckets(buckets, lambda a, b: a.isNotNull(), verified).collect()
+    assert {r.id: r.component for r in found} == ({} if families == n else {c: c % families for c in range(n)})
+    assert sum(asked) == n * (n - 1) // 2 if families == n else sum(asked) >= (n // 2) ** 2
+
+
 @pytest.mark.parametrize("chunk", [common.CHUNK, 20])
 def test_components_of_a_chain_and_a_star(spark, chunk):
     links = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(7, 7)]
