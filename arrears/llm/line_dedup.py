@@ -18,8 +18,8 @@ verified on the whole lines.
 
 Lines without a letter or digit, empty ones among them, always stay; so a null
 or empty text has one empty line and is left as it is. Null ids sort first.
-Rows with equal ids and texts repeat each other, and their lines stay only
-in one of them. Texts and lines may be of any length. An empty table gives an
+Rows with equal ids are rows of their own, in the order of the table: every
+row has a number, written once with its text. Texts and lines may be of any length. An empty table gives an
 empty one. Other columns of the input are ignored, whatever their names.
 """
 
@@ -87,9 +87,9 @@ def simhashes(words: list[list[bytes]]) -> np.ndarray:
     return np.packbits(2 * ones > n[own[first]][:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-_LINES = pa.schema([("doc_id", pa.int64()), ("row", pa.int32()), ("line", pa.int32()), ("h1", pa.int64()),
+_LINES = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("line", pa.int32()), ("h1", pa.int64()),
                     ("h2", pa.int64()), ("sim", pa.int64()), ("length", pa.int32())])
-_LINES_DDL = "doc_id long, row int, line int, h1 long, h2 long, sim long, length int"
+_LINES_DDL = "doc_id long, rid long, line int, h1 long, h2 long, sim long, length int"
 
 
 def _find_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +100,7 @@ def _find_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), "<i8").reshape(-1, 2)
         take = pa.array(at, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(take), batch.column("row").take(take), pa.array(line, pa.int32()),
+            [batch.column("doc_id").take(take), batch.column("rid").take(take), pa.array(line, pa.int32()),
              pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array(simhashes(words).view(np.int64)),
              pa.array([len(t) if t.isascii() else len(t.decode("utf-8", "replace")) for t in texts], pa.int32())], schema=_LINES)
 
@@ -221,20 +221,17 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(text, pa.string())], names=["c", "text"])
 
 
-def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"),
-                       F.hash(F.col(doc_id).isNull(), text_or_empty(text)).alias("row"), text_or_empty(text).alias("text"))
-
-
-def _same(a: str, b: str) -> Column:
-    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.row") == F.col(f"{b}.row"))
+def numbered(docs: DataFrame, rid: str = "rid") -> DataFrame:
+    """``docs`` with a number for each row, written so that it stays."""
+    return pin(docs.withColumn(rid, F.monotonically_increasing_id()), "lines")
 
 
 def repeated_lines(rows: DataFrame) -> DataFrame:
-    """``(doc_id, row, gone)``: the numbers of the lines that go."""
+    """``(rid, gone)`` of ``rows(rid, doc_id, text)``: the numbers of the
+    lines that go."""
     lines = pin(rows.mapInArrow(_find_lines, _LINES_DDL), "lines")
     distinct = pin(lines.groupBy("h1", "h2").agg(
-        F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "row", "line")).alias("one"), F.first("sim").alias("sim"),
+        F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "rid", "line")).alias("one"), F.first("sim").alias("sim"),
         F.first("length").alias("length")).withColumn("c", F.monotonically_increasing_id()), "lines")
     about = distinct.select("c", "sim", "length", "weight")
     met = pin(about.mapInArrow(_find_buckets, "bucket long").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -244,10 +241,10 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
                   .join(met, "bucket", "left_semi")
                   .select("bucket", "c", F.struct("sim", "length").alias("about"), "weight"), "lines")
     # the texts of all lines that share a bucket, fetched once for all rounds
-    wanted = (buckets.select("c").distinct().join(distinct.select("c", "one.*"), "c").groupBy("doc_id", "row")
+    wanted = (buckets.select("c").distinct().join(distinct.select("c", "one.rid", "one.line"), "c").groupBy("rid")
               .agg(F.collect_list(F.struct("c", "line")).alias("wanted")))
-    whole = packed(rows.withColumn("text", F.col("text").cast("binary")))
-    text = pin(whole.alias("d").join(wanted.alias("w"), _same("d", "w")).select("d.text", "w.wanted")
+    whole = packed(rows.select("rid", F.col("text").cast("binary").alias("text")))
+    text = pin(whole.join(wanted, "rid").select("text", "wanted")
                .mapInArrow(_pick, "c long, text string").dropDuplicates(["c"]), "lines")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -264,11 +261,9 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
         lowest = linked.where("component is not null").groupBy("component").agg(F.min("one").alias("lowest"))
         first = (linked.join(lowest, "component", "left").where("weight > 1 or component is not null")
                  .withColumn("stays", F.coalesce("lowest", "one")))
-    # of rows equal in id and text, all but the line's first occurrence go by number
-    place = F.struct("doc_id", "row", "line")
-    gone = (lines.select("doc_id", "row", "line", "h1", "h2").join(first.select("h1", "h2", "stays"), ["h1", "h2"])
-            .where(~place.eqNullSafe(F.col("stays"))))
-    return gone.groupBy("doc_id", "row").agg(F.collect_list("line").alias("gone"))
+    gone = (lines.select("rid", "line", "h1", "h2").join(first.select("h1", "h2", "stays"), ["h1", "h2"])
+            .where((F.col("rid") != F.col("stays.rid")) | (F.col("line") != F.col("stays.line"))))
+    return gone.groupBy("rid").agg(F.collect_list("line").alias("gone"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -290,9 +285,9 @@ def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Reco
 def dedup_lines(docs: DataFrame, with_text: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: its lines, how many of them go, the digest of the text
     that stays (its lines joined again) and, if wanted, that text."""
-    rows = keyed(docs, doc_id, text)
+    rows = numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")))
     whole = packed(rows.withColumn("text", F.col("text").cast("binary")))
-    return (whole.alias("d").join(repeated_lines(rows).alias("g"), _same("d", "g"), "left").select("d.doc_id", "d.text", "g.gone")
+    return (whole.join(repeated_lines(rows), "rid", "left").select("doc_id", "text", "gone")
             .mapInArrow(partial(_cut, with_text=with_text), "doc_id long, n_lines long, n_removed long, kept_sha256 string"
                         + ", kept string" * with_text))
 
@@ -300,7 +295,7 @@ def dedup_lines(docs: DataFrame, with_text: bool = False, doc_id: str = "doc_id"
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with all its columns, the lines that go taken out of its
     texts. Null texts stay null; a text may become empty."""
-    id_, row, lines = fresh("id"), fresh("row"), fresh("gone")
+    rid, lines = fresh("rid"), fresh("gone")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, gone: pd.Series) -> pd.Series:
@@ -308,10 +303,11 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                           for t, g in zip(texts, gone, strict=True) for drop in [set() if g is None else set(g.tolist())]],
                          dtype=object)
 
-    gone = repeated_lines(keyed(docs, doc_id, text)).toDF(id_, row, lines)
-    key = F.hash(F.col(doc_id).isNull(), text_or_empty(text))
-    return (docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col(id_)) & (key == F.col(row)), "left")
-            .withColumn(text, F.when(F.col(lines).isNull(), F.col(text)).otherwise(cut(text, lines))).select(*docs.columns))
+    docs, names = numbered(docs, rid), docs.columns
+    gone = repeated_lines(docs.select(F.col(rid).alias("rid"), F.col(doc_id).cast("long").alias("doc_id"),
+                                      text_or_empty(text).alias("text"))).toDF(rid, lines)
+    return (docs.join(gone, rid, "left")
+            .withColumn(text, F.when(F.col(lines).isNull(), F.col(text)).otherwise(cut(text, lines))).select(*names))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,8 @@ that could join two components is left out, and without a cap.
 Null and empty texts, or those of white space alone, have no shingles and are
 linked with nothing, not with each other. Rows with equal ids count as rows of
 their own. A null id takes part in links; a component's id is its smallest id
-that is not null, or null. An empty table gives an empty one. Other columns
+that is not null, or null. Of a component one row is kept, one with that id;
+of several such rows, the first by the hash of its text, then in the table. An empty table gives an empty one. Other columns
 of the input are ignored, whatever their names.
 """
 
@@ -69,7 +70,7 @@ def half_keys(shingles: np.ndarray) -> np.ndarray:
     return key ^ key >> np.uint64(31)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("row", pa.int32()), ("n", pa.int64()), ("set1", pa.int64()),
+_SIGNED = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int32()), ("n", pa.int64()), ("set1", pa.int64()),
                      ("set2", pa.int64()), ("halves", pa.list_(pa.int64()))])
 
 
@@ -88,7 +89,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             two.append(int.from_bytes(name[8:], "little", signed=True))
             halves.append(half_keys(own).view(np.int64) if len(own) else np.zeros(0, np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(one, pa.int64()),
+            [batch.column("rid"), batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(one, pa.int64()),
              pa.array(two, pa.int64()), pa.array(halves, pa.list_(pa.int64()))], schema=_SIGNED)
 
 
@@ -132,15 +133,16 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for each row."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row_id: str | None = None) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` for each row; with the
+    name of a column that numbers the rows, that column as well."""
+    rid = F.monotonically_increasing_id() if row_id is None else F.col(row_id)
+    rows = docs.select(rid.alias("rid"), F.col(doc_id).cast("long").alias("doc_id"),
                        F.hash(F.col(doc_id).isNull(), text_or_empty(text)).alias("row"),
                        text_or_empty(text).cast("binary").alias("text"))
-    signed = pin(rows.mapInArrow(_sign, "doc_id long, row int, n long, set1 long, set2 long, halves array<bigint>")
-                 .withColumn("rid", F.monotonically_increasing_id()), "near_dups")
+    signed = pin(rows.mapInArrow(_sign, "rid long, doc_id long, row int, n long, set1 long, set2 long, halves array<bigint>"), "near_dups")
     classes = pin(signed.where("n > 0").groupBy("set1", "set2").agg(
-        F.min("rid").alias("c"), F.min("doc_id").alias("low"), F.first("n").alias("n"),
+        F.min("rid").alias("c"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "rid")).alias("low"), F.first("n").alias("n"),
         F.min_by(F.struct("doc_id", "row"), "rid").alias("one"), F.min_by("halves", "rid").alias("halves")), "near_dups")
     buckets = pin(_buckets(classes), "near_dups")
 
@@ -148,22 +150,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     met = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
     need = pin(buckets.join(met, "bucket", "left_semi").select("c").distinct()
                .join(classes.select("c", "one.*"), "c"), "near_dups")
-    sets = pin(packed(rows).alias("d").join(need.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
+    sets = pin(packed(rows.select("doc_id", "row", "text")).alias("d").join(need.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
                                             & (F.col("d.row") == F.col("w.row"))).select("w.c", "d.text")
                .mapInArrow(_sets, "c long, shingles array<bigint>"), "near_dups")
     found = link_buckets(buckets, _comparable, lambda pairs: _verified(pairs, sets))
     own = classes.select("set1", "set2", "c", "low")
-    named = own.withColumnRenamed("low", "component_id")
+    named = own.withColumnRenamed("low", "stays")
     if found is not None:
         linked = own.join(found.withColumnRenamed("id", "c"), "c")
         lowest = linked.groupBy("component").agg(F.min("low").alias("lowest"))
         named = (own.join(linked.join(lowest, "component").select("c", "lowest"), "c", "left")
-                 .withColumn("component_id", F.coalesce("lowest", "low")))
-    named = named.select("set1", "set2", "component_id")
-    shown = ("doc_id", F.col("n").alias("n_shingles"), "component_id",
-             F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    alone = signed.where("n = 0").withColumn("component_id", F.col("doc_id"))
-    return (signed.where("n > 0").select("doc_id", "n", "set1", "set2").join(named, ["set1", "set2"]).select(*shown)
+                 .withColumn("stays", F.coalesce("lowest", "low")))
+    named = named.select("set1", "set2", F.col("stays.doc_id").alias("component_id"), F.col("stays.rid").alias("first"))
+    shown = ("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("rid") == F.col("first")).alias("kept"),
+             *([] if row_id is None else [F.col("rid").alias(row_id)]))
+    alone = signed.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("first", F.col("rid"))
+    return (signed.where("n > 0").select("rid", "doc_id", "n", "set1", "set2").join(named, ["set1", "set2"]).select(*shown)
             .unionByName(alone.select(*shown)))
 
 

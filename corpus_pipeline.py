@@ -32,11 +32,13 @@ def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def documents_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate documents the one with the smallest id stays."""
+    """Of near-duplicate documents the one with the smallest id stays; rows
+    go one by one, whatever their ids."""
     bounded_batches(spark)
-    id_ = fresh("id")
-    gone = near_dups.near_duplicates(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_))
-    return docs.join(gone.distinct(), F.col("doc_id") == F.col(id_), "left_anti").select(*docs.columns)
+    rid = fresh("rid")
+    rows = line_dedup.numbered(docs, rid)
+    gone = near_dups.near_duplicates(rows, row_id=rid).where("not kept").select(rid)
+    return rows.join(gone, rid, "left_anti").select(*docs.columns)
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

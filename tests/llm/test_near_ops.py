@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from arrears.llm import common, line_dedup, linking, mixing, near_dups, neighbours, shingles
 from tests.llm.cases import SCHEMA, awkward, empty, prose
 
@@ -182,6 +183,21 @@ def test_lines_awkward_and_empty(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_repeated_rows_are_rows_of_their_own(spark):
+    """Rows equal in id and text, null ids among them, and one id with two texts."""
+    a, b, c, d = (prose(60, 900 + k) for k in range(4))
+    rows = [(1, a), (1, a), (None, b), (None, b), (2, a), (2, c), (3, d)]
+    docs = spark.createDataFrame([(i, t, None, None, None, 1, "", 2, "") for i, t in rows], SCHEMA)
+    cut = sorted((r.doc_id or 0, r.text) for r in line_dedup.without_repeats(docs).collect())
+    assert cut == sorted([(1, a), (1, ""), (0, b), (0, ""), (2, ""), (2, c), (3, d)])
+    assert sum(r.n_removed for r in line_dedup.dedup_lines(docs).collect()) == 3
+    near = near_dups.near_duplicates(docs).collect()
+    assert len(near) == 7 and sorted((r.doc_id or 0) for r in near if r.kept) == [0, 1, 2, 3]
+    left = corpus_pipeline.documents_once(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(1, a), (0, b), (2, c), (3, d)])
+
+
 def test_neighbours_recall_and_rules(spark):
     r = np.random.default_rng(4)
     x = r.normal(size=(3000, 24))
