@@ -61,6 +61,8 @@ class Page:
     tags: list[tuple[int, int]] = field(default_factory=list)
     blocks: list[Block] = field(default_factory=list)
     regions: dict[int, int] = field(default_factory=dict)
+    #: the container each container stands in, 0 if in none; it has a smaller number
+    parents: dict[int, int] = field(default_factory=dict)
 
 
 def _name(*parts) -> int:
@@ -177,8 +179,9 @@ def parse(source: str) -> Page:
         if name in VOID:
             continue
         if claim and not (excluded or apart):
-            region = len(page.regions) + 1
+            outer, region = region, len(page.regions) + 1
             page.regions[region] = claim
+            page.parents[region] = outer
             inside = True
         stack.append((name, path, closing, excluded or apart, region, inside, link or name == "a"))
     flush(at + 1)

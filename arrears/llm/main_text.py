@@ -14,7 +14,7 @@ The main text of a page is its slots, without those inside elements that are
 set apart (navigation, headers, footers, asides, forms, adverts, notices,
 comments, by element, role or class word). If the page names its article (an
 article element, else main, else a class word; of several the one with most
-text), only slots inside it count. Else, if the host has a template, those of
+text, what stands nested in it included), only slots inside it count. Else, if the host has a template, those of
 the gap that holds most text over all the host's pages, else all that are not
 mostly links. Blocks of text that belong to the template are dropped, so
 constant notices go even where nothing names them.
@@ -150,15 +150,19 @@ def main_blocks(page: Page, template: Template | None) -> list[str]:
     slots = [b for b in page.blocks if not b.excluded and not (template and template.is_text(b.token))]
     inside = [b for b in slots if b.region]
     if inside:
-        best = max(page.regions[b.region] for b in inside)
-        mass = defaultdict(int)
+        # containers inside another belong to it, with all their text
+        mass = dict.fromkeys(page.regions, 0)
         for b in inside:
-            if page.regions[b.region] == best:
-                mass[b.region] += len(b.text)
-        # containers inside the largest one belong to it
-        first = max(mass, key=lambda r: (mass[r], -r))
-        spans = _extent(page, first)
-        return [b.text for b in inside if spans[0] <= b.at <= spans[1]]
+            mass[b.region] += len(b.text)
+        for region in reversed(page.regions):
+            if page.parents[region]:
+                mass[page.parents[region]] += mass[region]
+        first = max((r for r in mass if mass[r]), key=lambda r: (page.regions[r], mass[r], -r))
+        within = {first}
+        for region in page.regions:
+            if page.parents[region] in within:
+                within.add(region)
+        return [b.text for b in inside if b.region in within]
     if template is not None and template.main is not None:
         gaps = template.gaps(page)
         own = [b for b in slots if gap_of(gaps, b.at) == template.main]
@@ -167,11 +171,6 @@ def main_blocks(page: Page, template: Template | None) -> list[str]:
     return [b.text for b in slots if 2 * b.linked <= len(b.text)]
 
 
-def _extent(page: Page, region: int) -> tuple[int, int]:
-    at = [b.at for b in page.blocks if b.region == region]
-    return min(at), max(at)
-
-
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = Templates()
     for batch in batches:

@@ -37,6 +37,16 @@ def test_blocks_of_one_page(html, want):
     assert text_of(html) == want
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ("<article><h1>T</h1><div class='entry-content'><p>a</p><p>b</p></div></article>", "T\na\nb"),
+    ("<main><h1>T</h1><div class=content><p>a</p></div></main><div class=content><p>not in main, and longer</p></div>", "T\na"),
+    ("<article><h1>T</h1><section class=story><p>a</p><div class=post><p>b</p></div></section></article><p>no</p>", "T\na\nb"),
+    ("<article><div class=content><p>only nested</p></div></article><main><p>main</p></main>", "only nested"),
+])
+def test_containers_nested_in_the_article_belong_to_it(html, want):
+    assert text_of(html) == want
+
+
 def site(n, seed, page):
     r = random.Random(seed)
     return [page(" ".join(r.choice(["lamp", "stone", "river"]) + str(r.randrange(999)) for _ in range(60)), k, r) for k in range(n)]
