@@ -20,7 +20,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: closing tags look no further out than these
 SCOPE = frozenset("table td th body html article main section nav aside footer header".split())
 #: fixed values: elements, roles and class words that are not an article's text
-NOT_TEXT = frozenset("nav footer aside form button select dialog menu figcaption head".split())
+NOT_TEXT = frozenset("nav footer aside form button select dialog menu head".split())
 NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 NOT_TEXT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent "
@@ -28,6 +28,11 @@ NOT_TEXT_WORDS = frozenset(
     "notices overlay pager pagination paywall popup promo promotion recommended related replies reply respond search share "
     "sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split())
 HEADS = frozenset("header masthead head".split())
+#: parts of a class name that tells a state or layout, not what the element is
+STATES = frozenset("has no not with without is open closed enabled disabled".split())
+#: how an element is set apart: by a part of a class name, unless it holds most
+#: of the page's text; or in any case
+PERHAPS, APART = 1, 2
 #: elements, item properties and class words of an article's text
 TEXT_WORDS = frozenset("article articlebody content entry post story".split())
 
@@ -69,23 +74,49 @@ def _name(*parts) -> int:
     return xxhash.xxh3_64_intdigest("\0".join(map(str, parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _judge(name: str, attributes: dict[str, str], inside: bool) -> tuple[bool, int]:
-    """Whether an element is set apart from the text, and how strongly it
-    claims to hold it (3: article, 2: main, 1: by its class). ``inside``: it
-    stands in a container of text, where a header is the article's own."""
+def _judge(name: str, attributes: dict[str, str], inside: bool) -> tuple[int, int]:
+    """Whether an element is set apart from the text (0, PERHAPS, APART), and
+    how strongly it claims to hold it (3: article, 2: main, 1: by its class).
+    ``inside``: it stands in a container of text, where a header is the
+    article's own. A claim holds against parts of class names; that of an
+    article or main element also against whole ones, unless it is inside
+    another container and has no class word of a text."""
     if name in ("html", "body"):
-        return False, 0
-    words = {w.lower() for key in ("class", "id") for w in _WORD.findall(attributes.get(key, ""))}
+        return 0, 0
+    names = [n for key in ("class", "id") for n in attributes.get(key, "").split()]
+    whole = {n.lower() for n in names}
+    parts = [{w.lower() for w in _WORD.findall(n)} for n in names]
     role = attributes.get("role", "").lower()
     style = attributes.get("style", "").replace(" ", "").lower()
-    apart = (name in NOT_TEXT or role in NOT_TEXT_ROLES or bool(words & NOT_TEXT_WORDS) or "display:none" in style
-             or attributes.get("aria-hidden", "").lower() == "true" or "hidden" in attributes)
-    if (name == "header" or words & HEADS) and not inside:
-        apart = True
-    if name in ("footer", "form", "nav", "aside") or apart:
-        return True, 0
+    if (name in NOT_TEXT or role in NOT_TEXT_ROLES or "display:none" in style or name == "header" and not inside
+            or attributes.get("aria-hidden", "").lower() == "true" or "hidden" in attributes):
+        return APART, 0
     body = attributes.get("itemprop", "").lower() == "articlebody"
-    return False, 3 if name == "article" or body else 2 if name == "main" or role == "main" else 1 if words & TEXT_WORDS else 0
+    claim = (3 if name == "article" or body else 2 if name == "main" or role == "main"
+             else 1 if any(w & TEXT_WORDS for w in parts) else 0)
+    words = NOT_TEXT_WORDS if inside else NOT_TEXT_WORDS | HEADS
+    if whole & words and (claim < 2 or inside and not whole & TEXT_WORDS):
+        return APART, 0
+    if claim < 2 and not whole & TEXT_WORDS and any(w & words and not w & STATES for w in parts):
+        return APART if inside else PERHAPS, 0
+    return 0, claim
+
+
+def _revive(page: Page, holders: list[int], outer: dict[int, int]) -> None:
+    """Sets blocks apart that stand in an element that is PERHAPS set apart,
+    but for those that hold most of the page's text. ``holders``: for each
+    block the innermost such element, or 0; ``outer``: the one around it."""
+    mass = dict.fromkeys([0, *outer], 0)
+    for b, h in zip(page.blocks, holders, strict=True):
+        if not b.excluded:
+            mass[h] += len(b.text)
+    for h in reversed(outer):
+        mass[outer[h]] += mass[h]
+    away: dict[int, bool] = {0: False}
+    for h in outer:
+        away[h] = away[outer[h]] or 2 * mass[h] <= mass[0]
+    for b, h in zip(page.blocks, holders, strict=True):
+        b.excluded = b.excluded or away[h]
 
 
 _ABOUT: dict[tuple, tuple] = {}
@@ -93,7 +124,7 @@ _ABOUT: dict[tuple, tuple] = {}
 _TELLING = re.compile(r"class|id|role|style|hidden|itemprop", re.IGNORECASE)
 
 
-def _about(path: int, name: str, raw: str, inside: bool) -> tuple[int, int, bool, int]:
+def _about(path: int, name: str, raw: str, inside: bool) -> tuple[int, int, int, int]:
     """An element's path, that of its closing tag, and ``_judge`` of it.
     Pages of a host repeat their tags, so answers are kept, a bounded number."""
     if raw and not _TELLING.search(raw):
@@ -117,8 +148,10 @@ def parse(source: str) -> Page:
     """Tokens and blocks of a page. Never fails: unclosed and stray tags are
     put where browsers would roughly put them."""
     page = Page()
-    # (name, path, closing path, excluded, region, in a container, link)
-    stack: list[tuple] = [("", 0, 0, False, 0, False, False)]
+    # (name, path, closing path, excluded, region, in a container, link, perhaps set apart by)
+    stack: list[tuple] = [("", 0, 0, False, 0, False, False, 0)]
+    holders: list[int] = []
+    outer_holder: dict[int, int] = {}
     text: list[str] = []
     linked = 0
 
@@ -131,6 +164,7 @@ def parse(source: str) -> Page:
             if joined:
                 top = next(e for e in reversed(stack) if e[0] not in INLINE)
                 page.blocks.append(Block(top[1], joined, min(linked, len(joined)), stack[-1][3], top[4], at))
+                holders.append(stack[-1][7])
             linked = 0
 
     at = end = 0
@@ -168,7 +202,7 @@ def parse(source: str) -> Page:
                     break
         elif name == "br":
             text.append(" ")
-        _, path, _, excluded, region, inside, link = stack[-1]
+        _, path, _, excluded, region, inside, link, holder = stack[-1]
         path, closing, apart, claim = _about(path, name, m.group(3), inside)
         page.tags.append((at, path))
         if name in RAW:
@@ -183,8 +217,13 @@ def parse(source: str) -> Page:
             page.regions[region] = claim
             page.parents[region] = outer
             inside = True
-        stack.append((name, path, closing, excluded or apart, region, inside, link or name == "a"))
+        if apart == PERHAPS and not excluded:
+            outer, holder = holder, len(outer_holder) + 1
+            outer_holder[holder] = outer
+        stack.append((name, path, closing, excluded or apart == APART, region, inside, link or name == "a", holder))
     flush(at + 1)
+    if outer_holder:
+        _revive(page, holders, outer_holder)
     for b in page.blocks:
         b.token = xxhash.xxh3_64_intdigest(b.text.encode("utf-8", "surrogatepass"), b.path & 0xFFFFFFFF) - (1 << 63)
     return page

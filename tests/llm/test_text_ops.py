@@ -47,6 +47,19 @@ def test_containers_nested_in_the_article_belong_to_it(html, want):
     assert text_of(html) == want
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ("<div class='content has-sidebar'><p>a</p></div>", "a"),
+    ("<article class='post tag-search category-menu'><p>a</p></article>", "a"),
+    ("<main class='no-widget comments-open share-enabled'><p>a</p></main>", "a"),
+    ("<main><article class='post share'><p>a</p></article></main>", "a"),
+    ("<div class='page-topbar-layout'><p>most of the text of a page</p><p id=site-footer>no</p></div>", "most of the text of a page"),
+    ("<div class='cookie-notice'>no</div><p>some text of the page</p>", "some text of the page"),
+    ("<article><p>a</p><figure><img src=x><figcaption>caption</figcaption></figure><div class='related-posts'>no, though longer</div></article>", "a\ncaption"),
+])
+def test_a_class_word_does_not_take_the_article(html, want):
+    assert text_of(html) == want
+
+
 def site(n, seed, page):
     r = random.Random(seed)
     return [page(" ".join(r.choice(["lamp", "stone", "river"]) + str(r.randrange(999)) for _ in range(60)), k, r) for k in range(n)]
