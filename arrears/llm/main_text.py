@@ -14,10 +14,11 @@ The main text of a page is its slots, without those inside elements that are
 set apart (navigation, headers, footers, asides, forms, adverts, notices,
 comments, by element, role or class word). If the page names its article (an
 article element, else main, else a class word; of several the one with most
-text, what stands nested in it included), only slots inside it count. Else, if the host has a template, those of
+text, what stands nested in it included), all that is inside it counts,
+whether other pages of the host have it too or not. Else, if the host has a template, those of
 the gap that holds most text over all the host's pages, else all that are not
-mostly links. Blocks of text that belong to the template are dropped, so
-constant notices go even where nothing names them.
+mostly links. There, blocks of text that belong to the template are dropped,
+so constant notices go even where nothing names them.
 
 Vectors are never gathered: a vector is known by the exclusive or of the
 hashes of its entries, which partial aggregation combines. A host of a third
@@ -28,7 +29,8 @@ BROADCAST bytes, else joined by host.
 Character references are decoded, white space in a block becomes one space,
 blocks are joined by one line break in page order. A line break element
 counts as white space. A null or empty page has an empty text. Pages without
-a host have no template. Repeated pages weigh as one in what is frequent.
+a host have no template. Repeated pages weigh as one in what is frequent, and so do pages that differ
+only in tags and digits (print, session or dated variants).
 An empty table gives an empty one. Other columns are ignored.
 """
 
@@ -147,8 +149,8 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def main_blocks(page: Page, template: Template | None) -> list[str]:
     """The blocks of a page's main text."""
-    slots = [b for b in page.blocks if not b.excluded and not (template and template.is_text(b.token))]
-    inside = [b for b in slots if b.region]
+    blocks = [b for b in page.blocks if not b.excluded]
+    inside = [b for b in blocks if b.region]
     if inside:
         # containers inside another belong to it, with all their text
         mass = dict.fromkeys(page.regions, 0)
@@ -163,6 +165,7 @@ def main_blocks(page: Page, template: Template | None) -> list[str]:
             if page.parents[region] in within:
                 within.add(region)
         return [b.text for b in inside if b.region in within]
+    slots = [b for b in blocks if not (template and template.is_text(b.token))]
     if template is not None and template.main is not None:
         gaps = template.gaps(page)
         own = [b for b in slots if gap_of(gaps, b.at) == template.main]
@@ -195,7 +198,8 @@ def templates(pages: DataFrame) -> DataFrame:
     """``(host, token, cls, nth, root, main)``: the valid classes of each
     host's template."""
     hosted = pages.where("host is not null")
-    hosts = hosted.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_distinct(F.xxhash64("html")).alias("kinds")).where(F.col("kinds") >= FEWEST)
+    words = F.regexp_replace("html", r"<[^>]*>|[0-9\s]+", "")
+    hosts = hosted.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_distinct(F.xxhash64(words)).alias("kinds")).where(F.col("kinds") >= FEWEST)
     tokens = (hosted.withColumn("page", F.monotonically_increasing_id()).select("host", "page", "html")
               .mapInArrow(_find_tokens, _TOKENS_DDL)
               .groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page", "times")).alias("vector"), F.count(F.lit(1)).alias("support"),

@@ -84,6 +84,19 @@ def test_a_template_finds_notices_and_the_text_nothing_names(spark):
     assert (got[100].text, got[101].text, got[101].url, got[102].text) == ("alone", "", None, "x")
 
 
+def test_near_equal_pages_keep_their_text(spark):
+    """Variants of one article on a host, in an article and in nothing named."""
+    body = "<h2>Summary</h2><p>one long paragraph</p><p>and another</p><p>and a third</p>"
+    rows = [(k, "https://named/", f"<body><nav>menu</nav><article><h1>Number {k}</h1>{body}<p>{w}</p></article></body>")
+            for k, w in enumerate(["red", "green", "blue", "grey", "pink", "black"])]
+    rows += [(10 + k, "https://bare/", f"<body><div><a href='/?session={k}'>menu</a></div><div>{body}<p>Printed on {k}.1.</p></div></body>")
+             for k in range(6)]
+    got = {r.page_id: r.text for r in main_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = "Summary\none long paragraph\nand another\nand a third\n"
+    assert got == {**{k: f"Number {k}\n{text}{w}" for k, w in enumerate(["red", "green", "blue", "grey", "pink", "black"])},
+                   **{10 + k: f"{text}Printed on {k}.1." for k in range(6)}}
+
+
 def test_templates_are_equivalence_classes(spark):
     pages = site(8, 4, lambda text, k, r: f"<body><h1>Same</h1><ul>{'<li><b>x</b></li>' * (k % 3 + 1)}</ul><p>{text}</p></body>")
     df = spark.createDataFrame([("h", p) for p in pages], "host string, html string")
