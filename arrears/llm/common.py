@@ -120,7 +120,9 @@ def components(links: DataFrame, chunk: int = CHUNK, max_rounds: int = 60) -> Da
     edges = pin(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                 .where("u != v").distinct())
     chunks = -(-edges.count() // chunk)
-    hung = pin(edges.coalesce(max(1, chunks)).mapInArrow(_contract, "u long, v long"))
+    # coalesce cannot split a file that holds more than one chunk
+    dealt = edges.coalesce(1) if chunks <= 1 else edges.repartition(chunks, F.xxhash64("u", "v"))
+    hung = pin(dealt.mapInArrow(_contract, "u long, v long"))
     if chunks > 1:
         hung = _stars(hung.distinct(), max_rounds)
     return hung.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(

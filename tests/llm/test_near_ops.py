@@ -118,6 +118,18 @@ def test_components_of_a_chain_and_a_star(spark, chunk):
     assert common.components(spark.createDataFrame([], "a long, b long"), chunk).count() == 0
 
 
+def test_components_hold_a_chunk_a_task(spark, monkeypatch):
+    contract = common._contract
+
+    def bounded(batches):
+        held = list(batches)
+        assert sum(b.num_rows for b in held) <= 300
+        yield from contract(iter(held))
+    monkeypatch.setattr(common, "_contract", bounded)
+    links = spark.createDataFrame([(k, k + 1) for k in range(1000)], "a long, b long").coalesce(1)
+    assert {r.component for r in common.components(links, 100).collect()} == {0}
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
