@@ -8,6 +8,7 @@ from .main_text import op2_main_text
 from .mixing import OP7_SQL, op7_mixing
 from .near_dups import op4_near_duplicates
 from .neighbours import op6_nearest
+from .periodic_runs import OP12_SQL, op12_periodic_runs
 from .repeats import op1_repeats
 from .token_counts import op9_token_counts
 from .toxicity import op8_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_sentencepiece": op10_sentencepiece,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
-ORACLE = {"op7_mixing": OP7_SQL}
+ORACLE = {"op7_mixing": OP7_SQL, "op12_periodic_runs": OP12_SQL}
