@@ -10,6 +10,8 @@ from .near_dups import op4_near_duplicates
 from .neighbours import op6_nearest
 from .periodic_runs import OP12_SQL, op12_periodic_runs
 from .repeats import op1_repeats
+from .simhash_dups import op11_simhash_near_duplicates
+from .token_alignment import op13_token_alignment
 from .token_counts import op9_token_counts
 from .toxicity import op8_toxicity
 from .unigram import op10_sentencepiece
@@ -25,7 +27,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_simhash_near_duplicates": op11_simhash_near_duplicates,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE = {"op7_mixing": OP7_SQL, "op12_periodic_runs": OP12_SQL}
