@@ -45,10 +45,11 @@ def _prior_name(v: str) -> str:
     return f"{v}_prior"
 
 
-def _local_scan(keys: list[str], values: list[str], passthrough: list[str]):
+def _local_scan(keys: list[str], values: list[str], passthrough: list[str], weight: str | None):
     """Exclusive running totals per key within one (sorted) partition, plus
     one summary row for the partition: its first key (``_first_*``), its last
-    key (in the key columns) and the totals of that last key."""
+    key (in the key columns) and the totals of that last key. A row counts
+    once, or as often as ``weight`` says."""
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carry_key = None
         carry = None  # totals [n, values...] of the open (last) key group
@@ -58,7 +59,7 @@ def _local_scan(keys: list[str], values: list[str], passthrough: list[str]):
         for pdf in batches:
             if pdf.empty:
                 continue
-            work = pd.DataFrame({"_one": np.ones(len(pdf), dtype=np.int64)})
+            work = pd.DataFrame({"_one": np.ones(len(pdf), dtype=np.int64) if weight is None else pdf[weight].to_numpy()})
             for v in values:
                 work[v] = pdf[v].to_numpy()
             cols = [pdf[k].to_numpy() for k in keys]
@@ -108,11 +109,12 @@ def _local_scan(keys: list[str], values: list[str], passthrough: list[str]):
 
 def running_totals(df: DataFrame, keys: list[str], order: list[str],
                    values: list[str], num_partitions: int | None = None,
-                   keep: list[str] | None = None) -> DataFrame:
+                   keep: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Adds ``n_prior`` and ``<value>_prior``: count and sums of the rows with
     the same key strictly before each row in ``order``. Keys must be
     non-null; ``order`` must be a total order (end it with a unique id).
-    With ``keep`` only those columns (and the keys) come back.
+    With ``keep`` only those columns (and the keys) come back. A row whose
+    ``weight`` is n stands for n rows of which ``values`` are the sums.
 
     The scanned rows are pinned (a table under ``spark.checkpoint.dir``): the
     carry step must see exactly the partition layout the scan saw, and a
@@ -142,7 +144,7 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str],
         + [T.StructField(_prior_name(v), T.DoubleType()) for v in values]
         + [T.StructField(SUMMARY, T.BooleanType())]
         + [T.StructField(f"_first_{k}", key_types[k]) for k in keys])
-    scanned = pin(ranged.mapInPandas(_local_scan(keys, values, carried), out_schema),
+    scanned = pin(ranged.mapInPandas(_local_scan(keys, values, carried, weight), out_schema),
                   "asof_scan")
 
     tot_cols = [N_PRIOR] + [_prior_name(v) for v in values]
@@ -179,23 +181,53 @@ _DIMS = [("lawyer", "avocat_id", True), ("court", "tribunal_id", True),
          ("procedure", "type_procedure", False), ("bailiff", "huissier_id", False)]
 
 
+def _entries(history: DataFrame, status: str, delay: str, *kept: str) -> DataFrame:
+    """A row for each case and card it counts for."""
+    entries = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(c).alias("entity"))
+                        for d, c, _ in _DIMS])
+    return (history.select(*kept, F.when(F.col(status) == S.RECOVERED, 1).otherwise(0).alias("ok"),
+                           F.col(delay).alias("delay"), F.inline(entries))
+                   .filter(~(F.col("dim").isin("lawyer", "court")
+                             & (F.col("entity") == S.NONE_ID))))
+
+
+def carry_of(history: DataFrame, status: str = "statut_predit", delay: str = "delai_estime_jours") -> DataFrame:
+    """``(dim, entity, n, ok, delay)``: all that later cases need of a
+    history, one row for each card. Two carries add up (``merge_carries``)."""
+    return _entries(history, status, delay).groupBy("dim", "entity").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("ok").cast("double").alias("ok"), F.sum("delay").cast("double").alias("delay"))
+
+
+def merge_carries(*carries: DataFrame) -> DataFrame:
+    """The carry of several histories put together."""
+    out = carries[0]
+    for more in carries[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("dim", "entity").agg(*[F.sum(c).alias(c) for c in ("n", "ok", "delay")])
+
+
 def asof_scorecards(history: DataFrame, status: str = "statut_predit",
                     delay: str = "delai_estime_jours",
                     order: tuple[str, str] = ("created_at", "id"),
-                    num_partitions: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None,
+                    carry: DataFrame | None = None) -> DataFrame:
     """Per history row: the four scorecards computed over the rows strictly
-    before it (same rules and defaults as the live lookups)."""
+    before it (same rules and defaults as the live lookups).
+
+    With the ``carry`` of an earlier history, ``history`` holds only the
+    cases after it. Its cards enter the scan as one row each, in front of
+    their key's cases, so nothing is joined and a card that a third of all
+    cases share is still split among tasks.
+    """
     ts, rid = order
-    entries = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(c).alias("entity"))
-                        for d, c, _ in _DIMS])
-    long = (history.select(rid, ts,
-                           F.when(F.col(status) == S.RECOVERED, 1).otherwise(0).alias("ok"),
-                           F.col(delay).alias("delay"),
-                           F.inline(entries))
-                   .filter(~(F.col("dim").isin("lawyer", "court")
-                             & (F.col("entity") == S.NONE_ID))))
-    scanned = running_totals(long, ["dim", "entity"], [ts, rid], ["ok", "delay"],
-                             num_partitions, keep=[rid])
+    long = _entries(history, status, delay, rid, ts).withColumn("n", F.lit(1).cast("long")).withColumn("late", F.lit(1))
+    if carry is not None:
+        kinds = dict(long.dtypes)
+        before = carry.select(*[F.col(c) for c in ("dim", "entity", "n", "ok", "delay")], F.lit(0).alias("late"),
+                              *[F.lit(None).cast(kinds[c]).alias(c) for c in (rid, ts)])
+        long = long.unionByName(before)
+    scanned = running_totals(long, ["dim", "entity"], ["late", ts, rid], ["ok", "delay"],
+                             num_partitions, keep=[rid, "late"], weight="n").where("late = 1").drop("late")
 
     def pick(dim: str, c: str):
         return F.max(F.when(F.col("dim") == dim, F.col(c)))

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from arrears import schema as S
 from arrears.functions import rules
 from arrears.functions.rounding import round_half_even
-from arrears.operators import asof, features, models, scoring
+from arrears.operators import asof, evaluation, features, models, scoring
 from arrears.operators import scorecards as sc
 from arrears.operators import validation
 from arrears.session import pin, scratch_path, stable_path
 from arrears.sources import dossiers, history, intake, model_store, tables, training
-from arrears.streaming import scoring_stream
+from arrears.streaming import asof_stream, scoring_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -254,8 +254,9 @@ def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     table has a row for each valid case; its lookups need not run."""
     rows = dossiers.valid_cases(spark, sf_dir)
     parts = [history.profile("dossiers", rows).withColumn("n_columns", F.lit(len(S.TRAINING_SCHEMA.fields)))]
-    for name in ("orders", "lineitem", "customer"):
-        parts.append(history.profile(name, tables.table(spark, sf_dir, name)))
+    for name, read in (("orders", tables.ORDERS_COLS), ("lineitem", None), ("customer", tables.CUSTOMER_COLS)):
+        stored = history.profile_file(spark, name, f"{sf_dir.rstrip('/')}/{name}.parquet")
+        parts.append(stored)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -273,6 +274,140 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .withColumn("date_mise_a_jour", F.date_format("date_mise_a_jour", iso)))
 
 
+#: fixed rules by which lines are spoilt: (divisor, remainder) of the case number
+BAD_AMOUNT, BAD_DATE, LONG_LINE, SHORT_LINE = (97, 0), (79, 3), (89, 1), (83, 2)
+
+
+@query("csv_bad_lines")
+def csv_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 over lines of which some are spoilt by key: an amount that is no
+    number, a date that is none, a value too many, values missing. Every line
+    comes back, as a row or in quarantine."""
+    path = scratch_path(spark, "csv")
+    case = F.substring("dossier_id", 5, 20).cast("long")
+
+    def spoilt(rule: tuple[int, int]):
+        return case % rule[0] == rule[1]
+
+    text = training.training_table(spark, sf_dir).select(*[F.col(f.name).cast("string").alias(f.name) for f in S.TRAINING_SCHEMA.fields])
+    text = (text.withColumn("montant_impaye", F.when(spoilt(BAD_AMOUNT), F.lit("abc")).otherwise(F.col("montant_impaye")))
+                .withColumn("date_ouverture", F.when(spoilt(BAD_DATE), F.lit("2001-13-45")).otherwise(F.col("date_ouverture"))))
+    line = F.to_csv(F.struct(*S.TRAINING_SCHEMA.names))
+    line = (F.when(spoilt(LONG_LINE), F.concat(line, F.lit(",one more")))
+             .when(spoilt(SHORT_LINE), F.substring_index(line, ",", 5)).otherwise(line))
+    text.select(line.alias("value")).write.text(path)
+    rows, bad = history.read_csv_lines(spark, path, S.TRAINING_SCHEMA, header=False)
+    return rows.select("dossier_id", F.lit(False).alias("quarantined"), "montant_impaye", "next_best_action").unionByName(
+        bad.select(F.split("line", ",")[1].alias("dossier_id"), F.lit(True).alias("quarantined"),
+                   F.lit(None).cast("double").alias("montant_impaye"), F.lit(None).cast("string").alias("next_best_action")))
+
+
+@query("newest_models")
+def newest_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of model names made from the cases (their segment, for
+    some a longer prefix, and the stamp of their opening) the newest of every
+    prefix; one prefix has none."""
+    c = dossiers.valid_cases(spark, sf_dir)
+    at = F.col("created_at").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("id") % 86400).cast("decimal(18,6)"))
+    prefix = F.concat(F.lower("client_segment"), F.when(F.col("id") % 7 == 0, F.lit("_bis")).otherwise(F.lit("")))
+    names = c.select(F.concat(prefix, F.lit("_"), model_store.stamp_of(at)).alias("name"))
+    wanted = spark.createDataFrame([(p,) for p in ("retail", "retail_bis", "professionnel", "corporate", "corp", "retail_b")], "prefix string")
+    return model_store.newest(names, wanted)
+
+
+# ---------------------------------------------------------------------------
+# As-of scorecards without the history
+# ---------------------------------------------------------------------------
+#: days from which a new batch begins
+BATCH_DAYS = ("1994-01-01", "1996-06-01")
+
+
+def _in_batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The cases in three parts, by time."""
+    cases = pin(dossiers.testbed_history(spark, sf_dir).select(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in asof_stream.CASES.fields]), "cases")
+    day = F.col("created_at")
+    first, second = (F.lit(d).cast("timestamp_ntz") for d in BATCH_DAYS)
+    return [cases.where(day < first), cases.where((day >= first) & (day < second)), cases.where(day >= second)]
+
+
+@query("asof_incremental")
+def asof_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches, each replayed on the carry of those before it alone."""
+    out, carry = None, None
+    for batch in _in_batches(spark, sf_dir):
+        scored = asof.asof_scorecards(batch, carry=carry)
+        out = scored if out is None else out.unionByName(scored)
+        own = asof.carry_of(batch)
+        carry = pin(own if carry is None else asof.merge_carries(carry, own), "carry")
+    return out
+
+
+@query("asof_stream")
+def asof_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batches as files of a stream that is stopped after each."""
+    base = scratch_path(spark, "asof_stream")
+    for batch in _in_batches(spark, sf_dir):
+        batch.write.mode("append").parquet(f"{base}/in")
+        asof_stream.start(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return asof_stream.scored(spark, f"{base}/out")
+
+
+# ---------------------------------------------------------------------------
+# Figures of given predictions and segments
+# ---------------------------------------------------------------------------
+def given_answers() -> list[evaluation.Answer]:
+    """Rules that answer instead of models, mirrored in the oracle."""
+    action = rules.next_best_action(F.col("score_risque") + 10, "type_procedure", "nombre_retards", "anciennete_impaye_jours",
+                                    "nombre_echeances_impayees")
+    status = (F.when(F.col("nombre_retards") > 0, F.lit(S.STATUSES[2])).when(F.col("historique_incidents") > 1, F.lit(S.STATUSES[1]))
+               .when(F.col("id") % 50 != 0, F.lit(S.STATUSES[0])))
+    return [evaluation.Answer("procedure", F.col("type_procedure"), F.when(F.col("score_risque") >= 40, F.lit(S.JUDICIAL)).otherwise(F.lit(S.AMIABLE))),
+            evaluation.Answer("status", F.col("statut_final"), status),
+            evaluation.Answer("action", F.col("next_best_action"), action),
+            evaluation.Answer("delay", F.col("delai_final_jours"), round_half_even(F.col("delai_final_jours") / 30, 0) * 30, number=True)]
+
+
+@query("evaluation_confusion")
+def evaluation_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each given answer is worth, label by label."""
+    return evaluation.confusion(_labelled(spark, sf_dir), given_answers())
+
+
+@query("evaluation_figures")
+def evaluation_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy and RMSE of all given answers from one aggregate."""
+    return (evaluation.figures(evaluation.confusion(_labelled(spark, sf_dir), given_answers()))
+            .withColumn("value", F.round("value", 9)))
+
+
+def _segment_features() -> dict:
+    return {"score": F.col("score_risque") / 100, "age": F.col("anciennete_impaye_jours") / 1000, "events": F.col("nombre_evenements") / 7}
+
+
+@query("segment_silhouette")
+def segment_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silhouette of the segments that the bounds of F12 make."""
+    cases = pin(dossiers.valid_cases(spark, sf_dir).withColumn(
+        "segment", F.when(F.col("score_risque") < 40, 0).when(F.col("score_risque") <= 70, 1).otherwise(2)), "segments")
+    return evaluation.silhouette(cases, "segment", list(_segment_features().values())).withColumn("silhouette", F.round("silhouette", 8))
+
+
+@query("segment_profile")
+def segment_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segment of the nearest stored centre, the centres taken from
+    exact quantiles, and what the cases of a segment have in common."""
+    cases = pin(_labelled(spark, sf_dir), "segments")
+    columns = _segment_features()
+    centres = [[round(v, 6) for v in c] for c in evaluation.quantile_centres(cases, columns, S.KMEANS_K)]
+    x = F.array(*columns.values())
+    held = cases.withColumn("segment", evaluation.nearest_centre(x, centres))
+    return held.groupBy("segment").agg(
+        F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 8).alias(f"mean_{name}") for name, c in columns.items()],
+        F.round(F.avg(F.when(F.col("statut_final") == S.RECOVERED, 1.0).otherwise(0.0)), 8).alias("recovered_share"),
+        F.round(F.avg("montant_impaye"), 4).alias("mean_amount"))
+
+
 # ---------------------------------------------------------------------------
 # Spark ML (L1-L18, S4, S9, S10) and streaming (X1); rows-only checks
 # ---------------------------------------------------------------------------

@@ -493,6 +493,98 @@ SELECT sha256(dossier_id || '|' || procedure_id || '|' || 'testbed') AS feature_
 FROM enriched
 """
 
+ORACLE["csv_bad_lines"] = with_enriched() + """
+, lines AS (
+  SELECT *, id % 97 = 0 OR id % 79 = 3 OR id % 89 = 1 OR id % 83 = 2 AS quarantined FROM enriched)
+SELECT dossier_id, quarantined, CASE WHEN NOT quarantined THEN montant_impaye END AS montant_impaye,
+       CASE WHEN NOT quarantined THEN next_best_action END AS next_best_action
+FROM lines
+"""
+
+ORACLE["newest_models"] = with_cases() + """
+, names AS (
+  SELECT lower(client_segment) || CASE WHEN id % 7 = 0 THEN '_bis' ELSE '' END || '_'
+         || strftime(CAST(created_at AS TIMESTAMP) + to_seconds(id % 86400), '%Y%m%d_%H%M%S') AS name FROM valid)
+SELECT p.prefix, max(n.name) AS newest
+FROM (VALUES ('retail'), ('retail_bis'), ('professionnel'), ('corporate'), ('corp'), ('retail_b')) p(prefix)
+LEFT JOIN names n ON starts_with(n.name, p.prefix || '_') GROUP BY p.prefix
+"""
+
+ORACLE["asof_incremental"] = ORACLE["asof_stream"] = ORACLE["asof_scorecard"]
+
+# ---------------------------------------------------------------------------
+# Figures of given predictions and segments
+# ---------------------------------------------------------------------------
+ANSWERS = """
+, answers AS (
+  SELECT 'procedure' AS model, type_procedure AS label,
+         CASE WHEN score_risque >= 40 THEN 'Judiciaire' ELSE 'Amiable' END AS prediction, NULL::DOUBLE AS error FROM enriched
+  UNION ALL
+  SELECT 'status', statut_final, CASE WHEN nombre_retards > 0 THEN 'Échec' WHEN historique_incidents > 1 THEN 'En cours'
+                                      WHEN id % 50 <> 0 THEN 'Recouvré' END, NULL FROM enriched
+  UNION ALL
+  SELECT 'action', next_best_action,
+         CASE WHEN score_risque + 10 < 40 AND type_procedure = 'Amiable' THEN 'Relance amiable'
+              WHEN score_risque + 10 BETWEEN 40 AND 70 AND nombre_retards >= 1 THEN 'Mise en demeure'
+              WHEN score_risque + 10 > 70 AND type_procedure = 'Judiciaire' THEN 'Action judiciaire'
+              WHEN anciennete_impaye_jours > 300 OR nombre_echeances_impayees > 10 THEN 'Négociation'
+              ELSE 'Relance amiable' END, NULL FROM enriched
+  UNION ALL
+  SELECT 'delay', NULL, NULL, (delai_final_jours - round_even(delai_final_jours / 30, 0) * 30) ** 2 FROM enriched)
+"""
+
+ORACLE["evaluation_confusion"] = with_enriched() + ANSWERS + """
+SELECT model, label, prediction, count(*) AS n, sum(error) AS squared_error FROM answers GROUP BY model, label, prediction
+"""
+
+ORACLE["evaluation_figures"] = with_enriched() + ANSWERS + """
+SELECT model, CASE WHEN model = 'delay' THEN 'rmse' ELSE 'accuracy' END AS metric,
+       round(CASE WHEN model = 'delay' THEN sqrt(sum(error) / count(*))
+                  ELSE count(*) FILTER (WHERE label = prediction) / count(*) END, 9) AS value, count(*) AS n
+FROM answers GROUP BY model
+"""
+
+POINTS = """
+, points AS (
+  SELECT *, score_risque / 100 AS a, anciennete_impaye_jours / 1000 AS b, nombre_evenements / 7 AS c,
+         CASE WHEN score_risque < 40 THEN 0 WHEN score_risque <= 70 THEN 1 ELSE 2 END AS segment
+  FROM {})
+"""
+
+ORACLE["segment_silhouette"] = with_cases() + POINTS.format("valid") + """
+, moments AS (
+  SELECT segment, count(*) AS n, sum(a) AS sa, sum(b) AS sb, sum(c) AS sc, sum(a * a + b * b + c * c) AS q FROM points GROUP BY segment),
+away AS (
+  SELECT p.id, p.segment, m.segment AS other, m.n,
+         (a * a + b * b + c * c) + q / m.n - 2 * (a * sa / m.n + b * sb / m.n + c * sc / m.n) AS d
+  FROM points p, moments m),
+near AS (
+  SELECT id, segment, max(CASE WHEN segment = other AND n > 1 THEN d * (n / (n - 1)) END) AS own,
+         min(CASE WHEN segment <> other THEN d END) AS nearest
+  FROM away GROUP BY id, segment)
+SELECT segment, count(*) AS n,
+       round(avg(CASE WHEN own IS NULL OR own = nearest THEN 0 WHEN own < nearest THEN 1 - own / nearest ELSE nearest / own - 1 END), 8)
+         AS silhouette
+FROM near GROUP BY segment
+"""
+
+ORACLE["segment_profile"] = with_enriched() + POINTS.format("enriched") + """
+, quantiles AS (
+  SELECT quantile_cont(a, [0.125, 0.375, 0.625, 0.875]) AS qa, quantile_cont(b, [0.125, 0.375, 0.625, 0.875]) AS qb,
+         quantile_cont(c, [0.125, 0.375, 0.625, 0.875]) AS qc FROM points),
+centres AS (
+  SELECT k - 1 AS k, round(qa[k], 6) AS ca, round(qb[k], 6) AS cb, round(qc[k], 6) AS cc
+  FROM quantiles, (SELECT unnest(range(1, 5)) AS k)),
+away AS (
+  SELECT p.id, k, (a - ca) * (a - ca) + (b - cb) * (b - cb) + (c - cc) * (c - cc) AS d FROM points p, centres),
+own AS (
+  SELECT id, k FROM away QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, k) = 1)
+SELECT CAST(o.k AS INTEGER) AS segment, count(*) AS n, round(avg(a), 8) AS mean_score, round(avg(b), 8) AS mean_age,
+       round(avg(c), 8) AS mean_events, round(avg(CASE WHEN statut_final = 'Recouvré' THEN 1.0::DOUBLE ELSE 0 END), 8) AS recovered_share,
+       round(avg(montant_impaye), 4) AS mean_amount
+FROM points p JOIN own o ON p.id = o.id GROUP BY o.k
+"""
+
 # ---------------------------------------------------------------------------
 # Models: what surrounds the fits
 # ---------------------------------------------------------------------------
