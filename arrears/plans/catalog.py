@@ -16,7 +16,7 @@ from arrears.operators import asof, evaluation, features, models, scoring
 from arrears.operators import scorecards as sc
 from arrears.operators import validation
 from arrears.session import pin, scratch_path, stable_path
-from arrears.sources import dossiers, history, intake, model_store, tables, training
+from arrears.sources import compaction, dossiers, history, intake, model_store, tables, training
 from arrears.streaming import asof_stream, scoring_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -248,6 +248,26 @@ def recent_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.recent_history(history.read_history(spark, path), 50)
 
 
+@query("compacted_history")
+def compacted_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S6, S7, T1 on a history of several batches: compacted after the second,
+    again after the last, vacuumed; then a batch that is retried adds nothing,
+    and the 50 newest are read from the files that may hold them."""
+    path = scratch_path(spark, "history")
+    rows = pin(testbed_history_rows(spark, sf_dir).drop(history.BATCH, "feature_id"), "rows")
+    batches = [rows.where(F.pmod("id", F.lit(4)) == k).withColumn(history.BATCH, F.lit(f"b{k}")) for k in range(4)]
+    batches = [b.withColumn("feature_id", rules.feature_id("dossier_id", "procedure_id", history.BATCH)) for b in batches]
+    for k, batch in enumerate(batches):
+        history.append_history(spark, batch, path, f"b{k}")
+        if k in (1, 3):
+            history.compact_history(spark, path)
+    compaction.vacuum(spark, path)
+    again = history.append_history(spark, batches[1], path, "b1")
+    if again:
+        raise AssertionError(f"a retried batch added {again} rows")
+    return history.recent_of(spark, path, 50)
+
+
 @query("table_profile")
 def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S2 for the training table and the driver tables it reads. The training

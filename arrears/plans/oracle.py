@@ -473,6 +473,8 @@ ORDER BY created_at DESC, id DESC
 LIMIT 50
 """
 
+ORACLE["compacted_history"] = ORACLE["recent_history"]
+
 ORACLE["table_profile"] = with_enriched() + """
 SELECT 'dossiers' AS table_name, count(*) AS n_rows, 27 AS n_columns FROM enriched
 UNION ALL SELECT 'orders', count(*), 6 FROM orders
