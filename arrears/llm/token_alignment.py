@@ -29,9 +29,11 @@ input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,8 @@ BLOCK = 4096
 DENSE = BLOCK // 16
 #: document and pair entries held before planes are written
 HELD = 1 << 21
+#: encoded stretches that a Python worker keeps
+KEPT = 300_000
 #: texts are encoded together up to about this many bytes
 GROUP = 1 << 20
 
@@ -72,6 +76,8 @@ class ByteLevel:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self._own = Tokenizer.from_file(path)
         self._own.encode_special_tokens = True
+        cut = json.loads(self._own.to_str())["pre_tokenizer"] or {}
+        self.cuts_at_spaces = cut.get("type") == "ByteLevel" and cut.get("use_regex", False) and not cut.get("add_prefix_space")
         letters = byte_level_alphabet()
         self.bytes = [b""] * self._own.get_vocab_size()
         for entry, i in self._own.get_vocab().items():
@@ -96,44 +102,133 @@ class Pieces:
         return self._own.encode(texts, num_threads=1)
 
 
-@cache
-def tokenizers(byte_level: str, pieces: str) -> tuple[ByteLevel, Pieces]:
-    """Serves all tasks of a Python worker."""
-    return ByteLevel(byte_level), Pieces(pieces)
+#: what a space between words may stand between
+_PUNCTUATION = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+
+
+def _solid(c: str) -> bool:
+    return c in _PUNCTUATION or c.isalnum()
+
+
+def stretches(text: str) -> list[str]:
+    """The text cut at the single spaces between letters, digits and ASCII
+    punctuation, without those spaces."""
+    words = text.split(" ")
+    out = words[:1]
+    ends = bool(out[0]) and _solid(out[0][-1])
+    for w in words[1:]:
+        if ends and w and _solid(w[0]):
+            out.append(w)
+        else:
+            out[-1] = f"{out[-1]} {w}"
+        ends = bool(w) and _solid(w[-1])
+    return out
 
 
 class Coder:
-    """Ids, ends and digest strings of texts under both tokenizers."""
+    """Groups and links of texts under both tokenizers.
+
+    Neither tokenizer lets a token reach over a single space between solid
+    characters to what stands before it: A cuts a text there before merging,
+    and B has no piece with a space behind another character (else texts are
+    encoded whole). So both encode a stretch the same wherever it stands, with
+    the space in front, and a group ends with it. A stretch is encoded once
+    and kept, as long as no more than KEPT are.
+    """
 
     def __init__(self, byte_level: str, pieces: str) -> None:
-        self.a, self.b = tokenizers(byte_level, pieces)
-        self._len = [np.fromiter(map(len, x.bytes), np.int64, len(x.bytes)) for x in (self.a, self.b)]
+        self.a, self.b = ByteLevel(byte_level), Pieces(pieces)
+        self._len = [list(map(len, x.bytes)) for x in (self.a, self.b)]
         self._text = [list(map(str, range(len(x.bytes)))) for x in (self.a, self.b)]
+        self._apart = self.a.cuts_at_spaces and not any(b" " in x.lstrip(b" ") for x in self.b.bytes)
+        self._known: dict[str, tuple[int, int, str, tuple[int, ...]] | None] = {}
 
-    def aligned(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each text the ids under A and B, and the numbers of the tokens
-        that end a group in A and in B; all empty for a text without tokens."""
-        none = np.zeros(0, np.int64)
+    def aligned(self, texts: list[str]) -> Iterator[tuple[int, int, str, tuple[int, ...]] | None]:
+        """For each text its tokens under A and B, its groups and the pairs
+        of its links, encoded whole; None if one does not give it back."""
         for text, x, y in zip(texts, self.a.encode(texts), self.b.encode(texts), strict=True):
             whole = b" " + text.encode("utf-8", "surrogatepass")
-            if not text or b"".join(map(self.a.bytes.__getitem__, x)) != whole or b"".join(map(self.b.bytes.__getitem__, y)) != whole:
-                yield none, none, none, none
+            if b"".join(map(self.a.bytes.__getitem__, x)) != whole or b"".join(map(self.b.bytes.__getitem__, y)) != whole:
+                yield None
+            else:
+                yield len(x), len(y), *self.groups(x, y)
+
+    def _stretch(self, words: list[str]) -> Iterator[tuple[int, int, str, tuple[int, ...]] | None]:
+        """As ``aligned``, for stretches: those that are solid at both ends
+        are encoded many at a time."""
+        joins = []
+        for w in words:
+            solid = self._apart and _solid(w[0]) and _solid(w[-1])
+            if solid and joins and joins[-1][0] and len(joins[-1][1]) < 256:
+                joins[-1][1].append(w)
+            else:
+                joins.append((solid, [w]))
+        texts = [" ".join(own) for _, own in joins]
+        for (_, own), text, x, y in zip(joins, texts, self.a.encode(texts), self.b.encode(texts), strict=True):
+            whole = b" " + text.encode("utf-8", "surrogatepass")
+            if b"".join(map(self.a.bytes.__getitem__, x)) != whole or b"".join(map(self.b.bytes.__getitem__, y)) != whole:
+                yield from self.aligned(own) if len(own) > 1 else [None]
+                continue
+            ends = np.cumsum([1 + len(w.encode("utf-8", "surrogatepass")) for w in own])
+            p = q = 0
+            for i, j in zip(*((np.searchsorted(np.cumsum([n[t] for t in ids]), ends) + 1).tolist()
+                              for n, ids in zip(self._len, (x, y), strict=True)), strict=True):
+                yield i - p, j - q, *self.groups(x[p:i], y[q:j])
+                p, q = i, j
+
+    def groups(self, x: list[int], y: list[int]) -> tuple[str, tuple[int, ...]]:
+        """The groups as ``a1,a2|b1;a3|b2,b3``, and the pairs of the links, of
+        two lists of tokens with the same bytes."""
+        (len_x, len_y), (left, right) = self._len, self._text
+        out, pairs = [], []
+        last = len(x) - 1
+        i = j = p = q = 0
+        end_x, end_y = len_x[x[0]], len_y[y[0]]
+        while True:
+            if end_x == end_y:
+                one, two = x[i], y[j]
+                pairs.append(one << 32 | two)
+                out.append((left[one] if i == p else ",".join([left[t] for t in x[p:i + 1]])) + "|"
+                           + (right[two] if j == q else ",".join([right[t] for t in y[q:j + 1]])))
+                if i == last:
+                    return ";".join(out), tuple(pairs)
+                p = i = i + 1
+                q = j = j + 1
+                end_x += len_x[x[i]]
+                end_y += len_y[y[j]]
+            elif end_x < end_y:
+                i += 1
+                end_x += len_x[x[i]]
+            else:
+                j += 1
+                end_y += len_y[y[j]]
+
+    def coded(self, texts: list[str]) -> Iterator[tuple[int, int, str, np.ndarray, np.ndarray]]:
+        """For each text its tokens under A and B, its groups, its distinct
+        pairs and how often it links each."""
+        known = self._known
+        if len(known) > KEPT:
+            known.clear()
+        parts = [(stretches(t) if self._apart else [t]) if t else [] for t in texts]
+        new = list({p for own in parts for p in own if p not in known})
+        known.update(zip(new, self._stretch(new), strict=True))
+        none = np.zeros(0, np.int64)
+        for text, own in zip(texts, parts, strict=True):
+            each = [known[p] for p in own]
+            if None in each:
+                each = list(self.aligned([text])) if len(own) > 1 else each
+            if not each or None in each:
+                yield 0, 0, "", none, none
                 continue
-            x, y = np.array(x, np.int64), np.array(y, np.int64)
-            end_x, end_y = np.cumsum(self._len[0][x]), np.cumsum(self._len[1][y])
-            place = np.searchsorted(end_y, end_x)  # the last ends are equal
-            in_x = np.flatnonzero(end_y[place] == end_x)
-            yield x, y, in_x, place[in_x]
-
-    def groups(self, x: np.ndarray, y: np.ndarray, in_x: np.ndarray, in_y: np.ndarray) -> str:
-        """The groups as ``a1,a2|b1;a3|b2,b3``."""
-        left, right = self._text
-        sx, sy = [left[i] for i in x.tolist()], [right[i] for i in y.tolist()]
-        out, p, q = [], 0, 0
-        for i, j in zip((in_x + 1).tolist(), (in_y + 1).tolist(), strict=True):
-            out.append((sx[p] if i - p == 1 else ",".join(sx[p:i])) + "|" + (sy[q] if j - q == 1 else ",".join(sy[q:j])))
-            p, q = i, j
-        return ";".join(out)
+            n_a, n_b, groups, pairs = zip(*each, strict=True)
+            pair = np.fromiter(chain.from_iterable(pairs), np.int64)
+            yield sum(n_a), sum(n_b), ";".join(groups), *np.unique(pair, return_counts=True)
+
+
+@cache
+def coder(byte_level: str, pieces: str) -> Coder:
+    """Serves all tasks of a Python worker."""
+    return Coder(byte_level, pieces)
 
 
 def planes(pair: np.ndarray, doc: np.ndarray, times: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[bytes]]]:
@@ -192,7 +287,7 @@ def _encode(batches: Iterator[pa.RecordBatch], byte_level: str, pieces: str, wit
     """A row for each document (``pair`` null) and one for each plane."""
     import hashlib
 
-    coder = Coder(byte_level, pieces)
+    coded = coder(byte_level, pieces).coded
     pair, rid, times, held = [], [], [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -217,14 +312,12 @@ def _encode(batches: Iterator[pa.RecordBatch], byte_level: str, pieces: str, wit
                 size += len(texts[hi])
                 hi += 1
             out = {"rid": numbers[lo:hi], "doc_id": ids[lo:hi], "n_a": [], "n_b": [], "n_links": [], "groups": []}
-            for number, (x, y, in_x, in_y) in zip(numbers[lo:hi], coder.aligned(texts[lo:hi]), strict=True):
-                groups = coder.groups(x, y, in_x, in_y)
+            for number, (n_a, n_b, groups, own, often) in zip(numbers[lo:hi], coded(texts[lo:hi]), strict=True):
                 for name, value in zip(("n_a", "n_b", "n_links", "groups"), (
-                        len(x), len(y), len(in_x),
-                        groups if with_groups else hashlib.sha256(groups.encode()).hexdigest() if len(x) else ""), strict=True):
+                        n_a, n_b, int(often.sum()),
+                        groups if with_groups else hashlib.sha256(groups.encode()).hexdigest() if n_a else ""), strict=True):
                     out[name].append(value)
-                if len(in_x):
-                    own, often = np.unique(x[in_x] << 32 | y[in_y], return_counts=True)
+                if len(own):
                     pair.append(own)
                     rid.append(np.full(len(own), number))
                     times.append(often)

@@ -89,6 +89,19 @@ def test_small_blocks_and_flushes_give_the_same(spark, monkeypatch, tmp_dir):
     assert sorted(map(tuple, op.pair_counts(again).collect())) == want
 
 
+def test_stretches_are_encoded_as_in_the_whole_text():
+    r = np.random.default_rng(6)
+    words = ["lamp", "the", "don't", "", "x,", "(y)", "\n", "a\tb", "é", "日本語", "\u0301a", "\u00a0b", "\u2028", "\x1c", "▁", "12", "<s>", "\u200b", "..", "½", "²", "_"]
+    texts = [" ".join(words[k] for k in r.integers(0, len(words), r.integers(1, 9))) for _ in range(3000)] + [" ", "  ", "a", ""]
+    assert op.stretches("a  b c,  d \n e") == ["a  b", "c,  d \n e"]
+    paths = f"{op.TOKENIZERS}/{op.BYTE_LEVEL}", f"{op.TOKENIZERS}/{op.PIECES}"
+    apart, whole = op.Coder(*paths), op.Coder(*paths)
+    assert apart._apart
+    whole._apart = False
+    for x, y in zip(apart.coded(texts), whole.coded(texts), strict=True):
+        assert [v if isinstance(v, (int, str)) else v.tolist() for v in x] == [v if isinstance(v, (int, str)) else v.tolist() for v in y]
+
+
 def test_planes_hold_lists_and_bitmaps():
     r = np.random.default_rng(4)
     doc = np.concatenate([r.permutation(op.BLOCK)[:n] for n in (1, 3, op.DENSE - 1, op.DENSE, 4000)])
