@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from arrears.session import pin
 
-from .common import bloom, fresh, packed, passes, table, text_or_empty, unpack
+from .common import bloom, fresh, packed, passes, slots, table, text_or_empty, unpack
 from .linking import link_buckets
 from .shingles import KNOWN
 
@@ -233,7 +233,8 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     distinct = pin(lines.groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "rid", "line")).alias("one"), F.first("sim").alias("sim"),
         F.first("length").alias("length")).withColumn("c", F.monotonically_increasing_id()), "lines")
-    about = distinct.select("c", "sim", "length", "weight")
+    # each line becomes a row for each choice of blocks: dealt out first, so that no task holds many times its input
+    about = distinct.select("c", "sim", "length", "weight").repartition(slots(rows.sparkSession))
     met = pin(about.mapInArrow(_find_buckets, "bucket long").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
               .where("n > 1").select("bucket"), "lines")
     buckets = pin(about.mapInArrow(partial(_find_buckets, seen=bloom(met, "bucket")),
