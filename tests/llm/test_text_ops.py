@@ -192,7 +192,40 @@ def test_pipeline_stage_by_stage(spark):
             assert docs.columns == ["doc_id", "ids"] and docs.count() == before.count()
 
 
+def plain_odds(model, words):
+    """What a stretch of words adds up to, n-gram by n-gram."""
+    odds, n = 0.0, 0
+    for w in words:
+        rows, size = toxicity._rows_of([w])
+        assert size.tolist() == [len(rows)] and len(rows) == 1 + sum(max(0, len(w) + 2 - g + 1) for g in toxicity.GRAMS)
+        odds += sum(float(model.embedding[r] @ (model.weight[:, 1] - model.weight[:, 0])) for r in rows.tolist())
+        n += len(rows)
+    return odds / (n + toxicity.PAD) + model.offset if n else model.offset
+
+
+def test_toxicity_scores_match_a_plain_version(spark):
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(rng.normal(size=(toxicity.ROWS, 3)), rng.normal(size=(3, 2)), rng.normal(size=2))
+    texts = [r.text or "" for r in awkward(spark).where("doc_id is null or doc_id != 11").collect()] + ["### *** $$$", "Id!ot, id1ot___ IDIOT", "word " * 500 + " ".join(f"w{k}" for k in range(100))]
+    for text, got in zip(texts, toxicity.Scorer(model.odds, model.offset).scores(texts), strict=True):
+        clean = "".join(c for c in text.lower() if c.isalnum() or c.isspace())
+        own = list(dict.fromkeys(clean.split()))
+        want = max((plain_odds(model, own[lo:lo + toxicity.STRETCH]) for lo in range(0, len(own), toxicity.STRETCH)), default=model.offset)
+        assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_signs_at_words_do_not_decide():
+    """Words that end in signs are many and say nothing; few labels say little."""
+    words = [f"lamp{k}" for k in range(60)]
+    rng = np.random.default_rng(3)
+    clean = [" ".join(rng.choice(words, 40)) for _ in range(40)]
+    toxic = [" ".join([*rng.choice(words, 40), "vilewretch"]) + " ###" for _ in range(5)]
+    model = toxicity.train(clean + toxic, np.array([0] * 40 + [1] * 5))
+    noisy = [" ".join(w + "$$$" for w in rng.choice(words, 40)) for _ in range(20)]
+    assert max(toxicity.probability(np.array(list(toxicity.Scorer(model.odds, model.offset).scores(noisy))))) < toxicity.THRESHOLD
+
+
 def test_queries_are_registered():
     names = [n for n in E.queries() if n.startswith("op")]
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)} and "pipeline" in E.queries()
-    assert [n for n in E.oracle_sql() if n in names] == ["op7_mixing"] and all(isinstance(s, str) for s in E.oracle_sql().values())
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)} and "pipeline" in E.queries()
+    assert [n for n in E.oracle_sql() if n in names] == ["op7_mixing", "op12_periodic_runs"] and all(isinstance(s, str) for s in E.oracle_sql().values())
