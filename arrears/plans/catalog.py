@@ -498,7 +498,7 @@ def train_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("actor_assignment")
 def actor_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A new case's columns and actors, without and with
+    """A new case's columns and actors, without and with
     actors in the request."""
     cases = scoring.new_case_columns(dossiers.valid_cases(spark, sf_dir))
     named = scoring.assign_actors(cases)

@@ -2,7 +2,7 @@
 from footers, newest names."""
 
 import os
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +117,18 @@ def test_stamps_agree(spark):
     now = datetime(2024, 2, 29, 23, 5, 9)
     row = spark.createDataFrame([(now,)], "t timestamp_ntz").select(model_store.stamp_of("t").alias("s")).first()
     assert row.s == model_store.stamp(now) == "20240229_230509"
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo", "America/New_York"])
+def test_scoring_time_is_utc_in_any_session_zone(spark, zone):
+    rows = spark.range(1).select("id", F.lit("D").alias("dossier_id"), F.lit("P").alias("procedure_id"))
+    for f in history.STORED_SCHEMA.fields:
+        if f.name not in rows.columns:
+            rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        at = history.to_history_rows(rows, "b").first().created_at
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert abs((datetime.now(timezone.utc).replace(tzinfo=None) - at).total_seconds()) < 60
