@@ -13,16 +13,21 @@ Documents with equal sets are one class. Only half keys that another class has
 too take part. The HALVES tables of one left half key are looked up together:
 classes meet under the left key, and of those that do, the ones with an equal
 right key have an equal table key. So a class takes a row for each left key
-and not one for each table. Within a bucket, classes are paired as
-``linking.link_buckets`` says: not all with all, yet so that no candidate
-that could join two components is left out, and without a cap.
+and not one for each table. With its keys a class carries a bitmap of its
+shingles. What one bitmap has and the other lacks bounds from below how many
+shingles the sets do not share, so candidates that cannot reach the similarity
+are left before they are written, and no link is. Within a bucket, classes are
+paired as ``linking.link_buckets`` says: not all with all, yet so that no
+candidate that could join two components is left out, and without a cap.
 
 Null and empty texts, or those of white space alone, have no shingles and are
 linked with nothing, not with each other. Rows with equal ids count as rows of
-their own. A null id takes part in links; a component's id is its smallest id
-that is not null, or null. Of a component one row is kept, one with that id;
-of several such rows, the first by the hash of its text, then in the table. An empty table gives an empty one. Other columns
-of the input are ignored, whatever their names.
+their own, told apart by 128 bits of their texts. A null id takes part in
+links; a component's id is its smallest id that is not null, or null. ``kept``
+marks every row with that id (a null id is kept in a component without other
+ids); ``stays`` marks one of them, the first by the hash of its text, then in
+the table. An empty table gives an empty one. Other columns of the input are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,6 +46,8 @@ from .linking import link_buckets
 
 HALVES, DEPTH = 16, 3
 SIMILAR = 75  # per cent
+#: 64-bit words of a class's bitmap
+SKETCH = 16
 
 _rng = np.random.default_rng(40490)
 _SPREAD = _rng.integers(0, 1 << 63, 2 * HALVES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,8 +77,17 @@ def half_keys(shingles: np.ndarray) -> np.ndarray:
     return key ^ key >> np.uint64(31)
 
 
-_SIGNED = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int32()), ("n", pa.int64()), ("set1", pa.int64()),
-                     ("set2", pa.int64()), ("halves", pa.list_(pa.int64()))])
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """A bit for the place of each shingle."""
+    bits = np.zeros(64 * SKETCH, np.uint8)
+    bits[shingles % np.uint64(64 * SKETCH)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+_ROW = ["rid", "doc_id", "text1", "text2"]
+_SIGNED = pa.schema([*((c, pa.int64()) for c in (*_ROW, "n", "set1", "set2")), ("halves", pa.list_(pa.int64())),
+                     ("sketch", pa.list_(pa.int64()))])
+_SIGNED_DDL = ", ".join(f"{c} long" for c in (*_ROW, "n", "set1", "set2")) + ", halves array<bigint>, sketch array<bigint>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +96,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from .shingles import shingle_set
 
     for batch in batches:
-        n, one, two, halves = [], [], [], []
+        n, one, two, halves, sketch = [], [], [], [], []
         for text in batch.column("text").to_pylist():
             own = shingle_set(text)
             n.append(len(own))
@@ -88,9 +104,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one.append(int.from_bytes(name[:8], "little", signed=True))
             two.append(int.from_bytes(name[8:], "little", signed=True))
             halves.append(half_keys(own).view(np.int64) if len(own) else np.zeros(0, np.int64))
+            sketch.append(bitmap(own))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("rid"), batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(one, pa.int64()),
-             pa.array(two, pa.int64()), pa.array(halves, pa.list_(pa.int64()))], schema=_SIGNED)
+            [*map(batch.column, _ROW), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
+             pa.array(halves, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], schema=_SIGNED)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,21 +123,28 @@ def _buckets(classes: DataFrame) -> DataFrame:
     """``(bucket, c, about, weight)``: the classes under each left half key
     that others have too, with the right half keys they share with any.
     ``weight`` counts what a class shares."""
-    halves = classes.select("c", "n", F.posexplode("halves").alias("place", "half"))
+    halves = classes.select("c", F.posexplode("halves").alias("place", "half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    own = (halves.join(shared, "half").groupBy("c", "n")
+    own = (halves.join(shared, "half").groupBy("c")
            .agg(F.collect_list(F.struct("place", "half")).alias("own"), F.sum("times").alias("weight")))
     left = F.filter("own", lambda x: x["place"] < HALVES)
     right = F.transform(F.filter("own", lambda x: x["place"] >= HALVES), lambda x: x["half"])
-    return (own.select("c", "weight", F.named_struct(F.lit("n"), F.col("n"), F.lit("right"), right).alias("about"), F.explode(left).alias("l"))
+    return (own.join(classes.select("c", "n", "sketch"), "c")
+            .select("c", "weight", F.named_struct(F.lit("n"), F.col("n"), F.lit("sketch"), F.col("sketch"), F.lit("right"), right).alias("about"),
+                    F.explode(left).alias("l"))
             .where(F.size("about.right") > 0).select(F.col("l.half").alias("bucket"), "c", "about", "weight"))
 
 
 def _comparable(a: Column, b: Column) -> Column:
     """With an equal left half key: whether an equal right one makes it an
-    equal table key, and whether the set sizes allow the similarity."""
-    return (F.arrays_overlap(a["right"], b["right"])
-            & (F.lit(100) * F.least(a["n"], b["n"]) >= F.lit(SIMILAR) * F.greatest(a["n"], b["n"])))
+    equal table key, and whether the bitmaps allow the similarity. The sets
+    share at most what either has without the bits that the other lacks."""
+    def most(x, y):
+        lacks = [F.bit_count(x["sketch"][k].bitwiseAND(F.bitwise_not(y["sketch"][k]))) for k in range(SKETCH)]
+        return x["n"] - sum(lacks[1:], lacks[0])
+    needed = F.lit(SIMILAR) * (a["n"] + b["n"])
+    return ((F.lit(100 + SIMILAR) * most(a, b) >= needed) & (F.lit(100 + SIMILAR) * most(b, a) >= needed)
+            & F.arrays_overlap(a["right"], b["right"]))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -134,25 +158,29 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row_id: str | None = None) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for each row; with the
-    name of a column that numbers the rows, that column as well."""
+    """``(doc_id, n_shingles, component_id, kept, stays)`` for each row; with
+    the name of a column that numbers the rows, that column as well."""
     rid = F.monotonically_increasing_id() if row_id is None else F.col(row_id)
-    rows = docs.select(rid.alias("rid"), F.col(doc_id).cast("long").alias("doc_id"),
-                       F.hash(F.col(doc_id).isNull(), text_or_empty(text)).alias("row"),
-                       text_or_empty(text).cast("binary").alias("text"))
-    signed = pin(rows.mapInArrow(_sign, "rid long, doc_id long, row int, n long, set1 long, set2 long, halves array<bigint>"), "near_dups")
+    whole = text_or_empty(text)
+    rows = docs.select(rid.alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.lit(1), whole).alias("text1"),
+                       F.xxhash64(F.lit(2), whole).alias("text2"), whole.cast("binary").alias("text"))
+    signed = pin(rows.mapInArrow(_sign, _SIGNED_DDL), "near_dups")
+    # a class is the row that names it, with all it needs from there on
+    low = F.struct(F.col("doc_id").isNull(), "doc_id", "text1", "rid")
     classes = pin(signed.where("n > 0").groupBy("set1", "set2").agg(
-        F.min("rid").alias("c"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "rid")).alias("low"), F.first("n").alias("n"),
-        F.min_by(F.struct("doc_id", "row"), "rid").alias("one"), F.min_by("halves", "rid").alias("halves")), "near_dups")
+        F.min(low).alias("low"), F.min_by(F.struct("rid", "doc_id", "text1", "text2", "n", "halves", "sketch"), "rid").alias("one"))
+        .select("set1", "set2", "low", F.col("one.rid").alias("c"), "one.doc_id", "one.text1", "one.text2", "one.n", "one.halves",
+                "one.sketch"), "near_dups")
     buckets = pin(_buckets(classes), "near_dups")
 
     # the sets of all classes that share a bucket, fetched once for all rounds
     met = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
     need = pin(buckets.join(met, "bucket", "left_semi").select("c").distinct()
-               .join(classes.select("c", "one.*"), "c"), "near_dups")
-    sets = pin(packed(rows.select("doc_id", "row", "text")).alias("d").join(need.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
-                                            & (F.col("d.row") == F.col("w.row"))).select("w.c", "d.text")
-               .mapInArrow(_sets, "c long, shingles array<bigint>"), "near_dups")
+               .join(classes.select("c", "doc_id", "text1", "text2"), "c"), "near_dups")
+    sets = pin(packed(rows.drop("rid")).alias("d")
+               .join(need.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text1") == F.col("w.text1"))
+                     & (F.col("d.text2") == F.col("w.text2")))
+               .groupBy("w.c").agg(F.first("d.text").alias("text")).mapInArrow(_sets, "c long, shingles array<bigint>"), "near_dups")
     found = link_buckets(buckets, _comparable, lambda pairs: _verified(pairs, sets))
     own = classes.select("set1", "set2", "c", "low")
     named = own.withColumnRenamed("low", "stays")
@@ -162,8 +190,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         named = (own.join(linked.join(lowest, "component").select("c", "lowest"), "c", "left")
                  .withColumn("stays", F.coalesce("lowest", "low")))
     named = named.select("set1", "set2", F.col("stays.doc_id").alias("component_id"), F.col("stays.rid").alias("first"))
-    shown = ("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("rid") == F.col("first")).alias("kept"),
-             *([] if row_id is None else [F.col("rid").alias(row_id)]))
+    shown = ("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+             (F.col("rid") == F.col("first")).alias("stays"), *([] if row_id is None else [F.col("rid").alias(row_id)]))
     alone = signed.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("first", F.col("rid"))
     return (signed.where("n > 0").select("rid", "doc_id", "n", "set1", "set2").join(named, ["set1", "set2"]).select(*shown)
             .unionByName(alone.select(*shown)))

@@ -67,6 +67,36 @@ def test_near_duplicates_awkward_and_empty(spark):
     assert near_dups.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_rows_with_equal_ids(spark):
+    """Of ids 1, 1, 2 with equal texts both rows of id 1 are kept, one stays;
+    a row with the id of a copy is judged on its own text."""
+    a, b = prose(80, 1), prose(80, 2)
+    rows = [(1, a), (1, a), (2, a), (None, b), (None, a + " more"), (3, b), (3, prose(80, 3))]
+    docs = spark.createDataFrame([(i, t, None, None, None, 1, "", 2, "") for i, t in rows], SCHEMA)
+    got = near_dups.near_duplicates(docs).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == [
+        ("1", "1", True), ("1", "1", True), ("2", "1", False), ("3", "3", True), ("3", "3", True), ("None", "1", False), ("None", "3", False)]
+    assert sorted(r.component_id for r in got if r.stays) == [1, 3, 3]
+
+
+def test_bitmaps_bound_what_sets_share(spark):
+    """No similar pair is left out, and most unlike ones are."""
+    r = np.random.default_rng(5)
+    rows, like = [], []
+    for k in range(300):
+        base = r.integers(0, 1 << 63, int(r.integers(1, 500)), dtype=np.uint64)
+        share = int(len(base) * r.choice([0.3, 0.6, 0.87, 0.9]))
+        other = np.concatenate([base[:share], r.integers(0, 1 << 63, len(base) - share, dtype=np.uint64)])
+        both = len(np.intersect1d(base, other))
+        like.append(100 * both >= 75 * (2 * len(base) - both))
+        rows.append((k, *((len(x), near_dups.bitmap(x).tolist(), [1]) for x in (base, other))))
+    about = "struct<n: long, sketch: array<long>, right: array<long>>"
+    pairs = spark.createDataFrame(rows, f"k long, a {about}, b {about}")
+    passed = {x.k for x in pairs.where(near_dups._comparable(pairs["a"], pairs["b"])).collect()}
+    assert passed >= {k for k, x in enumerate(like) if x}
+    assert len(passed - {k for k, x in enumerate(like) if x}) <= 30
+
+
 def test_tables_find_similar_sets():
     r = np.random.default_rng(3)
     met = 0
