@@ -37,7 +37,7 @@ def documents_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     bounded_batches(spark)
     rid = fresh("rid")
     rows = line_dedup.numbered(docs, rid)
-    gone = near_dups.near_duplicates(rows, row_id=rid).where("not kept").select(rid)
+    gone = near_dups.near_duplicates(rows, row_id=rid).where("not stays").select(rid)
     return rows.join(gone, rid, "left_anti").select(*docs.columns)
 
 
