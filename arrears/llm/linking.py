@@ -40,20 +40,23 @@ def link_buckets(buckets: DataFrame, comparable: Callable[[Column, Column], Colu
     links = tested = found = None
     rest, hubs, before = buckets, HUBS, None
     while True:
-        if links is None:
+        if links is None:  # every member is a component of its own
             open_ = rest.withColumn("comp", F.col("c"))
+            left = (open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"))
+                    .withColumn("across", F.col("k") * (F.col("k") - 1) / 2).where("across > 0"))
         else:
             found = pin(components(links), "linking")
             open_ = (rest.join(found.withColumnRenamed("id", "c"), "c", "left")
                      .withColumn("comp", F.coalesce("component", "c")).drop("component"))
-        left = pin(open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket")
-                   .agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"))
-                   .withColumn("across", (F.col("k") * F.col("k") - F.col("k2")) / 2).where("across > 0"), "linking")
+            left = pin(open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket")
+                       .agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"))
+                       .withColumn("across", (F.col("k") * F.col("k") - F.col("k2")) / 2).where("across > 0"), "linking")
         size = left.agg(F.coalesce(F.sum("across"), F.lit(0.0)).alias("across"),
                         F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
         if size.k == 0:
             return found
-        open_ = pin(open_.join(left.select("bucket"), "bucket"), "linking")
+        if links is not None:
+            open_ = pin(open_.join(left.select("bucket"), "bucket"), "linking")
         last = links is not None and size.across <= CROSS * size.k
         if last:
             other = open_.select("bucket", F.col("c").alias("d"), F.col("about").alias("about2"), F.col("comp").alias("comp2"))

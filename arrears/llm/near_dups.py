@@ -33,6 +33,7 @@ ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from arrears.session import pin
 
-from .common import packed, table, text_or_empty, unpack
+from .common import bloom, passes, table, text_or_empty, unpack
 from .linking import link_buckets
 
 HALVES, DEPTH = 16, 3
@@ -110,29 +111,39 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(halves, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], schema=_SIGNED)
 
 
+def _packed_if(batches: Iterator[pa.RecordBatch], seen) -> Iterator[pa.RecordBatch]:
+    """Compressed texts that may be wanted, by a filter of their first hashes."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        wanted = batch.filter(pa.array(passes(seen.value, batch.column("text1").to_numpy().view(np.uint64))))
+        yield wanted.set_column(2, "text", pa.array(map(squeeze, wanted.column("text").to_pylist()), pa.binary()))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from .shingles import shingle_set
 
     for batch in batches:
         own = [shingle_set(t).view(np.int64) for t in unpack(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(own, pa.list_(pa.int64()))],
-                                         names=["c", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(own, pa.list_(pa.int64()))], names=["c", "shingles"])
 
 
-def _buckets(classes: DataFrame) -> DataFrame:
-    """``(bucket, c, about, weight)``: the classes under each left half key
-    that others have too, with the right half keys they share with any.
-    ``weight`` counts what a class shares."""
+def _meeting(classes: DataFrame) -> DataFrame:
+    """``(c, text1, text2, about, weight, left)``: the classes that share half
+    keys of either side with others, and the keys they share. ``weight``
+    counts what a class shares."""
     halves = classes.select("c", F.posexplode("halves").alias("place", "half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     own = (halves.join(shared, "half").groupBy("c")
            .agg(F.collect_list(F.struct("place", "half")).alias("own"), F.sum("times").alias("weight")))
-    left = F.filter("own", lambda x: x["place"] < HALVES)
-    right = F.transform(F.filter("own", lambda x: x["place"] >= HALVES), lambda x: x["half"])
-    return (own.join(classes.select("c", "n", "sketch"), "c")
-            .select("c", "weight", F.named_struct(F.lit("n"), F.col("n"), F.lit("sketch"), F.col("sketch"), F.lit("right"), right).alias("about"),
-                    F.explode(left).alias("l"))
-            .where(F.size("about.right") > 0).select(F.col("l.half").alias("bucket"), "c", "about", "weight"))
+
+    def side(keep):
+        return F.transform(F.filter("own", keep), lambda x: x["half"])
+    left, right = side(lambda x: x["place"] < HALVES), side(lambda x: x["place"] >= HALVES)
+    about = F.named_struct(F.lit("n"), F.col("n"), F.lit("sketch"), F.col("sketch"), F.lit("right"), right)
+    return (own.where((F.size(left) > 0) & (F.size(right) > 0)).join(classes.select("c", "text1", "text2", "n", "sketch"), "c")
+            .select("c", "text1", "text2", about.alias("about"), "weight", left.alias("left")))
 
 
 def _comparable(a: Column, b: Column) -> Column:
@@ -168,19 +179,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # a class is the row that names it, with all it needs from there on
     low = F.struct(F.col("doc_id").isNull(), "doc_id", "text1", "rid")
     classes = pin(signed.where("n > 0").groupBy("set1", "set2").agg(
-        F.min(low).alias("low"), F.min_by(F.struct("rid", "doc_id", "text1", "text2", "n", "halves", "sketch"), "rid").alias("one"))
-        .select("set1", "set2", "low", F.col("one.rid").alias("c"), "one.doc_id", "one.text1", "one.text2", "one.n", "one.halves",
+        F.min(low).alias("low"), F.min_by(F.struct("rid", "text1", "text2", "n", "halves", "sketch"), "rid").alias("one"))
+        .select("set1", "set2", "low", F.col("one.rid").alias("c"), "one.text1", "one.text2", "one.n", "one.halves",
                 "one.sketch"), "near_dups")
-    buckets = pin(_buckets(classes), "near_dups")
-
-    # the sets of all classes that share a bucket, fetched once for all rounds
-    met = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
-    need = pin(buckets.join(met, "bucket", "left_semi").select("c").distinct()
-               .join(classes.select("c", "doc_id", "text1", "text2"), "c"), "near_dups")
-    sets = pin(packed(rows.drop("rid")).alias("d")
-               .join(need.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text1") == F.col("w.text1"))
-                     & (F.col("d.text2") == F.col("w.text2")))
-               .groupBy("w.c").agg(F.first("d.text").alias("text")).mapInArrow(_sets, "c long, shingles array<bigint>"), "near_dups")
+    meeting = pin(_meeting(classes), "near_dups")
+    buckets = meeting.select(F.explode("left").alias("bucket"), "c", "about", "weight")
+
+    # their sets, fetched once for all rounds; equal texts are one before they are joined
+    seen = bloom(meeting, "text1")
+    texts = (rows.select("text1", "text2", "text").mapInArrow(partial(_packed_if, seen=seen), "text1 long, text2 long, text binary")
+             .groupBy("text1", "text2").agg(F.first("text").alias("text")))
+    sets = pin(texts.join(meeting.select("c", "text1", "text2"), ["text1", "text2"]).select("c", "text")
+               .mapInArrow(_sets, "c long, shingles array<bigint>"), "near_dups")
     found = link_buckets(buckets, _comparable, lambda pairs: _verified(pairs, sets))
     own = classes.select("set1", "set2", "c", "low")
     named = own.withColumnRenamed("low", "stays")
