@@ -1,6 +1,7 @@
 """Operators 2 and 8, and the pipeline."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -60,6 +61,45 @@ def test_a_class_word_does_not_take_the_article(html, want):
     assert text_of(html) == want
 
 
+@pytest.mark.parametrize("own", [
+    '<h2 id="social-policy">own</h2>', '<h2 id="search-results">own</h2>', '<p id="hidden-costs">own</p>',
+    '<div class="share-price-table">own</div>', '<p class="signup">own</p>', "<p><math><mi>own</mi></math></p>",
+    '<p><svg viewBox="0 0 1 1"><text>own</text></svg></p>'])
+def test_an_article_keeps_its_own_text(own):
+    assert text_of(f"<article><h1>T</h1>{own}<p>a</p></article>") == "T\nown\na"
+
+
+@pytest.mark.parametrize("away", [
+    '<div class="related-posts">no</div>', '<section id="comments"><p>no</p></section>', '<div class="newsletter-signup-box"><p>no</p></div>',
+    '<p class="advertisement">no</p>', '<ul class="share-buttons"><li>no</li></ul>', "<div class=shareButtons>no</div>"])
+def test_an_article_is_freed_of_what_is_not_its_own(away):
+    assert text_of(f"<article><h1>T</h1>{away}<p>a</p></article>") == "T\na"
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    ("<article><p>a <math><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow></math> b</p><p>c</p></article>", "a x=1 b\nc"),
+    ('<article><p title="a > b">x</p><p data-x=\'">\'>y</p></article>', "x\ny"),
+    ('<article><p class="open>x</p><p>y</p></article>', "x\ny"),
+    ("<article><p>1 < 2, 3<4</p></article>", "1 < 2, 3<4"),
+    ("<article><p>a</p></article><p", "a"),
+    ("<article><p>a</p><!-- no", "a"),
+    ("<article><i>a<table><tr><td>b</i>c</table></article>", "a\nbc"),
+])
+def test_tags_are_read_as_browsers_do(html, want):
+    assert text_of(html) == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a b=\"", "<div>", "</span>", "<h1>", "<b>x", "<script>", "</script", "<!--", "<i><table></i>",
+                                   "<p class='x'", "<a b='c' ", "<li><b>", "<?x "])
+def test_bad_pages_take_time_by_length(piece):
+    """A megabyte of what is never closed: seconds, where reading on to the
+    end of the page at every tag would take hours."""
+    begun = time.perf_counter()
+    parse("<article><p>text</p>" + piece * ((1 << 20) // len(piece)))
+    parse("<article><p>text</p>" + "<b>" * 50_000 + ("x<hr>" + piece) * 50_000)
+    assert time.perf_counter() - begun < 20
+
+
 def site(n, seed, page):
     r = random.Random(seed)
     return [page(" ".join(r.choice(["lamp", "stone", "river"]) + str(r.randrange(999)) for _ in range(60)), k, r) for k in range(n)]
