@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from arrears.session import pin
+
 from .common import table, text_or_empty
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -107,4 +109,5 @@ def limits(histogram: DataFrame) -> DataFrame:
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("text")
-    return limits(length_histogram(encoded_lengths(docs).select("n_tokens")))
+    # used twice, for the rows and for the totals of blocks: written once
+    return limits(pin(length_histogram(encoded_lengths(docs).select("n_tokens")), "tokens"))
