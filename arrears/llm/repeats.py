@@ -148,9 +148,9 @@ def segments(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, b
         yield group
 
 
-_RUNS = pa.schema([("doc_id", pa.int64()), ("row", pa.int32()), ("at", pa.int32()), ("n", pa.int32()),
+_RUNS = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("at", pa.int32()), ("n", pa.int32()),
                    ("anchor", pa.int64()), ("extent", pa.int64())])
-_RUNS_DDL = "doc_id long, row int, at int, n int, anchor long, extent long"
+_RUNS_DDL = "doc_id long, row binary, at int, n int, anchor long, extent long"
 
 
 def _find_runs(batches: Iterator[pa.RecordBatch], seen=None, length: int = LENGTH) -> Iterator[pa.RecordBatch]:
@@ -235,10 +235,9 @@ def _find_blocks(batches: Iterator[pa.RecordBatch], seen=None, length: int = LEN
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, row, text)`` with the text as bytes. ``row`` tells rows
-    with one id apart, unless they are equal in both."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"),
-                       F.hash(F.col(doc_id).isNull(), text_or_empty(text)).alias("row"),
-                       text_or_empty(text).cast("binary").alias("text"))
+    with one id apart by 128 bits of their texts, unless they are equal in both."""
+    whole = text_or_empty(text).cast("binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.md5(whole)).alias("row"), whole.alias("text"))
 
 
 def _same(a: str, b: str):

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arrears.llm import fingerprints, repeats, token_counts, unigram
 from tests.llm.cases import awkward, empty, prose
@@ -38,6 +39,17 @@ def test_repeats_bytes_spans_and_empty_table(spark):
     assert repeats.remove_repeats(empty(spark)).count() == 0
 
 
+def test_rows_without_id_are_told_apart(spark):
+    """Two texts of equal 32-bit hash, neither with an id, and a copy of one."""
+    text = F.concat(F.lit("lamp "), F.col("id"), F.lit(" "), F.repeat(F.md5(F.col("id").cast("string").cast("binary")), 12))
+    names = spark.range(400_000).select(text.alias("text")).withColumn("h", F.hash(F.lit(True), "text"))
+    one = names.groupBy("h").agg(F.collect_list("text").alias("texts")).where("size(texts) > 1").first().texts
+    docs = spark.createDataFrame([(None, one[0]), (None, one[1]), (1, one[0])], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_bytes - r.n_removed) for r in repeats.remove_repeats(docs).collect())
+    want = sorted([(0, c[0] - c[1]) for c in covered([t.encode() for t in (one[0], one[1], one[0])], 200)[:2]] + [(1, 0)])
+    assert [k for _, k in got] == [k for _, k in want]
+
+
 def test_long_texts_come_in_segments(monkeypatch):
     text = prose(3000, 11).encode()
     want = {(int(a), int(n)) for _, a, n, *_ in zip(*repeats.runs([text]), strict=True)}
