@@ -18,10 +18,10 @@ result can hold, so that a very common vector is no large leaf.
 
 Vectors that are null, zero or hold a null or non-finite component take no
 part, nor do those without an id or of another length than most have. Equal
-scores are ordered by id. A query is not its own neighbour, nor is another
-row with its id. Repeated rows count once. With fewer candidates than k all
-are returned; an empty table gives an empty result. Other columns are
-ignored, whatever their names.
+scores are ordered by id. Every row is a query and a candidate of its own: a
+query is not its own neighbour, but another row with its id or its vector, or
+both, is one. With fewer candidates than k all are returned; an empty table
+gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -209,12 +209,13 @@ class Best:
             self.floor = np.concatenate([self.floor, np.full(len(self.slot), -np.inf)])
         return out
 
-    def offer(self, slot: np.ndarray, queries: np.ndarray, keys: np.ndarray, ids: list, vectors: np.ndarray) -> None:
+    def offer(self, slot: np.ndarray, queries: np.ndarray, keys: np.ndarray, ids: list, lowest: np.ndarray,
+              vectors: np.ndarray) -> None:
         rough = queries @ vectors.T
         i, j = np.nonzero(rough >= self.floor[slot][:, None] - 1e-9)
         for lo in range(0, len(i), 65536):
             a, b = i[lo:lo + 65536], j[lo:lo + 65536]
-            self.pairs.append((slot[a], keys[b], exact(queries[a], vectors[b])))
+            self.pairs.append((slot[a], keys[b], exact(queries[a], vectors[b]), lowest[b]))
         self.ids.update((int(keys[b]), ids[b]) for b in np.unique(j))
         self.size += len(i)
         if self.size > self.most:
@@ -223,22 +224,22 @@ class Best:
     def prune(self) -> None:
         if not self.pairs:
             return
-        q, v, s = (np.concatenate(c) for c in zip(*self.pairs, strict=True))
-        order = np.lexsort((v, -s, q))
-        q, v, s = q[order], v[order], s[order]
+        q, v, s, low = (np.concatenate(c) for c in zip(*self.pairs, strict=True))
+        order = np.lexsort((v, low, -s, q))
+        q, v, s, low = q[order], v[order], s[order], low[order]
         again = np.zeros(len(q), bool)  # a vector met in several trees
         again[1:] = (q[1:] == q[:-1]) & (v[1:] == v[:-1])
-        q, v, s = q[~again], v[~again], s[~again]
+        q, v, s, low = q[~again], v[~again], s[~again], low[~again]
         first = np.flatnonzero(np.diff(q, prepend=-1))
         nth = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
         self.floor[q[nth == self.k - 1]] = s[nth == self.k - 1]
         keep = nth < self.k
-        self.pairs, self.size = [(q[keep], v[keep], s[keep])], int(keep.sum())
+        self.pairs, self.size = [(q[keep], v[keep], s[keep], low[keep])], int(keep.sum())
         self.ids = {x: self.ids[x] for x in np.unique(v[keep]).tolist()}
 
     def rows(self) -> pa.RecordBatch:
         self.prune()
-        q, v, s = self.pairs[0] if self.pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        q, v, s, _ = self.pairs[0] if self.pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), None)
         name = np.array(list(self.slot), np.int64)
         ids = [self.ids[x] for x in v.tolist()]
         self.clear()
@@ -258,6 +259,7 @@ def _rank(batches: Iterator[pa.RecordBatch], k: int, most: int = 50_000) -> Iter
         keys = batch.column("key").to_numpy()
         x = np.frombuffer(b"".join(batch.column("vector").to_pylist()), np.float64).reshape(len(keys), -1)
         ids = batch.column("ids").to_pylist()
+        lowest = np.array([own[0] if own else 0 for own in ids], np.int64)
         new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(axis=1) | (is_vector[1:] != is_vector[:-1])])
         for lo, hi in zip(new, [*new[1:], len(keys)], strict=True):
             if place != tuple(at[lo]):
@@ -273,7 +275,7 @@ def _rank(batches: Iterator[pa.RecordBatch], k: int, most: int = 50_000) -> Iter
                 for a in range(0, len(asked), 1024):
                     for b in range(lo, hi, 1024):
                         c = min(hi, b + 1024)
-                        best.offer(slot[a:a + 1024], matrix[a:a + 1024], keys[b:c], ids[b:c], x[b:c])
+                        best.offer(slot[a:a + 1024], matrix[a:a + 1024], keys[b:c], ids[b:c], lowest[b:c], x[b:c])
     yield best.rows()
 
 
@@ -291,20 +293,23 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "v
     if width is None:
         return spark.createDataFrame([], result)
     good = good.where(F.size("embedding") == width.w)
-    # the smallest ids of each distinct vector, of a common one first by salt
+    # the smallest ids of each distinct vector, of a common one first by salt;
+    # an id as often as rows have it
+    rows = good.groupBy("embedding", "vec_id").agg(F.count(F.lit(1)).alias("times"))
     salted = W.partitionBy("embedding", F.pmod("vec_id", F.lit(64))).orderBy("vec_id")
-    ids = (good.distinct().withColumn("n", F.row_number().over(salted)).where(F.col("n") <= k + 1)
-           .withColumn("n", F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))).where(F.col("n") <= k + 1))
-    distinct = pin(ids.groupBy("embedding").agg(F.min("vec_id").alias("key"), F.sort_array(F.collect_list("vec_id")).alias("ids")),
-                   "neighbours")
+    ids = (rows.withColumn("n", F.row_number().over(salted)).where(F.col("n") <= k + 1)
+           .withColumn("n", F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))).where(F.col("n") <= k + 1)
+           .withColumn("own", F.array_repeat("vec_id", F.least("times", F.lit(k + 1)).cast("int"))))
+    distinct = pin(ids.groupBy("embedding").agg(F.slice(F.sort_array(F.flatten(F.collect_list("own"))), 1, k + 1).alias("ids"))
+                   .withColumn("key", F.monotonically_increasing_id()), "neighbours")
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v))
     size = distinct.agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("radius")).first()
-    sample = distinct.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("embedding").toArrow().column("embedding").combine_chunks()
+    sample = distinct.orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE).select("embedding").toArrow().column("embedding").combine_chunks()
     forest = grow(_matrix(sample), size.radius)
     shared = spark.sparkContext.broadcast(forest)
     parts = max(1, int(size.n * len(forest.roots) / len(forest.held) / PART))
 
-    asked = good.where(F.pmod("vec_id", F.lit(every)) == 0).distinct()
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     asked = pin(asked.join(distinct.select("embedding", "key"), "embedding"), "neighbours")
     queries = asked.select("key", "embedding").dropDuplicates(["key"])
     at_leaf = (distinct.mapInArrow(partial(_put, shared=shared, parts=parts), _MEET_DDL)
@@ -312,12 +317,16 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "v
     ranked = (at_leaf.repartition(slots(spark), "leaf", "part").sortWithinPartitions("leaf", "part", "is_vector")
               .mapInArrow(partial(_rank, k=k + 1), "q long, v long, score double, ids array<bigint>"))
     order = (F.desc("score"), "vec_id")
-    found = (ranked.dropDuplicates(["q", "v"]).select("q", "score", F.explode("ids").alias("vec_id"))
+    found = (ranked.dropDuplicates(["q", "v"]).select("q", "v", "score", F.explode("ids").alias("vec_id"))
              .withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(*order))).where(F.col("n") <= k + 1))
-    each = (asked.select(F.col("vec_id").alias("query_id"), F.col("key").alias("q")).join(found, "q")
-            .where("vec_id != query_id")
-            .withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k))
-    return each.select("query_id", "rank", "vec_id", "score")
+    # a query is one row: of the rows with its id and vector one is left out
+    each = (asked.select(F.col("vec_id").alias("query_id"), F.col("key").alias("q"), "times").join(found, "q")
+            .withColumn("same", (F.col("v") == F.col("q")) & (F.col("vec_id") == F.col("query_id")))
+            .withColumn("nth", F.row_number().over(W.partitionBy("query_id", "q", "same").orderBy("n")))
+            .where(~(F.col("same") & (F.col("nth") == 1)))
+            .withColumn("rank", F.row_number().over(W.partitionBy("query_id", "q").orderBy("n"))).where(F.col("rank") <= k))
+    return (each.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+            .select("query_id", "rank", "vec_id", "score"))
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
