@@ -16,8 +16,8 @@ Sizes are words; a null text has none. A null source is a source of its own,
 the last in order. A source without words has target 0. Documents without
 words take no part in the balance and get the rounded rate. Equal rows are
 told apart by nothing, so which of them is copied does not show. An empty
-table gives an empty one. Other columns are kept, whatever their names,
-except the output columns' own, which are replaced.
+table gives an empty one. Other columns are kept, whatever their names;
+``copies`` replaces those named like its output, ``mixed`` keeps all.
 """
 
 from __future__ import annotations
@@ -89,6 +89,8 @@ def balance(sizes: DataFrame, targets: DataFrame, max_steps: int = MAX_STEPS) ->
         worst = state.agg(F.max("off")).first()[0]
         if worst is None or worst <= TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"balance: targets missed by {worst} after {max_steps} steps")
     # rates to twelve digits, so that the last step does not show
     rate = F.floor(F.exp("multiplier") * 1e12 + 0.5) / 1e12
     return state.withColumn("rate", F.when(F.col("target") > 0, rate).otherwise(F.lit(0.0)))
@@ -111,18 +113,17 @@ def carried(cells: pd.DataFrame) -> pd.DataFrame:
     return cells.assign(extra=extra)[["key", "size", "extra"]]
 
 
-def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-           weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target``, ``rate`` and
-    ``copies``, the number of times the mix takes each document.
+def _taken(docs: DataFrame, doc_id: str, text: str, source: str, weights: tuple[float, ...], share: float,
+           most: float) -> DataFrame:
+    """Each row of ``docs`` as the struct ``row``, with ``size``,
+    ``source_size``, ``target``, ``rate`` and ``copies``.
 
     Which documents of one source and size are copied once more goes by the
     digest of their ids. They are counted off in 256 groups by digest, so
     that a size which a third of all rows share is not in one task."""
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "rate", "copies")]
     key = F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source).cast("string")))
     slice_ = F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, 2)
-    sized = docs.select(F.struct(*kept).alias("row"), key.alias("key"), F.col(source).cast("string").alias("source"),
+    sized = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), F.col(source).cast("string").alias("source"),
                         word_count(text).alias("size"), slice_.alias("slice"),
                         F.col(doc_id).alias("id"))
     slices = pin(sized.groupBy("key", "source", "size", "slice").agg(F.count(F.lit(1)).alias("n")), "mixing")
@@ -138,15 +139,24 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     return (sized.drop("source").withColumn("place", place).join(due, ["key", "size", "slice"])
             .withColumn("copies", (F.floor("rate") + F.when(F.col("before") + F.col("place") <= F.col("extra"), 1)
                                    .otherwise(0)).cast("int"))
-            .select("row.*", "size", "source_size", "target", "rate", "copies"))
+            .select("row", "size", "source_size", "target", "rate", "copies"))
+
+
+def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+           weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """``docs`` with ``size``, ``source_size``, ``target``, ``rate`` and
+    ``copies``, the number of times the mix takes each document."""
+    own = ("size", "source_size", "target", "rate", "copies")
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in own]
+    return _taken(docs, doc_id, text, source, weights, share, most).select(*kept, *own)
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+          weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The mix itself: each document as often as ``copies`` says, with the
-    columns of ``docs``."""
-    names = docs.columns
-    return (copies(docs, **how).where("copies > 0")
-            .withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names))
+    columns of ``docs`` and their values."""
+    return (_taken(docs, doc_id, text, source, weights, share, most).where("copies > 0")
+            .select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth")).select("row.*"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
