@@ -1,23 +1,35 @@
 """Operator 5: removal of near-equal lines by SimHash.
 
 Lines are normalised (lower case, ASCII punctuation as white space, digits as
-0, white space collapsed). Two lines are linked if the SimHashes of their
-adjacent word pairs differ in at most DIFFER of 64 bits and their normalised
-texts have an edit similarity (1 - distance / longer length) of SIMILAR or
-more. Of each connected group the first occurrence (smallest doc_id, then
-line) stays and all others go.
+0, white space collapsed). Two lines are linked if their normalised texts have
+an edit similarity (1 - distance / longer length) of SIMILAR or more and they
+meet under a key. Of each connected group the first occurrence (smallest
+doc_id, then line) stays and all others go.
+
+A line has two fingerprints of BLOCKS blocks, each block the SimHash of some of
+its words: in the first those of one stretch of the line (its quarters), in
+the second those of one group by the words' hashes. A changed word changes one
+block of the first and at most two of the second, an added or missing one
+changes one block of the second. So of lines that differ by that little,
+two blocks agree by the pigeonhole principle: they meet under each choice of two
+blocks (of three, in lines of fewer than SHORT words, where two blocks hold
+next to nothing). Found for certain are lines that differ by one word
+changed, added or missing, and, from SHORT words on, by two words changed or two
+added; of those that differ by more, some. Every pair that meets is verified
+by its edit similarity on the whole lines.
+
+The fingerprint of a whole line does not serve: one letter changed in a line of
+ten words turns 13 of 64 bits of it, and blocks of so many bits are too short
+to tell lines apart.
 
 Equal normalised lines are counted first, so that a line that a third of all
-documents hold is one row from there on. Of BLOCKS blocks of the SimHash at
-least BLOCKS - DIFFER agree, by the pigeonhole principle; lines meet under
-each choice of that many blocks, 32 bits, so that unlike lines hardly ever do.
-Entries whose blocks no other line has are dropped by a filter before they are
-written. Within a bucket lines are paired as
-``linking.link_buckets`` says, the most frequent first, and every pair is
-verified on the whole lines.
+documents hold is one row from there on. Entries whose key no other line has are
+dropped by a filter before they are written. Within a bucket lines are paired as
+``linking.link_buckets`` says, the most frequent first.
 
 Lines without a letter or digit, empty ones among them, always stay; so a null
-or empty text has one empty line and is left as it is. Null ids sort first.
+or empty text has one empty line and is left as it is. Lines of one word are
+linked with equal ones only. Null ids sort first.
 Rows with equal ids are rows of their own, in the order of the table: every
 row has a number, written once with its text. Texts and lines may be of any length. An empty table gives an
 empty one. Other columns of the input are ignored, whatever their names.
@@ -42,7 +54,9 @@ from .common import bloom, fresh, packed, passes, slots, table, text_or_empty, u
 from .linking import link_buckets
 from .shingles import KNOWN
 
-BITS, DIFFER, BLOCKS = 64, 3, 6
+BLOCKS, BITS = 4, 16
+#: words of a line from which on two blocks make a key, and that a key must hold
+SHORT, HELD = 8, {2: 3, 3: 2}
 SIMILAR = 0.85
 #: texts are hashed in groups of about this many bytes
 GROUP = 1 << 19
@@ -58,38 +72,50 @@ def normal_lines(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split(b"\n")
 
 
-def simhashes(words: list[list[bytes]]) -> np.ndarray:
-    """The SimHash of each list of words: a bit is set if it is in more than
-    half of the hashes of adjacent pairs (of the word, if there is one)."""
-    count = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.fromiter(map(KNOWN.__getitem__, chain.from_iterable(words)), np.uint64, int(count.sum()))
-    line = np.repeat(np.arange(len(words)), count)
-    pair = flat ^ flat >> np.uint64(29)
-    pair *= np.uint64(0xBF58476D1CE4E5B9)
-    last = np.cumsum(count) - 1
-    after = np.append(flat[1:], np.uint64(0))
-    after[last] = 0
-    pair += after
-    pair ^= pair >> np.uint64(32)
-    pair *= np.uint64(0x94D049BB133111EB)
-    pair ^= pair >> np.uint64(29)
-    keep = np.ones(len(flat), bool)
-    keep[last[count > 1]] = False
-    pair, line = pair[keep], line[keep]
-    n = np.bincount(line, minlength=len(words))
-    # up to 255 ones are added in a byte; longer lines come in several parts
-    place = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
-    part = np.flatnonzero((np.diff(line, prepend=-1) != 0) | (place % 255 == 0))
-    sums = np.add.reduceat(_SPREAD[pair.view(np.uint8).reshape(-1, 8)], part, axis=0).view(np.uint8).astype(np.int32)
-    own = line[part]
+def simhashes(features: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
+    """The SimHash of each of ``n`` blocks, 0 if it is empty: a bit is set if
+    it is in more than half of the block's hashes. Blocks come in order."""
+    out = np.zeros(n, np.uint16)
+    if not len(features):
+        return out
+    count = np.bincount(block, minlength=n)
+    # up to 255 ones are added in a byte; larger blocks come in several parts
+    place = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
+    part = np.flatnonzero((np.diff(block, prepend=-1) != 0) | (place % 255 == 0))
+    sums = np.add.reduceat(_SPREAD[features.view(np.uint8).reshape(-1, 8)[:, :BITS // 8]], part, axis=0).view(np.uint8).astype(np.int32)
+    own = block[part]
     first = np.flatnonzero(np.diff(own, prepend=-1) != 0)
     ones = np.add.reduceat(sums, first, axis=0)
-    return np.packbits(2 * ones > n[own[first]][:, None], axis=1, bitorder="little").view("<u8").ravel()
+    out[own[first]] = np.packbits(2 * ones > count[own[first]][:, None], axis=1, bitorder="little").view("<u2").ravel()
+    return out
+
+
+def quarters(n: np.ndarray) -> np.ndarray:
+    """How many words each stretch of a line of ``n`` words has."""
+    ends = -(-np.arange(BLOCKS + 1) * n[:, None] // BLOCKS)
+    return np.diff(ends, axis=1)
+
+
+def fingerprints(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each list of words its blocks by place and by hash, 16 bits each
+    in one number, how many words it has, and how many each block by hash has
+    (8 bits each, at most 255)."""
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.fromiter(map(KNOWN.__getitem__, chain.from_iterable(words)), np.uint64, int(n.sum()))
+    line = np.repeat(np.arange(len(words)), n)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    near = simhashes(flat, line * BLOCKS + place * BLOCKS // n[line], len(words) * BLOCKS)
+    group = line * BLOCKS + (flat >> np.uint64(61)).astype(np.int64) % BLOCKS
+    order = np.argsort(group, kind="stable")
+    bag = simhashes(flat[order], group[order], len(words) * BLOCKS)
+    held = np.minimum(np.bincount(group, minlength=len(words) * BLOCKS), 255).astype(np.uint8)
+    return near.view("<u8"), bag.view("<u8"), n, held.view("<u4")
 
 
 _LINES = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("line", pa.int32()), ("h1", pa.int64()),
-                    ("h2", pa.int64()), ("sim", pa.int64()), ("length", pa.int32())])
-_LINES_DDL = "doc_id long, rid long, line int, h1 long, h2 long, sim long, length int"
+                    ("h2", pa.int64()), ("near", pa.int64()), ("bag", pa.int64()), ("words", pa.int32()), ("held", pa.int32()),
+                    ("length", pa.int32())])
+_LINES_DDL = "doc_id long, rid long, line int, h1 long, h2 long, near long, bag long, words int, held int, length int"
 
 
 def _find_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,9 +125,11 @@ def _find_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [b" ".join(w) for w in words]
         names = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), "<i8").reshape(-1, 2)
         take = pa.array(at, pa.int64())
+        near, bag, n, held = fingerprints(words)
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id").take(take), batch.column("rid").take(take), pa.array(line, pa.int32()),
-             pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array(simhashes(words).view(np.int64)),
+             pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array(near.view(np.int64)), pa.array(bag.view(np.int64)),
+             pa.array(n.astype(np.int32)), pa.array(held.view(np.int32)),
              pa.array([len(t) if t.isascii() else len(t.decode("utf-8", "replace")) for t in texts], pa.int32())], schema=_LINES)
 
     for batch in batches:
@@ -121,35 +149,51 @@ def _find_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield flush(batch, at, line, words)
 
 
-def block_masks() -> list[int]:
-    """One mask for each choice of blocks that must agree."""
-    cuts = [round(BITS * k / BLOCKS) for k in range(BLOCKS + 1)]
-    block = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [sum(block[k] for k in c) for c in combinations(range(BLOCKS), BLOCKS - DIFFER)]
+def keys_of(near: np.ndarray, bag: np.ndarray, words: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of some lines and whose they are. A key names the blocks it
+    is of and how many words they hold, those by place the line's number of
+    words too. Keys of blocks that hold few words are left out."""
+    key, whose = [], []
+    stretch = quarters(words)
+    group = held.view(np.uint8).reshape(-1, BLOCKS).astype(np.int64)
+    salt = 0
+    for k in (2, 3):
+        of_length = words < SHORT if k == 3 else words >= SHORT
+        # a word more or less may change how many blocks a key has
+        either = words <= SHORT if k == 3 else words >= SHORT
+        for choice in combinations(range(BLOCKS), k):
+            mask = np.uint64(sum(0xFFFF << BITS * c for c in choice))
+            for blocks, sizes, fits, extra in ((near, stretch, of_length, words), (bag, group, either, None)):
+                salt += 1
+                in_key = sizes[:, choice]
+                total = in_key.sum(axis=1)
+                at = np.flatnonzero(fits & (total >= HELD[k]) & ((total < words) | (extra is None)))
+                own = blocks[at] & mask
+                for x in (np.full(len(at), salt), *in_key[at].T) if extra is None else (np.full(len(at), salt), extra[at]):
+                    own = (own ^ own >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + x.astype(np.uint64)
+                own = (own ^ own >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+                key.append(own ^ own >> np.uint64(32))
+                whose.append(at)
+    return np.concatenate(key), np.concatenate(whose)
 
 
 def _find_buckets(batches: Iterator[pa.RecordBatch], seen=None) -> Iterator[pa.RecordBatch]:
-    masks = np.array(block_masks(), np.uint64)
-    names = ["c", "sim", "length", "weight"]
+    names = ["c", "length", "weight"]
     for batch in batches:
-        sim = batch.column("sim").to_numpy().view(np.uint64)
-        key = (sim[:, None] & masks) ^ np.arange(1, len(masks) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        for times in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9):
-            key ^= key >> np.uint64(31)
-            key *= np.uint64(times)
-        key = (key ^ key >> np.uint64(29)).ravel()
+        near, bag, words, held = (batch.column(c).to_numpy() for c in ("near", "bag", "words", "held"))
+        key, whose = keys_of(near.view(np.uint64), bag.view(np.uint64), words.astype(np.int64), np.ascontiguousarray(held))
         if seen is None:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["bucket"])
         else:
             keep = np.flatnonzero(passes(seen.value, key))
-            take = pa.array(keep // len(masks))
+            take = pa.array(whose[keep])
             yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), *(batch.column(c).take(take) for c in names)],
                                              names=["bucket", *names])
 
 
 def _comparable(a: Column, b: Column) -> Column:
     shorter, longer = F.least(a["length"], b["length"]), F.greatest(a["length"], b["length"])
-    return (F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= DIFFER) & (shorter >= F.lit(SIMILAR) * longer)
+    return shorter >= F.lit(SIMILAR) * longer
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -231,16 +275,16 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     lines that go."""
     lines = pin(rows.mapInArrow(_find_lines, _LINES_DDL), "lines")
     distinct = pin(lines.groupBy("h1", "h2").agg(
-        F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "rid", "line")).alias("one"), F.first("sim").alias("sim"),
-        F.first("length").alias("length")).withColumn("c", F.monotonically_increasing_id()), "lines")
+        F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "rid", "line")).alias("one"),
+        F.first(F.struct("near", "bag", "words", "held", "length")).alias("own")).select("h1", "h2", "weight", "one", "own.*").withColumn("c", F.monotonically_increasing_id()), "lines")
     # each line becomes a row for each choice of blocks: dealt out first, so that no task holds many times its input
-    about = distinct.select("c", "sim", "length", "weight").repartition(slots(rows.sparkSession))
+    about = distinct.select("c", "near", "bag", "words", "held", "length", "weight").repartition(slots(rows.sparkSession))
     met = pin(about.mapInArrow(_find_buckets, "bucket long").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
               .where("n > 1").select("bucket"), "lines")
     buckets = pin(about.mapInArrow(partial(_find_buckets, seen=bloom(met, "bucket")),
-                                   "bucket long, c long, sim long, length int, weight long")
+                                   "bucket long, c long, length int, weight long")
                   .join(met, "bucket", "left_semi")
-                  .select("bucket", "c", F.struct("sim", "length").alias("about"), "weight"), "lines")
+                  .select("bucket", "c", F.struct("length").alias("about"), "weight"), "lines")
     # the texts of all lines that share a bucket, fetched once for all rounds
     wanted = (buckets.select("c").distinct().join(distinct.select("c", "one.rid", "one.line"), "c").groupBy("rid")
               .agg(F.collect_list(F.struct("c", "line")).alias("wanted")))

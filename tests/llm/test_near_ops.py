@@ -200,10 +200,9 @@ def test_lines_match_brute_force(spark):
             if line.split():
                 norm.setdefault(b" ".join(line.split()).decode(), []).append((d, k))
     names = list(norm)
-    sims = dict(zip(names, line_dedup.simhashes([n.encode().split() for n in names]).tolist(), strict=True))
     links = [(a, b) for a, b in itertools.combinations(names, 2)
-             if bin(sims[a] ^ sims[b]).count("1") <= line_dedup.DIFFER
-             and distance(a, b) <= (1 - line_dedup.SIMILAR) * max(len(a), len(b)) + 1e-9]
+             if abs(len(a) - len(b)) <= (1 - line_dedup.SIMILAR) * max(len(a), len(b)) + 1e-9
+             and line_dedup.edit_distance(a, b) <= (1 - line_dedup.SIMILAR) * max(len(a), len(b)) + 1e-9]
     kept = defaultdict(list)
     for n, g in groups(names, links).items():
         kept[g] += norm[n]
@@ -216,6 +215,60 @@ def test_lines_match_brute_force(spark):
     assert again == want
 
 
+def change(words, how, r):
+    """One letter changed, a word added or left out, or two words changed."""
+    words = list(words)
+    k = r.randrange(len(words))
+    if how == "letter":
+        i = r.randrange(len(words[k]))
+        words[k] = words[k][:i] + r.choice([c for c in "qzjxv" if c != words[k][i]]) + words[k][i + 1:]
+    elif how == "added":
+        words.insert(k, "new")
+    elif how == "left out":
+        del words[k]
+    else:
+        for k in r.sample(range(len(words)), 2):
+            words[k] += r.choice("qzjxv")
+    return words
+
+
+@pytest.mark.parametrize(("how", "least"), [("letter", 0.99), ("added", 0.9), ("left out", 0.9), ("two letters", 0.9)])
+def test_near_equal_lines_are_found(spark, how, least):
+    """By edit similarity alone, whatever the fingerprints say."""
+    r = random.Random(how)
+    pool = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(2, 9))) for _ in range(4000)]
+    lengths = [8, 10, 20, 40, 80, 200] if how == "two letters" else [6, 10, 20, 40, 80, 200]
+    rows, want = [], {n: set() for n in lengths}
+    for n in lengths:
+        for _ in range(100):
+            words = [r.choice(pool) for _ in range(n)]
+            other = change(words, how, r)
+            d = len(rows)
+            rows += [(d, " ".join(words)), (d + 1, " ".join(other))]
+            a, b = rows[-2][1], rows[-1][1]
+            if line_dedup.edit_distance(a, b) <= (1 - line_dedup.SIMILAR) * max(len(a), len(b)):
+                want[n].add(d + 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {x.doc_id for x in line_dedup.dedup_lines(docs).where("n_removed = 1").collect()}
+    assert gone <= set().union(*want.values())
+    recall = {n: len(gone & w) / len(w) for n, w in want.items()}
+    assert all(len(w) >= 40 for w in want.values()) and min(recall.values()) >= least, recall
+
+
+def test_blocks_of_short_lines_and_repeated_words():
+    lines = [b"a", b"a b", b"a b c", b"a a a a", b"a b c d e f g", b"x " * 600, b"a b c d e f g h i j k"]
+    words = [x.split() for x in lines]
+    near, bag, n, held = line_dedup.fingerprints(words)
+    assert n.tolist() == [len(w) for w in words]
+    for row, w in zip(line_dedup.quarters(n), words, strict=True):
+        assert row.tolist() == [sum(i * 4 // len(w) == g for i in range(len(w))) for g in range(4)]
+    key, whose = line_dedup.keys_of(near, bag, n, held)
+    own = [set(key[whose == k].tolist()) for k in range(len(lines))]
+    assert sum(map(len, own)) == len(key) and not own[0] and own[1] & own[2] and not own[4] & own[6]
+    again = line_dedup.fingerprints(words[::-1])
+    assert near.tolist() == again[0].tolist()[::-1] and bag.tolist() == again[1].tolist()[::-1]
+
+
 def test_lines_awkward_and_empty(spark):
     docs = awkward(spark)
     got = line_dedup.without_repeats(docs)
@@ -245,7 +298,7 @@ def test_neighbours_recall_and_rules(spark):
     x = r.normal(size=(3000, 24))
     x[::50] = x[7]  # a common vector
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5020, [0.0] * 24), (5040, [float("nan")] + [1.0] * 23),
-                                                        (5060, [1.0]), (None, x[1].tolist()), (20, x[20].tolist())]
+                                                        (5060, [1.0]), (None, x[1].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = defaultdict(list)
     for q in neighbours.nearest(df).orderBy("query_id", "rank").collect():
@@ -265,6 +318,22 @@ def test_neighbours_recall_and_rules(spark):
     assert neighbours.nearest(df.where("false")).count() == 0
 
 
+def test_rows_with_one_id_are_queries_and_candidates_of_their_own(spark):
+    """Repeated rows, and one id with two vectors."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(60, 6)).round(3)
+    rows = [(k // 3 * 10, v.tolist()) for k, v in enumerate(x)] + [(20, x[6].tolist()), (20, x[6].tolist()), (35, x[6].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = []
+    for q, (i, v) in enumerate(rows):
+        if i % 20 == 0:
+            scores = [(-float(np.cumsum(np.array(v) * np.array(u))[-1]), j) for c, (j, u) in enumerate(rows) if c != q]
+            want += [(i, k, j, round(-z, 9)) for k, (z, j) in enumerate(sorted(scores)[:7], 1)]
+    got = [(g.query_id, g.rank, g.vec_id, round(g.score, 9)) for g in neighbours.nearest(df, k=7).collect()]
+    assert sorted(got) == sorted(want)
+    assert neighbours.nearest(spark.createDataFrame([(0, [1.0])] * 5, "vec_id long, embedding array<double>"), k=3).count() == 15
+
+
 def plain_targets(sizes, weights, share=1.5, most=2.0):
     total, out, rest = share * sum(sizes), {}, set(range(len(sizes)))
     while True:
@@ -302,6 +371,11 @@ def test_mixing_meets_targets(spark):
 def test_mixing_awkward(spark, make):
     docs = make(spark)
     assert mixing.copies(docs).count() == docs.count()
+    # own columns named like the operator's keep their values
+    left = mixing.mixed(docs)
+    assert left.columns == docs.columns
+    own = lambda rows: {(r.doc_id, r.text, r.size, r.rate, r.row) for r in rows}
+    assert own(left.collect()) <= own(docs.collect())
 
 
 def test_shingles_of_short_texts():
