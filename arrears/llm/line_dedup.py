@@ -72,17 +72,18 @@ def normal_lines(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split(b"\n")
 
 
-def simhashes(features: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
+def simhashes(spread: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
     """The SimHash of each of ``n`` blocks, 0 if it is empty: a bit is set if
-    it is in more than half of the block's hashes. Blocks come in order."""
+    it is in more than half of the block's hashes, whose bits are ``spread``
+    over bytes. Blocks come in order."""
     out = np.zeros(n, np.uint16)
-    if not len(features):
+    if not len(block):
         return out
     count = np.bincount(block, minlength=n)
     # up to 255 ones are added in a byte; larger blocks come in several parts
     place = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
     part = np.flatnonzero((np.diff(block, prepend=-1) != 0) | (place % 255 == 0))
-    sums = np.add.reduceat(_SPREAD[features.view(np.uint8).reshape(-1, 8)[:, :BITS // 8]], part, axis=0).view(np.uint8).astype(np.int32)
+    sums = np.add.reduceat(spread, part, axis=0).view(np.uint8).astype(np.int32)
     own = block[part]
     first = np.flatnonzero(np.diff(own, prepend=-1) != 0)
     ones = np.add.reduceat(sums, first, axis=0)
@@ -104,12 +105,15 @@ def fingerprints(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.n
     flat = np.fromiter(map(KNOWN.__getitem__, chain.from_iterable(words)), np.uint64, int(n.sum()))
     line = np.repeat(np.arange(len(words)), n)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-    near = simhashes(flat, line * BLOCKS + place * BLOCKS // n[line], len(words) * BLOCKS)
-    group = line * BLOCKS + (flat >> np.uint64(61)).astype(np.int64) % BLOCKS
-    order = np.argsort(group, kind="stable")
-    bag = simhashes(flat[order], group[order], len(words) * BLOCKS)
-    held = np.minimum(np.bincount(group, minlength=len(words) * BLOCKS), 255).astype(np.uint8)
-    return near.view("<u8"), bag.view("<u8"), n, held.view("<u4")
+    spread = _SPREAD[flat.view(np.uint8).reshape(-1, 8)[:, :BITS // 8]]
+    near = simhashes(spread, line * BLOCKS + place * BLOCKS // n[line], len(words) * BLOCKS)
+    group = flat >> np.uint64(62)
+    bag, held = np.zeros((len(words), BLOCKS), np.uint16), np.zeros((len(words), BLOCKS), np.uint8)
+    for g in range(BLOCKS):
+        own = np.flatnonzero(group == g)
+        bag[:, g] = simhashes(spread[own], line[own], len(words))
+        held[:, g] = np.minimum(np.bincount(line[own], minlength=len(words)), 255)
+    return near.view("<u8"), bag.view("<u8").ravel(), n, held.view("<u4").ravel()
 
 
 _LINES = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("line", pa.int32()), ("h1", pa.int64()),
