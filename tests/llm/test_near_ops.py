@@ -287,7 +287,8 @@ def test_repeated_rows_are_rows_of_their_own(spark):
     assert cut == sorted([(1, a), (1, ""), (0, b), (0, ""), (2, ""), (2, c), (3, d)])
     assert sum(r.n_removed for r in line_dedup.dedup_lines(docs).collect()) == 3
     near = near_dups.near_duplicates(docs).collect()
-    assert len(near) == 7 and sorted((r.doc_id or 0) for r in near if r.kept) == [0, 1, 2, 3]
+    assert len(near) == 7 and sorted((r.doc_id or 0) for r in near if r.stays) == [0, 1, 2, 3]
+    assert all(r.kept == (r.doc_id == r.component_id) for r in near)
     left = corpus_pipeline.documents_once(spark, docs, "")
     assert left.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(1, a), (0, b), (2, c), (3, d)])
