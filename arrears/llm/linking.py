@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from arrears.session import pin
 
-from .common import components
+from .common import components, slots
 
-#: pairs across components are formed at once if they are at most this many
+#: pairs across components are compared at once if they are at most this many
 #: times the bucket entries they come from
 CROSS = 20
-#: members of a bucket that are paired with the rest in the first round; twice
-#: as many after each round that did not halve what is left across components
-HUBS = 4
+#: members of a bucket that are compared with as many others in one group
+BLOCK = 500
+#: members of a bucket that are paired with the rest in the first round; GROW
+#: times as many in each later one
+HUBS, GROW = 4, 4
+#: a later round of which at most one in this many pairs is a link is the last of its kind
+FEW = 10
 
 
 def link_buckets(buckets: DataFrame, comparable: Callable[[Column, Column], Column],
@@ -32,13 +36,16 @@ def link_buckets(buckets: DataFrame, comparable: Callable[[Column, Column], Colu
     their bucket in other components. Such a hub has then met all it shares the
     bucket with and leaves it, so every round makes every open bucket smaller.
     Once what is left across components is not much more than the entries it
-    comes from, all of it is paired. A large group costs HUBS rows a member and
-    round, K members of which none are linked take a number of rounds that
-    grows with the logarithm of K, no bucket is capped, and no pair that could
-    join two components goes untested.
+    comes from, or a later round found next to no links, all of it is paired:
+    more rounds would test the same pairs a few at a time. In each bucket those
+    outside its largest component meet all others; both sides of a large
+    bucket are cut into blocks of about BLOCK, which go to tasks of their own.
+    A large group costs a few rows a member and round, the number of rounds
+    grows with the logarithm of its size, no bucket is capped, and no pair that
+    could join two components goes untested.
     """
     links = tested = found = None
-    rest, hubs, before = buckets, HUBS, None
+    rest, hubs, fruitless = buckets, HUBS, False
     while True:
         if links is None:  # every member is a component of its own
             open_ = rest.withColumn("comp", F.col("c"))
@@ -49,32 +56,56 @@ def link_buckets(buckets: DataFrame, comparable: Callable[[Column, Column], Colu
             open_ = (rest.join(found.withColumnRenamed("id", "c"), "c", "left")
                      .withColumn("comp", F.coalesce("component", "c")).drop("component"))
             left = pin(open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket")
-                       .agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"))
+                       .agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"), F.max("k").alias("most"),
+                            F.max_by("comp", F.struct("k", "comp")).alias("main"))
                        .withColumn("across", (F.col("k") * F.col("k") - F.col("k2")) / 2).where("across > 0"), "linking")
         size = left.agg(F.coalesce(F.sum("across"), F.lit(0.0)).alias("across"),
                         F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
         if size.k == 0:
             return found
+        last = links is not None and (size.across <= CROSS * size.k or fruitless)
         if links is not None:
-            open_ = pin(open_.join(left.select("bucket"), "bucket"), "linking")
-        last = links is not None and size.across <= CROSS * size.k
+            open_ = pin(open_.join(left.select("bucket", "k", "most", "main"), "bucket"), "linking")
         if last:
-            other = open_.select("bucket", F.col("c").alias("d"), F.col("about").alias("about2"), F.col("comp").alias("comp2"))
-            across = F.col("comp") < F.col("comp2")
+            pairs = _across(open_, comparable)
         else:
-            if before is not None and 2 * size.across > before:
-                hubs *= 2
-            before = size.across
             other = pin(open_.groupBy("bucket", F.pmod(F.xxhash64("c"), F.lit(hubs)))
                         .agg(F.max_by(F.struct("c", "about", "comp"), F.struct("weight", -F.col("c"))).alias("hub"))
                         .select("bucket", "hub.*").toDF("bucket", "d", "about2", "comp2"), "linking")
-            rest = open_.drop("comp").join(other.select("bucket", F.col("d").alias("c")), ["bucket", "c"], "left_anti")
-            across = F.col("comp") != F.col("comp2")
-        pairs = (open_.join(other, "bucket").where(across & comparable(F.col("about"), F.col("about2")))
-                 .select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct())
+            rest = open_.select("bucket", "c", "about", "weight").join(other.select("bucket", F.col("d").alias("c")), ["bucket", "c"], "left_anti")
+            pairs = (open_.join(other, "bucket").where((F.col("comp") != F.col("comp2")) & comparable(F.col("about"), F.col("about2")))
+                     .select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")))
+        pairs = pairs.distinct()
         pairs = pin(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "linking")
         tested = pairs if tested is None else tested.unionAll(pairs)
         new = pin(verified(pairs), "linking")
         links = new if links is None else links.unionAll(new)
         if last:
             return pin(components(links), "linking")
+        fruitless = hubs > HUBS and FEW * new.count() <= pairs.count()
+        hubs *= GROW
+
+
+def _across(members: DataFrame, comparable: Callable[[Column, Column], Column]) -> DataFrame:
+    """All comparable pairs ``(a, b)`` across components of one bucket, of
+    ``members(bucket, c, about, comp, k, most, main)``: those outside the
+    bucket's largest component (``k - most`` of ``k``) meet the rest."""
+    def cut(n):
+        return F.ceil(n / F.lit(BLOCK)).cast("int")
+
+    def block(n):
+        return F.pmod(F.xxhash64("c"), cut(n)).cast("int")
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), cut(n) - 1))
+    few = F.col("k") - F.col("most")
+    one = members.select("bucket", "c", "about", "comp", "main", block(F.col("k")).alias("i"), every(few).alias("j"))
+    two = (members.where("comp != main")
+           .select("bucket", F.col("c").alias("d"), F.col("about").alias("about2"), F.col("comp").alias("comp2"),
+                   block(few).alias("j"), every(F.col("k")).alias("i")))
+    once = (F.col("comp") == F.col("main")) | (F.col("c") < F.col("d"))
+    # dealt to all tasks: few rows make many comparisons
+    parts = slots(members.sparkSession)
+    return (one.repartition(parts, "bucket", "i", "j").join(two, ["bucket", "i", "j"])
+            .where((F.col("comp") != F.col("comp2")) & once & comparable(F.col("about"), F.col("about2")))
+            .select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")))

@@ -151,17 +151,19 @@ def _comparable(a: Column, b: Column) -> Column:
     equal table key, and whether the bitmaps allow the similarity. The sets
     share at most what either has without the bits that the other lacks."""
     def most(x, y):
-        lacks = [F.bit_count(x["sketch"][k].bitwiseAND(F.bitwise_not(y["sketch"][k]))) for k in range(SKETCH)]
-        return x["n"] - sum(lacks[1:], lacks[0])
+        lacks = F.zip_with(x["sketch"], y["sketch"], lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return x["n"] - F.aggregate(lacks, F.lit(0), lambda done, bits: done + bits)
     needed = F.lit(SIMILAR) * (a["n"] + b["n"])
-    return ((F.lit(100 + SIMILAR) * most(a, b) >= needed) & (F.lit(100 + SIMILAR) * most(b, a) >= needed)
+    return ((F.lit(100) * F.least(a["n"], b["n"]) >= F.lit(SIMILAR) * F.greatest(a["n"], b["n"]))
+            & (F.lit(100 + SIMILAR) * most(a, b) >= needed) & (F.lit(100 + SIMILAR) * most(b, a) >= needed)
             & F.arrays_overlap(a["right"], b["right"]))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets are similar enough."""
-    one = sets.select(F.col("c").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("c").alias("b"), F.col("shingles").alias("y"))
+    # only the sets that are asked for are shuffled
+    one, two = (sets.join(pairs.select(F.col(side).alias("c")).distinct(), "c", "left_semi")
+                .select(F.col("c").alias(side), F.col("shingles").alias(out)) for side, out in (("a", "x"), ("b", "y")))
     both = F.size(F.array_intersect("x", "y"))
     return (pairs.join(one, "a").join(two, "b").withColumn("both", both)
             .where(F.lit(100) * F.col("both") >= F.lit(SIMILAR) * (F.size("x") + F.size("y") - F.col("both")))

@@ -139,6 +139,23 @@ def test_linking_ends_when_a_bucket_stays_apart(spark, n, families):
     assert sum(asked) == n * (n - 1) // 2 if families == n else sum(asked) >= (n // 2) ** 2
 
 
+@pytest.mark.parametrize("block", [500, 7])
+def test_linking_of_one_component_and_outsiders(spark, monkeypatch, block):
+    """Outsiders that share the bucket of a linked group: few rounds, and every
+    outsider is still compared with each member, whatever the blocks."""
+    monkeypatch.setattr(linking, "BLOCK", block, raising=False)
+    n, out = 400, 60
+    buckets = common.pin(spark.createDataFrame([(1, c, c, 1) for c in range(n + out)], "bucket long, c long, about long, weight long"))
+    asked = []
+
+    def verified(pairs):
+        asked.append(pairs.count())
+        return pairs.where(f"b < {n} or a = {n - 7} and b = {n + out - 1}")
+    found = linking.link_buckets(buckets, lambda a, b: a.isNotNull(), verified).collect()
+    assert {r.id: r.component for r in found} == {c: 0 for c in [*range(n), n + out - 1]}
+    assert len(asked) <= 3 and sum(asked) >= n * out + out * (out - 1) // 2
+
+
 @pytest.mark.parametrize("chunk", [common.CHUNK, 20])
 def test_components_of_a_chain_and_a_star(spark, chunk):
     links = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(7, 7)]
