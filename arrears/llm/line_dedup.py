@@ -200,9 +200,10 @@ def _comparable(a: Column, b: Column) -> Column:
     return shorter >= F.lit(SIMILAR) * longer
 
 
-def edit_distance(a: str, b: str) -> int:
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
     """Levenshtein distance. What both begin and end with is set aside; the
-    rest goes through one bit vector for each character of ``b``."""
+    rest goes through one bit vector for each character of ``b``. Once it is
+    certain to exceed ``most``, some number above ``most`` is returned."""
     lo = 0
     top = min(len(a), len(b))
     if a[:top] == b[:top]:
@@ -225,6 +226,8 @@ def edit_distance(a: str, b: str) -> int:
     a, b = a[:len(a) - hi], b[:len(b) - hi]
     if not a or not b:
         return len(a) + len(b)
+    # each character to come lowers the distance by one at most
+    left = len(b) + (len(a) + len(b) if most is None else most)
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
@@ -241,14 +244,60 @@ def edit_distance(a: str, b: str) -> int:
             distance -= 1
         plus = plus << 1 & every | 1
         minus = minus << 1 & every
+        left -= 1
+        if distance > left:
+            return distance - (left - most)
         up = minus | ~((same | down) | plus) & every
         down = plus & (same | down)
     return distance
 
 
+def letters(text: str) -> np.ndarray:
+    """How often each byte value is in a text; of a character of several
+    bytes the first counts."""
+    count = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256)
+    count[128:192] = 0
+    return count
+
+
+def by_words(a: list[str], b: list[str], most: int) -> int:
+    """The cost of one way from words to others, at least the edit distance of
+    the lines: words are replaced, left out or put in as the next ones tell. It
+    stops above ``most``."""
+    cost = i = j = 0
+    n, m = len(a), len(b)
+    while i < n and j < m and cost <= most:
+        if a[i] == b[j]:
+            i += 1
+            j += 1
+        elif a[i + 1:i + 2] == b[j + 1:j + 2]:
+            cost += max(len(a[i]), len(b[j]))
+            i += 1
+            j += 1
+        elif i + 1 < n and a[i + 1] == b[j]:
+            cost += len(a[i]) + 1
+            i += 1
+        elif j + 1 < m and a[i] == b[j + 1]:
+            cost += len(b[j]) + 1
+            j += 1
+        else:
+            cost += max(len(a[i]), len(b[j]))
+            i += 1
+            j += 1
+    return cost + sum(len(x) + 1 for x in chain(a[i:], b[j:]))
+
+
 def similar(a: str, b: str) -> bool:
-    longer = max(len(a), len(b))
-    return edit_distance(a, b) <= (1 - SIMILAR) * longer + 1e-9
+    most = int((1 - SIMILAR) * max(len(a), len(b)) + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    if by_words(a.split(" "), b.split(" "), most) <= most:
+        return True
+    # an edit takes away one letter at most and adds one at most
+    more = letters(a) - letters(b)
+    if max(more[more > 0].sum(), -more[more < 0].sum()) > most:
+        return False
+    return edit_distance(a, b, most) <= most
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,10 +311,11 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         c, text = [], []
         for raw, wanted in zip(unpack(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
-            lines = normal_lines(raw.decode("utf-8", "replace"))
+            lines = raw.split(b"\n")
             for w in wanted:
                 c.append(w["c"])
-                text.append(b" ".join(lines[w["line"]].split()).decode("utf-8", "replace"))
+                own, = normal_lines(lines[w["line"]].decode("utf-8", "replace"))
+                text.append(b" ".join(own.split()).decode("utf-8", "replace"))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(text, pa.string())], names=["c", "text"])
 
 

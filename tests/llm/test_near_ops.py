@@ -198,6 +198,33 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, "".join(b)) == distance(a, "".join(b))
 
 
+def test_similar_lines_are_told_without_a_distance(monkeypatch):
+    """What ``similar`` says is what the distance says; lines that differ by a
+    few words, or by most letters, do not go through it."""
+    r = random.Random(3)
+
+    def changed(words):
+        words = list(words)
+        for _ in range(r.randint(0, 4)):
+            k = r.randrange(len(words))
+            words[k:k + r.randint(0, 1)] = r.choice([["a"], ["bx", "éé"], ["q"], []])
+            words = words or ["q"]
+        return words
+    for _ in range(2000):
+        a = [r.choice(["a", "bb", "é", "ccc", "dd", "xyz"]) for _ in range(r.randint(1, 12))]
+        x, y = " ".join(a), " ".join(changed(a))
+        d, most = distance(x, y), r.randint(0, 8)
+        got = line_dedup.edit_distance(x, y, most)
+        assert got == d if d <= most else got > most
+        assert line_dedup.similar(x, y) == (d <= (1 - line_dedup.SIMILAR) * max(len(x), len(y)) + 1e-9)
+    monkeypatch.setattr(line_dedup, "edit_distance", lambda *_: pytest.fail("a distance was asked for"))
+    words = prose(60, 77).split(" ")
+    for k in (0, 30, 59):
+        for other in ([*words[:k], "new", *words[k:]], words[:k] + words[k + 1:], [*words[:k], "other", *words[k + 1:]]):
+            assert line_dedup.similar(" ".join(words), " ".join(other))
+    assert not line_dedup.similar("a" * 50 + " b", "c" * 50 + " b")
+
+
 def test_lines_match_brute_force(spark):
     r = random.Random(2)
     base = [prose(60, 300 + k) for k in range(6)]
