@@ -52,7 +52,7 @@ from arrears.session import pin
 
 from .common import bloom, fresh, packed, passes, slots, table, text_or_empty, unpack
 from .linking import link_buckets
-from .shingles import KNOWN
+from .word_hashes import word_hashes
 
 BLOCKS, BITS = 4, 16
 #: words of a line from which on two blocks make a key, and that a key must hold
@@ -61,33 +61,55 @@ SIMILAR = 0.85
 #: texts are hashed in groups of about this many bytes
 GROUP = 1 << 19
 
-#: line breaks stay, punctuation becomes white space, digits become 0
-_PLAIN = bytes(10 if b == 10 else 32 if b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 128 else 48 if b < 58 else b for b in range(256))
+#: line breaks stay, punctuation becomes white space, digits become 0, A-Z lower case
+_PLAIN = bytes(10 if b == 10 else 32 if b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 128 else 48 if b < 58
+               else b + 32 if b < 91 else b for b in range(256))
 #: a byte's bits, each in a byte of its own
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def normal_lines(text: str) -> list[bytes]:
-    """The lines of a text, normalised but for the white space between words."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split(b"\n")
+def plain(text: str) -> bytes:
+    """A text normalised but for the white space between words, of which
+    blanks and line breaks are left."""
+    return (text if text.isascii() else text.lower()).encode("utf-8", "surrogatepass").translate(_PLAIN)
 
 
-def simhashes(spread: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
-    """The SimHash of each of ``n`` blocks, 0 if it is empty: a bit is set if
-    it is in more than half of the block's hashes, whose bits are ``spread``
-    over bytes. Blocks come in order."""
-    out = np.zeros(n, np.uint16)
-    if not len(block):
+def normal_lines(text: str) -> list[bytes]:
+    """The lines of a text, normalised but for the white space between words."""
+    return plain(text).split(b"\n")
+
+
+def words_of(whole: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Plain lines, a line break before and after each: all their words, each
+    with one byte after it, where each begins and ends there, and how many
+    each line has."""
+    raw = np.frombuffer(whole, np.uint8)
+    gap = raw < 48
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    begin, end = edge[::2], edge[1::2]
+    n = np.diff(np.searchsorted(begin, np.flatnonzero(raw == 10)))
+    keep = ~gap
+    keep[end] = True
+    after = np.cumsum(end - begin + 1)
+    return raw[keep].tobytes(), after - (end - begin + 1), after - 1, n
+
+
+def simhashes(spread: list[np.ndarray], size: np.ndarray) -> np.ndarray:
+    """The SimHash of blocks of ``size`` words, one after the other, 0 if one
+    is empty: a bit is set if it is in more than half of the block's hashes,
+    whose bits are ``spread`` over bytes, eight in a number."""
+    out = np.zeros(len(size), np.uint16)
+    full = np.flatnonzero(size)
+    if not len(full):
         return out
-    count = np.bincount(block, minlength=n)
+    count = size[full]
     # up to 255 ones are added in a byte; larger blocks come in several parts
-    place = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
-    part = np.flatnonzero((np.diff(block, prepend=-1) != 0) | (place % 255 == 0))
-    sums = np.add.reduceat(spread, part, axis=0).view(np.uint8).astype(np.int32)
-    own = block[part]
-    first = np.flatnonzero(np.diff(own, prepend=-1) != 0)
-    ones = np.add.reduceat(sums, first, axis=0)
-    out[own[first]] = np.packbits(2 * ones > count[own[first]][:, None], axis=1, bitorder="little").view("<u2").ravel()
+    parts = -(-count // 255)
+    first = np.cumsum(parts) - parts
+    begin = np.repeat(np.cumsum(count) - count - 255 * first, parts) + 255 * np.arange(parts.sum())
+    ones = np.concatenate([np.add.reduceat(x, begin).view(np.uint8).reshape(-1, 8) for x in spread], axis=1)
+    ones = np.add.reduceat(ones, first, axis=0, dtype=np.int32) if len(begin) > len(full) else ones.astype(np.int32)
+    out[full] = np.packbits(2 * ones > count[:, None], axis=1, bitorder="little").view("<u2").ravel()
     return out
 
 
@@ -97,23 +119,30 @@ def quarters(n: np.ndarray) -> np.ndarray:
     return np.diff(ends, axis=1)
 
 
-def fingerprints(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each list of words its blocks by place and by hash, 16 bits each
-    in one number, how many words it has, and how many each block by hash has
-    (8 bits each, at most 255)."""
-    n = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.fromiter(map(KNOWN.__getitem__, chain.from_iterable(words)), np.uint64, int(n.sum()))
-    line = np.repeat(np.arange(len(words)), n)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-    spread = _SPREAD[flat.view(np.uint8).reshape(-1, 8)[:, :BITS // 8]]
-    near = simhashes(spread, line * BLOCKS + place * BLOCKS // n[line], len(words) * BLOCKS)
-    group = flat >> np.uint64(62)
-    bag, held = np.zeros((len(words), BLOCKS), np.uint16), np.zeros((len(words), BLOCKS), np.uint8)
+def blocks_of(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines of ``n`` words each, one or more, the SimHashes of their
+    blocks by place and by hash, 16 bits each in one number (0 if a block is
+    empty), and how many words each block by hash has (8 bits each, at most
+    255)."""
+    bits = hashes.view(np.uint8).reshape(-1, 8)
+    spread = [_SPREAD[bits[:, k]] for k in range(BITS // 8)]
+    near = simhashes(spread, quarters(n).ravel())
+    group, begin = bits[:, 7] >> 6, np.cumsum(n) - n
+    bag, held = np.zeros((len(n), BLOCKS), np.uint16), np.zeros((len(n), BLOCKS), np.uint8)
     for g in range(BLOCKS):
         own = np.flatnonzero(group == g)
-        bag[:, g] = simhashes(spread[own], line[own], len(words))
-        held[:, g] = np.minimum(np.bincount(line[own], minlength=len(words)), 255)
-    return near.view("<u8"), bag.view("<u8").ravel(), n, held.view("<u4").ravel()
+        count = np.diff(np.searchsorted(own, begin), append=len(own))
+        bag[:, g] = simhashes([x[own] for x in spread], count)
+        held[:, g] = np.minimum(count, 255)
+    return near.view("<u8"), bag.view("<u8").ravel(), held.view("<u4").ravel()
+
+
+def fingerprints(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each list of words its blocks by place and by hash, how many words
+    it has, and how many each block by hash has, see ``blocks_of``."""
+    data, begin, end, n = words_of(b"\n".join([b"", *map(b" ".join, words), b""]))
+    near, bag, held = blocks_of(word_hashes(data, begin, end), n)
+    return near, bag, n, held
 
 
 _LINES = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("line", pa.int32()), ("h1", pa.int64()),
@@ -125,32 +154,42 @@ _LINES_DDL = "doc_id long, rid long, line int, h1 long, h2 long, near long, bag
 def _find_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    def flush(batch, at, line, words):
-        texts = [b" ".join(w) for w in words]
-        names = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), "<i8").reshape(-1, 2)
-        take = pa.array(at, pa.int64())
-        near, bag, n, held = fingerprints(words)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(take), batch.column("rid").take(take), pa.array(line, pa.int32()),
+    def found(batch, at, texts):
+        """The lines of some texts that hold words; ``at`` is the first one's row."""
+        data, begin, end, n = words_of(b"\n".join([b"", *texts, b""]))
+        lines = np.fromiter((t.count(b"\n") + 1 for t in texts), np.int64, len(texts))
+        full = np.flatnonzero(n)
+        if not len(full):
+            return
+        row = np.repeat(np.arange(len(texts)), lines)[full]
+        line = full - (np.cumsum(lines) - lines)[row]
+        n = n[full]
+        last = np.cumsum(n) - 1
+        lo, hi = begin[last - n + 1], end[last]
+        if data.isascii():
+            length = hi - lo
+        else:  # in characters
+            before = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+            length = before[hi - 1] - before[lo] + 1
+        names = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[i:j]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]),
+                              "<i8").reshape(-1, 2)
+        near, bag, held = blocks_of(word_hashes(data, begin, end), n)
+        take = pa.array(at + row)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").take(take), batch.column("rid").take(take), pa.array(line.astype(np.int32)),
              pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array(near.view(np.int64)), pa.array(bag.view(np.int64)),
-             pa.array(n.astype(np.int32)), pa.array(held.view(np.int32)),
-             pa.array([len(t) if t.isascii() else len(t.decode("utf-8", "replace")) for t in texts], pa.int32())], schema=_LINES)
+             pa.array(n.astype(np.int32)), pa.array(held.view(np.int32)), pa.array(length.astype(np.int32))], schema=_LINES)
 
     for batch in batches:
-        at, line, words, size = [], [], [], 0
+        at, texts, size = 0, [], 0
         for i, text in enumerate(batch.column("text").to_pylist()):
-            for k, plain in enumerate(normal_lines(text)):
-                own = plain.split()
-                if own:
-                    at.append(i)
-                    line.append(k)
-                    words.append(own)
+            texts.append(plain(text))
             size += len(text)
-            if size >= GROUP and words:
-                yield flush(batch, at, line, words)
-                at, line, words, size = [], [], [], 0
-        if words:
-            yield flush(batch, at, line, words)
+            if size >= GROUP:
+                yield from found(batch, at, texts)
+                at, texts, size = i + 1, [], 0
+        if texts:
+            yield from found(batch, at, texts)
 
 
 def keys_of(near: np.ndarray, bag: np.ndarray, words: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,18 +220,60 @@ def keys_of(near: np.ndarray, bag: np.ndarray, words: np.ndarray, held: np.ndarr
     return np.concatenate(key), np.concatenate(whose)
 
 
-def _find_buckets(batches: Iterator[pa.RecordBatch], seen=None) -> Iterator[pa.RecordBatch]:
+def _together(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batches joined to some of about ``rows`` rows."""
+    held, n = [], 0
+    for batch in chain(batches, [None]):
+        if n >= rows or batch is None and n:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+        if batch is not None:
+            held.append(batch)
+            n += batch.num_rows
+
+
+def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    near, bag, words, held = (batch.column(c).to_numpy() for c in ("near", "bag", "words", "held"))
+    return keys_of(near.view(np.uint64), bag.view(np.uint64), words.astype(np.int64), np.ascontiguousarray(held))
+
+
+def _find_keys(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The keys of lines, in a row for each of ``parts`` ranges of keys: a
+    row a key costs many times what its eight bytes do. Of a key that many
+    lines share two go into a row."""
+    bound = [(1 << 64) * k // parts for k in range(1, parts)]
+    for batch in _together(batches):
+        key = np.sort(_keys(batch)[0])
+        keep = np.ones(len(key), bool)
+        keep[2:] = key[2:] != key[:-2]
+        key = key[keep]
+        end = np.append(np.searchsorted(key, np.array(bound, np.uint64)), len(key))
+        begin = np.append(0, end[:-1])
+        raw = key.tobytes()
+        full = np.flatnonzero(begin < end)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(full.astype(np.int32)),
+             pa.array([raw[8 * i:8 * j] for i, j in zip(begin[full].tolist(), end[full].tolist(), strict=True)], pa.binary())],
+            names=["part", "keys"])
+
+
+def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the keys of whole ranges, those that come more than once."""
+    held = [np.frombuffer(raw, np.int64) for batch in batches for raw in batch.column("keys").to_pylist()]
+    if held:
+        key = np.sort(np.concatenate(held))
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(key[1:][key[1:] == key[:-1]]))], names=["bucket"])
+
+
+def _find_buckets(batches: Iterator[pa.RecordBatch], seen) -> Iterator[pa.RecordBatch]:
+    """The entries of lines whose key may be among those ``seen``."""
     names = ["c", "length", "weight"]
-    for batch in batches:
-        near, bag, words, held = (batch.column(c).to_numpy() for c in ("near", "bag", "words", "held"))
-        key, whose = keys_of(near.view(np.uint64), bag.view(np.uint64), words.astype(np.int64), np.ascontiguousarray(held))
-        if seen is None:
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["bucket"])
-        else:
-            keep = np.flatnonzero(passes(seen.value, key))
-            take = pa.array(whose[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), *(batch.column(c).take(take) for c in names)],
-                                             names=["bucket", *names])
+    for batch in _together(batches):
+        key, whose = _keys(batch)
+        keep = np.flatnonzero(passes(seen.value, key))
+        take = pa.array(whose[keep])
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), *(batch.column(c).take(take) for c in names)],
+                                         names=["bucket", *names])
 
 
 def _comparable(a: Column, b: Column) -> Column:
@@ -331,10 +412,10 @@ def repeated_lines(rows: DataFrame) -> DataFrame:
     distinct = pin(lines.groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "rid", "line")).alias("one"),
         F.first(F.struct("near", "bag", "words", "held", "length")).alias("own")).select("h1", "h2", "weight", "one", "own.*").withColumn("c", F.monotonically_increasing_id()), "lines")
-    # each line becomes a row for each choice of blocks: dealt out first, so that no task holds many times its input
-    about = distinct.select("c", "near", "bag", "words", "held", "length", "weight").repartition(slots(rows.sparkSession))
-    met = pin(about.mapInArrow(_find_buckets, "bucket long").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-              .where("n > 1").select("bucket"), "lines")
+    about = distinct.select("c", "near", "bag", "words", "held", "length", "weight")
+    parts = slots(rows.sparkSession)
+    met = pin(about.mapInArrow(partial(_find_keys, parts=4 * parts), "part int, keys binary").repartition(parts, "part")
+              .mapInArrow(_met_again, "bucket long"), "lines")
     buckets = pin(about.mapInArrow(partial(_find_buckets, seen=bloom(met, "bucket")),
                                    "bucket long, c long, length int, weight long")
                   .join(met, "bucket", "left_semi")

@@ -6,10 +6,12 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 import corpus_pipeline
-from arrears.llm import common, line_dedup, linking, mixing, near_dups, neighbours, shingles
+from arrears.llm import common, line_dedup, linking, mixing, near_dups, neighbours, shingles, word_hashes
 from tests.llm.cases import SCHEMA, awkward, empty, prose
 
 
@@ -313,6 +315,47 @@ def test_blocks_of_short_lines_and_repeated_words():
     assert near.tolist() == again[0].tolist()[::-1] and bag.tolist() == again[1].tolist()[::-1]
 
 
+def test_words_are_hashed_together_as_one_by_one():
+    r = random.Random(11)
+    words = [r.randbytes(r.randint(1, 24)) for _ in range(5000)]
+    end = np.cumsum([len(w) for w in words])
+    begin = end - np.array([len(w) for w in words])
+    assert word_hashes.word_hashes(b"".join(words), begin, end).tolist() == [xxhash.xxh3_64_intdigest(w) for w in words]
+    assert word_hashes.word_hashes(b"", begin[:0], end[:0]).tolist() == []
+
+
+def test_lines_take_no_call_a_word(monkeypatch):
+    """Words of up to 16 bytes are not hashed one at a time, and lines are
+    what normalising one at a time gives."""
+    monkeypatch.setattr(shingles.WordHashes, "__missing__", lambda *_: pytest.fail("a word was hashed alone"))
+    shingles.KNOWN.clear()
+    texts = ["Ab  c!d\n\n - \n  \u00e9t\u00e9 99 ", "", "\n", "\u65e5\u672c x\r\ty\x00z", "w " * 1500 + "\nv"]
+    batch = pa.record_batch({"doc_id": pa.array([7, None, 8, 9, 9]), "rid": pa.array(range(5)), "text": texts})
+    got = pa.Table.from_batches(line_dedup._find_lines(iter([batch]))).to_pylist()
+    want = [(batch["doc_id"][i].as_py(), i, k, line.split()) for i, t in enumerate(texts)
+            for k, line in enumerate(line_dedup.normal_lines(t)) if line.split()]
+    assert [(x["doc_id"], x["rid"], x["line"], x["words"], x["length"]) for x in got] == [
+        (d, i, k, len(w), len(b" ".join(w).decode())) for d, i, k, w in want]
+    assert [x["h1"] for x in got] == [int.from_bytes(xxhash.xxh3_128_digest(b" ".join(w))[:8], "little", signed=True) for *_, w in want]
+    shingles.KNOWN.clear()
+
+
+def test_keys_that_meet_go_packed():
+    """A row for each range of keys, not for each key, tells all that meet."""
+    r = np.random.default_rng(12)
+    n = 4000
+    batch = pa.record_batch({"near": r.integers(0, 1 << 62, n), "bag": r.integers(0, 1 << 62, n),
+                             "words": r.integers(1, 60, n).astype(np.int32), "held": r.integers(0, 1 << 30, n).astype(np.int32)})
+    batches = [batch.slice(0, 1000), batch.slice(500, 3000), *[batch.slice(0, 7)] * 5]
+    key, count = np.unique(np.concatenate([line_dedup._keys(b)[0] for b in batches]).view(np.int64), return_counts=True)
+    for parts in (1, 7, 50):
+        rows = [x for b in batches for x in line_dedup._find_keys(iter([b]), parts)]
+        assert all(x.num_rows <= parts for x in rows)
+        met, = line_dedup._met_again(iter(rows))
+        assert met["bucket"].to_pylist() == key[count > 1].tolist()
+    assert not list(line_dedup._met_again(line_dedup._find_keys(iter([]), 7)))
+
+
 def test_lines_awkward_and_empty(spark):
     docs = awkward(spark)
     got = line_dedup.without_repeats(docs)
