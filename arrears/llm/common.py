@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,9 +103,10 @@ CHUNK = 1_000_000
 
 
 def components(links: DataFrame, chunk: int = CHUNK, max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``links(a, b)`` as ``(id, component)``, the
-    component being the smallest id reachable. Ids that stand in no link are
-    absent; an empty table of links gives an empty result.
+    """Connected components of ``links(a, b)``, a written table, as another,
+    ``(id, component)``, the component being the smallest id reachable. Ids
+    that stand in no link are absent; an empty table of links gives an empty
+    result.
 
     First every task contracts its own chunk of at most about ``chunk`` edges:
     each vertex hangs on the smallest one it reaches inside the chunk. If one
@@ -117,16 +119,15 @@ def components(links: DataFrame, chunk: int = CHUNK, max_rounds: int = 60) -> Da
     comes from a map-side combined ``min`` and is joined back, and AQE splits
     the join.
     """
-    edges = pin(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                .where("u != v").distinct())
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
     chunks = -(-edges.count() // chunk)
+    if chunks <= 1:
+        return pin(edges.coalesce(1).mapInArrow(_whole, "id long, component long"))
     # coalesce cannot split a file that holds more than one chunk
-    dealt = edges.coalesce(1) if chunks <= 1 else edges.repartition(chunks, F.xxhash64("u", "v"))
-    hung = pin(dealt.mapInArrow(_contract, "u long, v long"))
-    if chunks > 1:
-        hung = _stars(hung.distinct(), max_rounds)
-    return hung.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-        hung.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    hung = pin(edges.repartition(chunks, F.xxhash64("u", "v")).mapInArrow(_contract, "u long, v long"))
+    hung = _stars(hung.distinct(), max_rounds)
+    return pin(hung.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
+        hung.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()))
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,6 +151,15 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["u", "v"])
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of a chunk that holds all edges, the smallest ones'
+    own rows among them."""
+    for hung in _contract(batches):
+        roots = pc.unique(hung.column("v"))
+        yield pa.RecordBatch.from_arrays([hung.column("u"), hung.column("v")], names=["id", "component"])
+        yield pa.RecordBatch.from_arrays([roots, roots], names=["id", "component"])
+
+
 def _stars(edges: DataFrame, max_rounds: int) -> DataFrame:
     """Large and small stars in turn, until nothing changes."""
     state = None

@@ -60,6 +60,8 @@ SHORT, HELD = 8, {2: 3, 3: 2}
 SIMILAR = 0.85
 #: texts are hashed in groups of about this many bytes
 GROUP = 1 << 19
+#: characters after which an edit distance is looked at
+STEP = 32
 
 #: line breaks stay, punctuation becomes white space, digits become 0, A-Z lower case
 _PLAIN = bytes(10 if b == 10 else 32 if b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 128 else 48 if b < 58
@@ -145,12 +147,23 @@ def fingerprints(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.n
     return near, bag, n, held
 
 
+#: the order of lines' occurrences
+PLACE = ("doc_id", "rid", "line")
 _LINES = pa.schema([("doc_id", pa.int64()), ("rid", pa.int64()), ("line", pa.int32()), ("h1", pa.int64()),
                     ("h2", pa.int64()), ("near", pa.int64()), ("bag", pa.int64()), ("words", pa.int32()), ("held", pa.int32()),
                     ("length", pa.int32())])
 _LINES_DDL = "doc_id long, rid long, line int, h1 long, h2 long, near long, bag long, words int, held int, length int"
 
 
+def _plain(column: pa.Array) -> Iterator[bytes]:
+    """The plain texts of a column of texts, or of ``packed`` ones."""
+    if not pa.types.is_binary(column.type):
+        yield from map(plain, column.to_pylist())
+        return
+    for raw in unpack(column):
+        yield raw.translate(_PLAIN) if raw.isascii() else plain(raw.decode("utf-8", "replace"))
+
+
 def _find_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
@@ -169,8 +182,8 @@ def _find_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if data.isascii():
             length = hi - lo
         else:  # in characters
-            before = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-            length = before[hi - 1] - before[lo] + 1
+            more = np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 == 0x80)
+            length = hi - lo - (np.searchsorted(more, hi) - np.searchsorted(more, lo))
         names = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[i:j]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]),
                               "<i8").reshape(-1, 2)
         near, bag, held = blocks_of(word_hashes(data, begin, end), n)
@@ -182,8 +195,8 @@ def _find_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         at, texts, size = 0, [], 0
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            texts.append(plain(text))
+        for i, text in enumerate(_plain(batch.column("text"))):
+            texts.append(text)
             size += len(text)
             if size >= GROUP:
                 yield from found(batch, at, texts)
@@ -266,8 +279,9 @@ def _met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _find_buckets(batches: Iterator[pa.RecordBatch], seen) -> Iterator[pa.RecordBatch]:
-    """The entries of lines whose key may be among those ``seen``."""
-    names = ["c", "length", "weight"]
+    """The entries of lines whose key may be among those ``seen``, each with
+    the line's first occurrence."""
+    names = ["c", "length", "weight", "rid", "line"]
     for batch in _together(batches):
         key, whose = _keys(batch)
         keep = np.flatnonzero(passes(seen.value, key))
@@ -281,55 +295,53 @@ def _comparable(a: Column, b: Column) -> Column:
     return shorter >= F.lit(SIMILAR) * longer
 
 
-def edit_distance(a: str, b: str, most: int | None = None) -> int:
-    """Levenshtein distance. What both begin and end with is set aside; the
-    rest goes through one bit vector for each character of ``b``. Once it is
-    certain to exceed ``most``, some number above ``most`` is returned."""
-    lo = 0
-    top = min(len(a), len(b))
-    if a[:top] == b[:top]:
-        lo = top
-    else:
-        step = top
-        while step:  # longest common beginning, by halves
-            if a[lo:lo + step] == b[lo:lo + step] and lo + step <= top:
-                lo += step
-            else:
-                step //= 2
+def apart(a: str, b: str) -> tuple[str, str]:
+    """What is left of two texts without what both begin and end with; the
+    edit distance is that of the rests."""
+    top = step = min(len(a), len(b))
+    lo = hi = 0
+    while step:  # longest common beginning, by halves
+        if lo + step <= top and a[lo:lo + step] == b[lo:lo + step]:
+            lo += step
+        else:
+            step //= 2
     a, b = a[lo:], b[lo:]
-    top, hi = min(len(a), len(b)), 0
-    step = top
+    top = step = top - lo
     while step:
         if hi + step <= top and a[len(a) - hi - step:len(a) - hi] == b[len(b) - hi - step:len(b) - hi]:
             hi += step
         else:
             step //= 2
-    a, b = a[:len(a) - hi], b[:len(b) - hi]
+    return a[:len(a) - hi], b[:len(b) - hi]
+
+
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance. What both begin and end with is set aside; the
+    rest goes through one bit vector for each character of ``b``, whose bits
+    tell where the distance rises and falls along ``a``. Once it is certain to
+    exceed ``most``, some number above ``most`` is returned."""
+    a, b = apart(a, b)
     if not a or not b:
         return len(a) + len(b)
-    # each character to come lowers the distance by one at most
-    left = len(b) + (len(a) + len(b) if most is None else most)
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
-    every, high = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, distance = every, 0, len(a)
-    for c in b:
-        same = at.get(c, 0)
-        flat = (((same & up) + up) ^ up) | same | down
-        plus = down | ~(flat | up) & every
-        minus = up & flat
-        if plus & high:
-            distance += 1
-        if minus & high:
-            distance -= 1
-        plus = plus << 1 & every | 1
-        minus = minus << 1 & every
-        left -= 1
-        if distance > left:
-            return distance - (left - most)
-        up = minus | ~((same | down) | plus) & every
-        down = plus & (same | down)
+    every = (1 << len(a)) - 1
+    up, down, done, distance = every, 0, 0, len(a)
+    while done < len(b):
+        for c in b[done:done + STEP]:
+            same = at.get(c, 0)
+            turn = same | down
+            flat = ((((same & up) + up) ^ up) | turn) & every
+            plus = ((down | (flat | up) ^ every) << 1 | 1) & every
+            up = (up & flat) << 1 & every | (turn | plus) ^ every
+            down = plus & turn
+        done = min(done + STEP, len(b))
+        distance = done + up.bit_count() - down.bit_count()
+        # each character to come lowers the distance by one at most
+        least = distance - (len(b) - done)
+        if most is not None and least > most:
+            return least
     return distance
 
 
@@ -372,7 +384,8 @@ def similar(a: str, b: str) -> bool:
     most = int((1 - SIMILAR) * max(len(a), len(b)) + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    if by_words(a.split(" "), b.split(" "), most) <= most:
+    a, b = apart(a, b)
+    if max(len(a), len(b)) <= most or by_words(a.split(" "), b.split(" "), most) <= most:
         return True
     # an edit takes away one letter at most and adds one at most
     more = letters(a) - letters(b)
@@ -388,16 +401,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The normalised texts of wanted lines."""
+    """Wanted lines, with their normalised texts."""
     for batch in batches:
-        c, text = [], []
-        for raw, wanted in zip(unpack(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
+        row, c, line, text = [], [], [], []
+        for k, (raw, wanted) in enumerate(zip(unpack(batch.column("text")), batch.column("wanted").to_pylist(), strict=True)):
             lines = raw.split(b"\n")
             for w in wanted:
+                row.append(k)
                 c.append(w["c"])
+                line.append(w["line"])
                 own, = normal_lines(lines[w["line"]].decode("utf-8", "replace"))
                 text.append(b" ".join(own.split()).decode("utf-8", "replace"))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(text, pa.string())], names=["c", "text"])
+        row = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), batch.column("doc_id").take(row), batch.column("rid").take(row),
+                                          pa.array(line, pa.int32()), pa.array(text, pa.string())], names=["c", *PLACE, "text"])
 
 
 def numbered(docs: DataFrame, rid: str = "rid") -> DataFrame:
@@ -406,43 +423,42 @@ def numbered(docs: DataFrame, rid: str = "rid") -> DataFrame:
 
 
 def repeated_lines(rows: DataFrame) -> DataFrame:
-    """``(rid, gone)`` of ``rows(rid, doc_id, text)``: the numbers of the
-    lines that go."""
+    """``(rid, gone)`` of ``rows(rid, doc_id, text)``, texts or ``packed``
+    ones: the numbers of the lines that go."""
     lines = pin(rows.mapInArrow(_find_lines, _LINES_DDL), "lines")
     distinct = pin(lines.groupBy("h1", "h2").agg(
-        F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "rid", "line")).alias("one"),
+        F.count(F.lit(1)).alias("weight"), F.min(F.struct(*PLACE)).alias("one"),
         F.first(F.struct("near", "bag", "words", "held", "length")).alias("own")).select("h1", "h2", "weight", "one", "own.*").withColumn("c", F.monotonically_increasing_id()), "lines")
-    about = distinct.select("c", "near", "bag", "words", "held", "length", "weight")
+    about = distinct.select("c", "near", "bag", "words", "held", "length", "weight", "one.rid", "one.line")
     parts = slots(rows.sparkSession)
     met = pin(about.mapInArrow(partial(_find_keys, parts=4 * parts), "part int, keys binary").repartition(parts, "part")
               .mapInArrow(_met_again, "bucket long"), "lines")
     buckets = pin(about.mapInArrow(partial(_find_buckets, seen=bloom(met, "bucket")),
-                                   "bucket long, c long, length int, weight long")
+                                   "bucket long, c long, length int, weight long, rid long, line int")
                   .join(met, "bucket", "left_semi")
-                  .select("bucket", "c", F.struct("length").alias("about"), "weight"), "lines")
+                  .select("bucket", "c", F.struct("length").alias("about"), "weight", "rid", "line"), "lines")
     # the texts of all lines that share a bucket, fetched once for all rounds
-    wanted = (buckets.select("c").distinct().join(distinct.select("c", "one.rid", "one.line"), "c").groupBy("rid")
-              .agg(F.collect_list(F.struct("c", "line")).alias("wanted")))
-    whole = packed(rows.select("rid", F.col("text").cast("binary").alias("text")))
-    text = pin(whole.join(wanted, "rid").select("text", "wanted")
-               .mapInArrow(_pick, "c long, text string").dropDuplicates(["c"]), "lines")
+    wanted = buckets.groupBy("rid").agg(F.collect_set(F.struct("c", "line")).alias("wanted"))
+    whole = rows.select("doc_id", "rid", "text")
+    if whole.schema["text"].dataType.typeName() != "binary":
+        whole = packed(whole.withColumn("text", F.col("text").cast("binary")))
+    text = pin(whole.join(wanted, "rid").select("doc_id", "rid", "text", "wanted")
+               .mapInArrow(_pick, "c long, doc_id long, rid long, line int, text string"), "lines")
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = (pairs.join(text.select(F.col("c").alias("a"), F.col("text").alias("x")), "a")
                 .join(text.select(F.col("c").alias("b"), F.col("text").alias("y")), "b"))
         return both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
 
-    found = link_buckets(buckets, _comparable, verified)
-    first = distinct.select("c", "h1", "h2", "weight", "one")
-    if found is None:
-        first = first.withColumn("stays", F.col("one")).where("weight > 1")
-    else:
-        linked = first.join(found.withColumnRenamed("id", "c"), "c", "left")
-        lowest = linked.where("component is not null").groupBy("component").agg(F.min("one").alias("lowest"))
-        first = (linked.join(lowest, "component", "left").where("weight > 1 or component is not null")
-                 .withColumn("stays", F.coalesce("lowest", "one")))
-    gone = (lines.select("rid", "line", "h1", "h2").join(first.select("h1", "h2", "stays"), ["h1", "h2"])
-            .where((F.col("rid") != F.col("stays.rid")) | (F.col("line") != F.col("stays.line"))))
+    found = link_buckets(buckets.select("bucket", "c", "about", "weight"), _comparable, verified)
+    elsewhere = (F.col("rid") != F.col("one.rid")) | (F.col("line") != F.col("one.line"))
+    # of equal lines all but the first go; of those that are linked, all first ones but the first of these
+    gone = (lines.select("rid", "line", "h1", "h2").join(distinct.where("weight > 1").select("h1", "h2", "one"), ["h1", "h2"])
+            .where(elsewhere).select("rid", "line"))
+    if found is not None:
+        linked = text.select("c", *PLACE).join(found.withColumnRenamed("id", "c"), "c")
+        lowest = linked.groupBy("component").agg(F.min(F.struct(*PLACE)).alias("one"))
+        gone = gone.unionAll(linked.join(lowest, "component").where(elsewhere).select("rid", "line"))
     return gone.groupBy("rid").agg(F.collect_list("line").alias("gone"))
 
 
@@ -465,9 +481,9 @@ def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Reco
 def dedup_lines(docs: DataFrame, with_text: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: its lines, how many of them go, the digest of the text
     that stays (its lines joined again) and, if wanted, that text."""
-    rows = numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")))
-    whole = packed(rows.withColumn("text", F.col("text").cast("binary")))
-    return (whole.join(repeated_lines(rows), "rid", "left").select("doc_id", "text", "gone")
+    # packed once: the texts are read three times and shuffled twice
+    rows = numbered(packed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("text"))))
+    return (rows.join(repeated_lines(rows), "rid", "left").select("doc_id", "text", "gone")
             .mapInArrow(partial(_cut, with_text=with_text), "doc_id long, n_lines long, n_removed long, kept_sha256 string"
                         + ", kept string" * with_text))
 

@@ -52,9 +52,9 @@ def link_buckets(buckets: DataFrame, comparable: Callable[[Column, Column], Colu
             left = (open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"))
                     .withColumn("across", F.col("k") * (F.col("k") - 1) / 2).where("across > 0"))
         else:
-            found = pin(components(links), "linking")
-            open_ = (rest.join(found.withColumnRenamed("id", "c"), "c", "left")
-                     .withColumn("comp", F.coalesce("component", "c")).drop("component"))
+            found = components(links)
+            open_ = pin(rest.join(found.withColumnRenamed("id", "c"), "c", "left")
+                        .withColumn("comp", F.coalesce("component", "c")).drop("component"), "linking")
             left = pin(open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket")
                        .agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"), F.max("k").alias("most"),
                             F.max_by("comp", F.struct("k", "comp")).alias("main"))
@@ -65,10 +65,11 @@ def link_buckets(buckets: DataFrame, comparable: Callable[[Column, Column], Colu
             return found
         last = links is not None and (size.across <= CROSS * size.k or fruitless)
         if links is not None:
-            open_ = pin(open_.join(left.select("bucket", "k", "most", "main"), "bucket"), "linking")
+            open_ = open_.join(left.select("bucket", "k", "most", "main"), "bucket")
         if last:
             pairs = _across(open_, comparable)
         else:
+            open_ = open_ if links is None else pin(open_, "linking")
             other = pin(open_.groupBy("bucket", F.pmod(F.xxhash64("c"), F.lit(hubs)))
                         .agg(F.max_by(F.struct("c", "about", "comp"), F.struct("weight", -F.col("c"))).alias("hub"))
                         .select("bucket", "hub.*").toDF("bucket", "d", "about2", "comp2"), "linking")
@@ -81,7 +82,7 @@ def link_buckets(buckets: DataFrame, comparable: Callable[[Column, Column], Colu
         new = pin(verified(pairs), "linking")
         links = new if links is None else links.unionAll(new)
         if last:
-            return pin(components(links), "linking")
+            return components(links)
         fruitless = hubs > HUBS and FEW * new.count() <= pairs.count()
         hubs *= GROW
 

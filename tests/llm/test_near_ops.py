@@ -340,6 +340,61 @@ def test_lines_take_no_call_a_word(monkeypatch):
     shingles.KNOWN.clear()
 
 
+def test_lines_are_compared_without_what_they_share(monkeypatch):
+    """Beginnings and ends of any length; a rest that is short enough is not
+    looked into word by word."""
+    r = random.Random(13)
+    for _ in range(300):
+        x, y, a, b = ("".join(r.choice("ab") for _ in range(r.randint(0, 9))) for _ in range(4))
+        a, b = x + a + y, x + b + y
+        c, d = line_dedup.apart(a, b)
+        assert len(a) - len(c) == len(b) - len(d) and distance(a, b) == distance(c, d)
+        assert not c or not d or c[0] != d[0] and c[-1] != d[-1]
+    for _ in range(20):  # an edit distance is right across the steps it is looked at
+        a = "".join(r.choice("abc") for _ in range(r.randint(60, 140)))
+        b = "".join(r.choice([c, c, c, c, "", "ab", "d"]) for c in a)
+        d, most = distance(a, b), r.randint(0, 80)
+        got = line_dedup.edit_distance(a, b, most)
+        assert line_dedup.edit_distance(a, b) == d and (got == d if d <= most else most < got <= d)
+    monkeypatch.setattr(line_dedup, "by_words", lambda *_: pytest.fail("words were compared"))
+    words = prose(60, 78).split(" ")
+    assert line_dedup.similar(" ".join(words), " ".join([*words[:30], "new", *words[31:]]))
+
+
+def test_lines_of_packed_texts():
+    import zstandard
+
+    texts = ["Ab  c!d\n\n - \n  \u00e9T\u00c9 99 ", "", "\u65e5\u672c x\r\ty\x00z", "w " * 1500 + "\nV"]
+    raw = [zstandard.ZstdCompressor(level=1).compress(t.encode()) for t in texts]
+    got = [pa.Table.from_batches(line_dedup._find_lines(iter([pa.record_batch({"doc_id": [3, 2, 1, 0], "rid": range(4), "text": x})])))
+           for x in (pa.array(texts), pa.array(raw, pa.binary()))]
+    assert got[0].num_rows == 5 and got[0].equals(got[1])
+    assert got[0]["length"].to_pylist() == [len(" ".join(x)) for x in (["ab", "c", "d"], ["\u00e9t\u00e9", "00"],
+                                                                        ["\u65e5\u672c", "x", "y", "z"], ["w"] * 1500, ["v"])]
+
+
+def test_few_links_take_one_table_and_no_shuffle(spark, monkeypatch):
+    """Links that one chunk holds: repeated, turned round and of an id with
+    itself, in many files; their components are written once, as read."""
+    links = common.pin(spark.createDataFrame([(1, 2), (2, 1), (2, 3), (5, 5), (9, 8), (2, 3)], "a long, b long").repartition(6))
+    plans, pin = [], common.pin
+    monkeypatch.setattr(common, "pin", lambda df, *a: (plans.append(df._jdf.queryExecution().toString()), pin(df, *a))[1])
+    got = common.components(links).collect()
+    assert sorted((x.id, x.component) for x in got) == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)]
+    assert len(plans) == 1 and "Exchange" not in plans[0]
+
+
+def test_first_lines_stay_of_equal_and_linked_ones(spark):
+    """Groups of equal lines, linked ones and both: the texts are shuffled
+    packed, as they are written, and of each group one line stays."""
+    a, b = prose(40, 501).split(" "), prose(40, 502).split(" ")
+    a1, a2 = " ".join([*a, "new"]), " ".join(["old", *a[1:]])
+    a, b = " ".join(a), " ".join(b)
+    rows = [(9, f"{a}\n{a}\n{b}"), (7, f"x\n{a1}"), (8, f"{b}\n{b}"), (3, f"{a2}\n{a1}\n{a1}"), (None, f"{b}\nonly here")]
+    got = {x.doc_id: x.kept for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    assert got == {None: f"{b}\nonly here", 3: a2, 7: "x", 8: "", 9: ""}
+
+
 def test_keys_that_meet_go_packed():
     """A row for each range of keys, not for each key, tells all that meet."""
     r = np.random.default_rng(12)
